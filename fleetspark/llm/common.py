@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +30,12 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps before the next step writes its own.
 
     The cleaner acts when the driver's collector finds a shuffle unreachable; a long job with a
-    small driver heap otherwise keeps every step's files to its end.
+    small driver heap otherwise keeps every step's files to its end. It works in the background.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def plain_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:

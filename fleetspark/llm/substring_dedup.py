@@ -4,7 +4,7 @@ A window of ``window`` words that repeats across documents holds at least one wh
 ``(window + 1) // 2`` words that starts at a multiple of that length in the document it repeats.
 So the non-overlapping blocks of every document are indexed, and every rolling window of block length
 probes the index (step A). Around the hits, and only there, windows of full length are compared on
-128-bit keys, and the smallest document of each key is found (step B). Step C extends the hits to
+96-bit keys, and the smallest document of each key is found (step B). Step C extends the hits to
 maximal exact repeats: the union of all windows that also start in a smaller document.
 
 What crosses the network is packed per chunk of text and hash bucket, one entry for each distinct key of
@@ -49,7 +49,7 @@ def _chunk_id(table: pa.Table, id_col: str, text_col: str, words: Words) -> int:
 
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -84,10 +84,32 @@ def _block_keys(words: Words, hashes: np.ndarray, block: int, window: int, bits:
 # two bits each: is it an aligned block of a document here; is it in several documents here.
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones ...: sorted or small values then compress well."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _from_planes(blob: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, size * n, at).reshape(size, n).T).view(kind).ravel()
+
+
+# Entries of step B and its answers: a 64-bit and a 32-bit key and the smallest document.
+
+
+def _pack_windows(a: np.ndarray, b: np.ndarray, ids: np.ndarray, *flags: np.ndarray) -> bytes:
+    return b"".join([np.uint32(len(a)).tobytes(), _planes(a), _planes(b), _planes(ids), *(np.packbits(f).tobytes() for f in flags)])
+
+
+def _unpack_windows(blob: bytes, flag: bool = False) -> tuple[np.ndarray, ...]:
+    n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    out = (_from_planes(blob, "<u8", n, 4), _from_planes(blob, "<u4", n, 4 + 8 * n), _from_planes(blob, "<i8", n, 4 + 12 * n))
+    return (*out, np.unpackbits(np.frombuffer(blob, np.uint8, (n + 7) // 8, 4 + 20 * n), count=n).astype(bool)) if flag else out
+
+
 def _pack_keys(keys: np.ndarray, *flags: np.ndarray) -> bytes:
     step = np.diff(keys, prepend=np.uint32(0)).astype("<u4")
-    planes = step.view(np.uint8).reshape(-1, 4).T
-    return np.uint32(len(keys)).tobytes() + b"".join(np.packbits(f).tobytes() for f in flags) + planes.tobytes()
+    return np.uint32(len(keys)).tobytes() + b"".join(np.packbits(f).tobytes() for f in flags) + _planes(step)
 
 
 def _unpack_keys(blob: bytes, n_flags: int = 0) -> tuple[np.ndarray, ...]:
@@ -96,8 +118,7 @@ def _unpack_keys(blob: bytes, n_flags: int = 0) -> tuple[np.ndarray, ...]:
     for _ in range(n_flags):
         flags.append(np.unpackbits(np.frombuffer(blob, np.uint8, (n + 7) // 8, at), count=n).astype(bool))
         at += (n + 7) // 8
-    step = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
-    return (np.cumsum(step, dtype=np.uint32), *flags)
+    return (np.cumsum(_from_planes(blob, "<u4", n, at), dtype=np.uint32), *flags)
 
 
 def _by_bucket(chunk: int, buckets: np.ndarray, pack) -> pa.RecordBatch:
@@ -166,8 +187,9 @@ def _texts(batches, id_col, text_col, chunk_bytes) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"chunk": pa.array([chunk], pa.int64()), "rows": pa.array([_packed(table)], pa.binary())})
 
 
-def _window_keys(words: Words, families: list[np.ndarray], at: np.ndarray, window: int) -> list[np.ndarray]:
-    return [words.grams(h, window, at, family=f) for f, h in enumerate(families)]
+def _window_keys(words: Words, first: np.ndarray, second: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent keys of 64 and 32 bits of the windows from ``at``."""
+    return words.grams(first, window, at), (words.grams(second, window, at, family=1) >> np.uint64(32)).astype("<u4")
 
 
 def _window_entries(texts: pa.Table, hits: pa.Table, id_col, text_col, block, window, bits, shift) -> pa.Table:
@@ -194,7 +216,7 @@ def _window_entries(texts: pa.Table, hits: pa.Table, id_col, text_col, block, wi
         at = np.flatnonzero((total[reach] > total[:n]) & words.whole(window) & (ids != NO_ID)[words.doc[:n]])
         if not len(at):
             continue
-        a, b = _window_keys(words, [first, words.hashes(1)], at, window)
+        a, b = _window_keys(words, first, words.hashes(1), at, window)
         own = ids[words.doc[at]]
         order = np.lexsort((b, a))
         a, b, own = a[order], b[order], own[order]
@@ -203,7 +225,7 @@ def _window_entries(texts: pa.Table, hits: pa.Table, id_col, text_col, block, wi
         a, b = a[begin], b[begin]
         out.append(
             pa.Table.from_batches(
-                [_by_bucket(chunk, (a >> np.uint64(shift)).astype(np.int64), lambda x, y, p=(a, b, low, low != high): b"".join([np.uint32(y - x).tobytes(), *(v[x:y].tobytes() for v in p[:3]), np.packbits(p[3][x:y]).tobytes()]))]
+                [_by_bucket(chunk, (a >> np.uint64(shift)).astype(np.int64), lambda x, y, p=(a, b, low, low != high): _pack_windows(*(v[x:y] for v in p)))]
             )
         )
     return pa.concat_tables(out) if out else empty
@@ -211,11 +233,7 @@ def _window_entries(texts: pa.Table, hits: pa.Table, id_col, text_col, block, wi
 
 def _window_answers(table: pa.Table) -> pa.Table:
     """Of one bucket, for each chunk: its keys that also start in a document smaller than one that has them here."""
-    parts = []
-    for x in table.column("keys"):
-        blob = x.as_py()
-        n = int(np.frombuffer(blob, np.uint32, 1)[0])
-        parts.append((np.frombuffer(blob, np.uint64, n, 4), np.frombuffer(blob, np.uint64, n, 4 + 8 * n), np.frombuffer(blob, np.int64, n, 4 + 16 * n), np.unpackbits(np.frombuffer(blob, np.uint8, (n + 7) // 8, 4 + 24 * n), count=n).astype(bool)))
+    parts = [_unpack_windows(x.as_py(), True) for x in table.column("keys")]
     a, b, low, several = (np.concatenate([p[i] for p in parts]) for i in range(4))
     order = np.lexsort((b, a))
     ra, rb = a[order], b[order]
@@ -223,25 +241,23 @@ def _window_answers(table: pa.Table) -> pa.Table:
     least = np.empty_like(low)
     least[order] = np.repeat(np.minimum.reduceat(low[order], begin), np.diff(np.append(begin, len(ra))))
     tell = several | (least < low)
-    out, at = ([], [], []), 0
+    out, at = ([], []), 0
     for part, chunk in zip(parts, table.column("chunk").to_pylist(), strict=True):
         mine = slice(at, at + len(part[0]))
         at += len(part[0])
         yes = tell[mine]
         if yes.any():
             out[0].append(chunk)
-            out[1].append(int(yes.sum()))
-            out[2].append(b"".join(v[yes].tobytes() for v in (part[0], part[1], least[mine])))
-    return pa.table({"chunk": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "keys": pa.array(out[2], pa.binary())})
+            out[1].append(_pack_windows(part[0][yes], part[1][yes], least[mine][yes]))
+    return pa.table({"chunk": pa.array(out[0], pa.int64()), "keys": pa.array(out[1], pa.binary())})
 
 
 def _removed(words: Words, ids: np.ndarray, answers: pa.Table, window: int) -> np.ndarray:
     """Whether each word of the chunk is in a window that also starts in a smaller document."""
     gone = np.zeros(len(words.doc) + 1, np.int64)
     if answers.num_rows:
-        parts = [(n, k.as_py()) for n, k in zip(answers.column("n").to_pylist(), answers.column("keys"), strict=True)]
-        a, b = (np.concatenate([np.frombuffer(k, np.uint64, n, i * 8 * n) for n, k in parts]) for i in (0, 1))
-        least = np.concatenate([np.frombuffer(k, np.int64, n, 16 * n) for n, k in parts])
+        parts = [_unpack_windows(k.as_py()) for k in answers.column("keys")]
+        a, b, least = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.lexsort((b, a))
         a, b, least = a[order], b[order], least[order]
         first = words.hashes()
@@ -249,7 +265,7 @@ def _removed(words: Words, ids: np.ndarray, answers: pa.Table, window: int) -> n
         keys = words.grams(first, window, at)
         rows = _KeySet(a).rows(keys)
         at, keys = at[rows], keys[rows]
-        other = words.grams(words.hashes(1), window, at, family=1)
+        other = _window_keys(words, first, words.hashes(1), at, window)[1]
         place = np.searchsorted(a, keys)
         while len(at):  # more than one turn only where two windows share the first key
             same = b[place] == other
@@ -320,7 +336,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(spark)
     slim_texts = slim.mapInArrow(lambda it: _texts(it, id_col, text_col, chunk_bytes), "chunk long, rows binary")
     windows = slim_texts.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lambda t, h: _window_entries(t, h, id_col, text_col, block, window, bits, 64 - bits), keyed)
-    answers = cut(windows.groupBy("bucket").applyInArrow(_window_answers, "chunk long, n long, keys binary"))
+    answers = cut(windows.groupBy("bucket").applyInArrow(_window_answers, "chunk long, keys binary"))
     release(spark)
     texts = docs.mapInArrow(lambda it: _texts(it, id_col, text_col, chunk_bytes), "chunk long, rows binary")
     kinds = {"n_words": "long", "n_removed": "long", "kept_text": "string", "removed_spans": "array<struct<start:long,length:long>>"}
