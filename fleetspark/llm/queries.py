@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetspark.llm.bpe import op8_bpe
 from fleetspark.llm.minhash import op7_minhash_dedup
 from fleetspark.llm.substring_dedup import op10_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_minhash_dedup": op7_minhash_dedup, "op10_substring_dedup": op10_substring_dedup}
+    return {"op7_minhash_dedup": op7_minhash_dedup, "op8_bpe": op8_bpe, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
