@@ -89,15 +89,18 @@ class Encoder(dict):
         plain_of = {s: chr(b) for b, s in enumerate(self.signs)}
         self.lengths = [0] * len(vocabulary.tokens)
         self.matcher = ahocorasick.Automaton()
-        n = vocabulary.first_merge + len(vocabulary.pairs)
+        n, keys = vocabulary.first_merge + len(vocabulary.pairs), []
         for i, token in enumerate(vocabulary.tokens[:n]):
             ends = token.endswith(WORD_END) and token != WORD_END
             body = token[: -len(WORD_END)] if ends else token
             key = "".join(plain_of[s] for s in body[:-1]) + (last_of if ends else plain_of)[body[-1]]
             self.lengths[i] = len(key)
-            self.matcher.add_word(key, i)
+            self.matcher.add_word(key, (i, len(key) - 1))
+            keys.append(key)
+        # the longest token that a token begins with
+        self.shorter = [next((self.matcher.get(k[:m])[0] for m in range(len(k) - 1, 0, -1) if self.matcher.exists(k[:m])), -1) for k in keys]
         self.matcher.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.added, key=len, reverse=True))) + ")") if vocabulary.added else None
 
     def parts(self, token: int) -> tuple[int, int]:
@@ -108,8 +111,6 @@ class Encoder(dict):
     def together(self, a: int, b: int) -> bool:
         """Whether the merges leave a and b as neighbours: undoing the later merge on either side of the
         border again and again, no pair across it may have been merged before those merges were made."""
-        if (a, b) in self.compatible:
-            return self.compatible[a, b]
         left, right, before, good = a, b, 1 << 40, True
         while True:
             if self.joined.get((left, right), before) < before:
@@ -126,38 +127,40 @@ class Encoder(dict):
                 break
         if len(self.compatible) > CACHE:
             self.compatible.clear()
-        self.compatible[a, b] = good
+        self.compatible[a << 20 | b] = good
         return good
 
     def piece(self, text: str) -> list[int]:
         raw = text.encode("utf-8")
-        key = "".join(map(chr, raw[:-1])) + chr(_LAST + raw[-1])
-        n = len(key)
-        at: list[list[int]] = [[] for _ in range(n)]  # the tokens from each position, shorter ones first
-        for end, token in self.matcher.iter(key):
-            at[end + 1 - self.lengths[token]].append(token)
+        n = len(raw)
+        longest = [0] * n
+        for end, (token, size) in self.matcher.iter(raw[:-1].decode("latin-1") + chr(_LAST + raw[-1])):
+            longest[end - size] = token  # later matches from the same place are longer
+        lengths, shorter, compatible = self.lengths, self.shorter, self.compatible
         dead = bytearray(n + 1)
         out: list[int] = []
-        places = [0]
-        tries = [len(at[0]) - 1]
-        while places[-1] < n:
-            p, j = places[-1], tries[-1]
-            while j >= 0:
-                token = at[p][j]
-                if not dead[p + self.lengths[token]] and (not out or self.together(out[-1], token)):
-                    break
-                j -= 1
-            if j >= 0:
-                tries[-1] = j - 1
+        p, token, last = 0, longest[0], -1
+        while True:
+            while token >= 0:
+                if not dead[p + lengths[token]]:
+                    if last < 0:
+                        break
+                    good = compatible.get(last << 20 | token)
+                    if self.together(last, token) if good is None else good:
+                        break
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                places.append(p + self.lengths[token])
-                tries.append(len(at[places[-1]]) - 1 if places[-1] < n else 0)
-            else:
+                p += lengths[token]
+                if p == n:
+                    return out
+                last, token = token, longest[p]
+            else:  # nothing fits here: one token back, and a shorter one there
                 dead[p] = 1
-                places.pop()
-                tries.pop()
-                out.pop()
-        return out
+                last = out.pop()
+                p -= lengths[last]
+                token = shorter[last]
+                last = out[-1] if out else -1
 
     def __missing__(self, word: str) -> bytes:
         ids = np.array([i for p in PIECE.findall(word) for i in self.piece(p)], "<u4").tobytes()
