@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetspark.llm.bpe import op8_bpe
 from fleetspark.llm.minhash import op7_minhash_dedup
+from fleetspark.llm.quality_rules import op9_quality_rules
+from fleetspark.llm.sharding import op2_sharding
 from fleetspark.llm.substring_dedup import op10_substring_dedup
+from fleetspark.llm.url_filters import OP1_SQL, op1_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_minhash_dedup": op7_minhash_dedup, "op8_bpe": op8_bpe, "op10_substring_dedup": op10_substring_dedup}
+    return {
+        "op1_url_filters": op1_url_filters,
+        "op2_sharding": op2_sharding,
+        "op7_minhash_dedup": op7_minhash_dedup,
+        "op8_bpe": op8_bpe,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_substring_dedup": op10_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filters": OP1_SQL}
