@@ -22,6 +22,8 @@ id is kept with null component. An empty table gives an empty table. Only the id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from fleetspark.llm.words import Words, mix, words_of
 
 SLOT_STEP = 0x9E3779B97F4A7C15
 SLOT_SEED = np.uint64(SLOT_STEP)
+#: 64-bit words of a parity sketch.
+SKETCH = 16
 #: Documents with no more shingles than this keep their permutations as a table.
 SMALL = 64
 
@@ -99,6 +103,18 @@ def signatures(doc: np.ndarray, hashed: np.ndarray, n_docs: int, m: int) -> np.n
     return sig
 
 
+def parities(doc: np.ndarray, hashed: np.ndarray, n_docs: int) -> np.ndarray:
+    """(n_docs, SKETCH) words of bits: whether an odd number of a document's shingles fall in each cell.
+
+    Two documents differ in no more bits than their sets differ in shingles, so a pair with more different
+    bits than a link allows is no link; this needs no look at the sets and loses none.
+    """
+    out = np.zeros(n_docs * SKETCH, np.uint64)
+    cell = (mix(hashed + np.uint64(2)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    np.bitwise_xor.at(out, doc * SKETCH + (cell >> 6), np.uint64(1) << (cell & 63).astype(np.uint64))
+    return out.reshape(n_docs, SKETCH)
+
+
 def _signed(batches, id_col: str, text_col: str, k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for table in chunks(batches, text_col, 1 << 20, 2_000):
         words = words_of(table.column(text_col), lower=True)
@@ -115,6 +131,7 @@ def _signed(batches, id_col: str, text_col: str, k: int, bands: int, rows: int)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(key.reshape(-1).view(np.int64)))
         yield pa.record_batch(
             {"doc_id": table.column(id_col).combine_chunks().cast(pa.int64()), "n_shingles": pa.array(size, pa.int64()), "set_a": pa.array(one.view(np.int64)), "set_b": pa.array(two.view(np.int64)), "bands": lists}
+            | {f"p{i}": pa.array(column.view(np.int64)) for i, column in enumerate(np.ascontiguousarray(parities(doc, hashed, n).T))}
         )
 
 
@@ -137,17 +154,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 64, rows: int = 8) -> DataFrame:
+def _undecided(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components that the links make, and the members (bucket, node, company, component, main) of
+    buckets that hold several of them; main is the component with most members there."""
+    labels = components(links)
+    labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    counts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mains = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    return labels, cut(labelled.join(mains, "bucket").select("bucket", "node", "component", "main"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, star_rounds: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; see the module's text.
 
-    ``percent``: the least similarity of a link, intersection over union in hundredths.
+    ``percent``: the least similarity of a link, intersection over union in hundredths. ``star_rounds``:
+    rounds of further hubs before the exact rest; any number gives the same result.
     """
-    spark = docs.sparkSession
+    spark, sketch = docs.sparkSession, [f"p{i}" for i in range(SKETCH)]
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(slim.mapInArrow(lambda it: _signed(it, "doc_id", "text", k, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
+    signed = cut(slim.mapInArrow(lambda it: _signed(it, "doc_id", "text", k, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{p} long" for p in sketch)))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     nodes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    distinct = full.join(nodes, ["set_a", "set_b"]).filter("doc_id = node").select("node", F.explode("bands").alias("bucket")).distinct()
+    first = full.join(nodes, ["set_a", "set_b"]).filter("doc_id = node")
+    distinct = first.select("node", F.explode("bands").alias("bucket")).distinct()
     shared = distinct.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     # without the buckets of one member
     members = cut(distinct.join(shared, "bucket").select("bucket", "node", "size"))
@@ -159,22 +188,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     release(spark)
 
-    hubs = members.groupBy("bucket").agg(F.max_by("node", F.struct("company", F.negate("node"))).alias("hub"))
-    spokes = members.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = cut(_verified(spokes, sets, percent))
-    labels = components(links)
-    labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    counts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mains = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    undecided = cut(labelled.join(mains, "bucket").select("bucket", "node", "component", "main"))
-    rest = undecided.filter("component <> main").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    met = rest.join(undecided, "bucket").filter("cx <> component and (component = main or x < node)")
-    left = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(spokes, ["a", "b"], "left_anti")
+    hubs = members.groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    tried = members.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    tried = cut(tried)
+    links = cut(_verified(tried, sets, percent))
+    labels, undecided = _undecided(members, links)
+    for turn in range(star_rounds):
+        # the loose members meet one more hub of the bucket's main component, another one each time
+        ranked = undecided.filter("component = main").groupBy("bucket").agg(F.max_by("node", F.xxhash64(F.lit(turn), "node")).alias("hub"))
+        again = undecided.filter("component <> main").join(ranked, "bucket").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        fresh = cut(again.distinct().join(tried, ["a", "b"], "left_anti"))
+        found = cut(_verified(fresh, sets, percent))
+        if found.isEmpty():
+            break
+        tried, links = cut(tried.union(fresh)), cut(links.union(found))
+        labels, undecided = _undecided(members, links)
+        release(spark)
+    # the exact rest: every pair of different components that share a bucket and has not met
+    known = undecided.join(first.select("node", F.col("n_shingles").alias("n"), *sketch).dropDuplicates(["node"]), "node")
+    loose = known.filter("component <> main").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), *(F.col(p).alias(f"x{p}") for p in sketch))
+    differing = reduce(add, (F.bit_count(F.col(p).bitwiseXOR(F.col(f"x{p}"))) for p in sketch))
+    may_link = F.expr("cx <> component and (component = main or x < node)") & (differing * (100 + percent) <= (F.col("n") + F.col("nx")) * (100 - percent))
+    met = loose.join(known.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & may_link)
+    left = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(_verified(left, sets, percent))
     if not more.isEmpty():
         labels = components(cut(links.union(more)))
     named = nodes.join(labels, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
-    out = signed.drop("bands").join(named, ["set_a", "set_b"], "left")
+    out = signed.drop("bands", *sketch).join(named, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
