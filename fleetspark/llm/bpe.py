@@ -190,6 +190,7 @@ class Decoder:
     """Token strings end to end in one buffer, each with the space that follows it, and where they start."""
 
     def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
         strings = [(t + " ").encode() for t in vocabulary.tokens]
         self.blob = np.frombuffer(b"".join(strings), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(s) for s in strings])))
@@ -203,17 +204,16 @@ class Decoder:
 
 
 class _Shared:
-    """One encoder or decoder a worker for each broadcast vocabulary."""
+    """One encoder or decoder a worker for a broadcast vocabulary."""
 
     made: dict = {}
 
     @classmethod
     def of(cls, broadcast, kind):
-        key = (broadcast.id, kind)
-        if key not in cls.made:
-            cls.made.clear()
-            cls.made[key] = kind(broadcast.value)
-        return cls.made[key]
+        vocabulary = broadcast.value
+        if kind not in cls.made or cls.made[kind].v is not vocabulary:
+            cls.made[kind] = kind(vocabulary)
+        return cls.made[kind]
 
 
 def _added(df: DataFrame, name: str, kind: str) -> str:
