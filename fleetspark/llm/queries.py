@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetspark.llm.bpe import op8_bpe
+from fleetspark.llm.decontamination import OP5_SQL, op5_decontamination
 from fleetspark.llm.minhash import op7_minhash_dedup
 from fleetspark.llm.quality_rules import op9_quality_rules
 from fleetspark.llm.sharding import op2_sharding
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op2_sharding": op2_sharding,
+        "op5_decontamination": op5_decontamination,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_bpe": op8_bpe,
         "op9_quality_rules": op9_quality_rules,
@@ -26,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL}
+    return {"op1_url_filters": OP1_SQL, "op5_decontamination": OP5_SQL}
