@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(distinct.join(shared, "bucket").select("bucket", "node", "size"))
     release(spark)
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
-    members = cut(members.join(company, "node").select("bucket", "node", "company"))
+    members = cut(members.join(company, "node").select("bucket", "node", "company", "size"))
     sets = cut(
         slim.join(company.select("node"), F.col("doc_id") == F.col("node"), "left_semi").withColumnRenamed("doc_id", "node").select("node", "text").dropDuplicates(["node"]).mapInArrow(lambda it: _sets(it, k), "node long, shingles array<long>")
     )
@@ -192,7 +192,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = members.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     tried = cut(tried)
     links = cut(_verified(tried, sets, percent))
-    labels, undecided = _undecided(members, links)
+    # a bucket of two has met its only pair
+    larger = members.filter("size > 2").select("bucket", "node", "company")
+    labels, undecided = _undecided(larger, links)
     for turn in range(star_rounds):
         # the loose members meet one more hub of the bucket's main component, another one each time
         ranked = undecided.filter("component = main").groupBy("bucket").agg(F.max_by("node", F.xxhash64(F.lit(turn), "node")).alias("hub"))
@@ -202,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if found.isEmpty():
             break
         tried, links = cut(tried.union(fresh)), cut(links.union(found))
-        labels, undecided = _undecided(members, links)
+        labels, undecided = _undecided(larger, links)
         release(spark)
     # the exact rest: every pair of different components that share a bucket and has not met
     known = undecided.join(first.select("node", F.col("n_shingles").alias("n"), *sketch).dropDuplicates(["node"]), "node")
