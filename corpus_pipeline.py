@@ -1,10 +1,80 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus pipeline over ``documents``: each stage works on all that the one before it kept.
+
+quality rules -> near-dedup -> substring dedup -> decontamination -> BPE. The runner writes a stage's rows as
+Parquet and reads them again; all stages but the last return the columns of ``documents``. Quality rules and BPE
+cannot be stated in SQL (a learned list, a vocabulary file), so there is no ORACLE_SQL; tests hold the run
+against a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetspark.llm.bpe import decode, encode
+from fleetspark.llm.common import cut, shared_folder
+from fleetspark.llm.decontamination import contaminated
+from fleetspark.llm.minhash import near_duplicates
+from fleetspark.llm.quality_rules import STATISTICS, rules_from, statistics, verdict
+from fleetspark.llm.substring_dedup import remove_repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base test or a learned rule rejects go; a null or empty text is rejected."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    # the list is learned from the labelled documents alone; every document is then judged in the scan
+    labelled = docs.join(labels.filter("quality is not null").select("doc_id"), "doc_id", "left_semi")
+    rules = rules_from(cut(statistics(labelled, keep=["doc_id"])), labels)
+    return statistics(docs, keep=COLUMNS).filter(verdict(rules)).select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates stays (rows with a null id too)."""
+    groups = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi").select(COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that a smaller document's passage repeats go; a text that loses none stays as it is, white space too."""
+    names = {"n_words": "_n", "n_removed": "_removed", "kept_text": "_kept", "removed_spans": "_spans"}
+    out = remove_repeats(docs, added=names)
+    text = F.when(F.col("_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
+    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its ids, their number and the text they decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return decode(encode(docs, path), path).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
+    ("near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("decontamination", decontaminate),
+    ("BPE", bpe),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what lies between them is written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,16 +13,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor loses nothing.
-
-    The folder is the one that ``spark.checkpoint.dir`` names; only where the session names none
-    (a local session, as in tests) a temporary one is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only where the session names none (a local session, as
+    in tests) a temporary one is set."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    folder = context._jsc.sc().getCheckpointDir()
+    if folder.isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = context._jsc.sc().getCheckpointDir()
+    return folder.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, so that a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

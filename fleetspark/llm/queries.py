@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetspark.llm.bpe import op8_bpe
 from fleetspark.llm.decontamination import OP5_SQL, op5_decontamination
+from fleetspark.llm.language_id import op6_language_id
+from fleetspark.llm.license_scan import OP3_SQL, op3_license_scan
 from fleetspark.llm.minhash import op7_minhash_dedup
 from fleetspark.llm.quality_rules import op9_quality_rules
 from fleetspark.llm.sharding import op2_sharding
 from fleetspark.llm.substring_dedup import op10_substring_dedup
+from fleetspark.llm.toxicity import op4_toxicity
 from fleetspark.llm.url_filters import OP1_SQL, op1_url_filters
 
 
@@ -19,7 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op2_sharding": op2_sharding,
+        "op3_license_scan": op3_license_scan,
+        "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
+        "op6_language_id": op6_language_id,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_bpe": op8_bpe,
         "op9_quality_rules": op9_quality_rules,
@@ -28,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op5_decontamination": OP5_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_license_scan": OP3_SQL, "op5_decontamination": OP5_SQL}

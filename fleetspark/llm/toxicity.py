@@ -8,8 +8,8 @@ occurrences in toxic documents are labelled toxic. The field is trained on those
 of the conditional likelihood (forward-backward), with L2 regularisation.
 
 Scoring reads every whole text: forward-backward gives each token's marginal; the tokens over one half are the
-offending ones, given by character offsets; the largest marginal, calibrated by a logistic fit on the training
-documents, is the document's score.
+offending ones, given by character offsets. The largest marginal and the expected number and share of toxic
+tokens, combined by a logistic fit on the training documents, are the document's score.
 
 Training takes ``most_labelled`` toxic and twice as many clean documents at most, those with the smallest hash of the id.
 
@@ -70,8 +70,7 @@ class Field:
 
     weights: np.ndarray
     moves: np.ndarray
-    scale: float = 1.0
-    shift: float = 0.0
+    blend: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0)
 
     def passes(self, odds: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward ratios (toxic to clean) of every token; sentences go in step, long ones first."""
@@ -99,9 +98,8 @@ class Field:
         both = ahead * back
         return both / (1 + both)
 
-    def score(self, top: np.ndarray) -> np.ndarray:
-        top = np.clip(top, 1e-9, 1 - 1e-9)
-        return 1 / (1 + np.exp(-np.clip(self.scale * np.log(top / (1 - top)) + self.shift, -40, 40)))
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence @ np.array(self.blend), -40, 40)))
 
 
 def _odds(total: np.ndarray) -> np.ndarray:
@@ -175,17 +173,16 @@ def train(texts: list[str], toxic: list[bool], epochs: int = 60, most_sentences:
     return _calibrated(Field(full, moves), texts, toxic)
 
 
-def _calibrated(field: Field, texts: list[str], toxic: list[bool]) -> Field:
-    """The field with the logistic that turns a document's largest marginal into its score."""
-    top = np.clip(Reader(field).read(pa.chunked_array([pa.array(texts, pa.string())]))[0], 1e-9, 1 - 1e-9)
-    x, y = np.log(top / (1 - top)), np.array(toxic, float)
-    half = 0.5 * np.where(y > 0, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum()))  # both kinds weigh the same
-    scale, shift = 0.5, 0.0
-    for _ in range(4000):
-        p = 1 / (1 + np.exp(-np.clip(scale * x + shift, -40, 40)))
-        scale += 0.05 * float((half * (y - p) * x).sum()) - 1e-5 * scale
-        shift += 0.05 * float((half * (y - p)).sum())
-    field.scale, field.shift = max(scale, 1e-3), shift
+def _calibrated(field: Field, texts: list[str], toxic: list[bool], ridge: float = 0.5) -> Field:
+    """The field with the logistic that turns a document's evidence into its score, fitted by Newton steps."""
+    x = Reader(field).read(pa.chunked_array([pa.array(texts, pa.string())]))[0]
+    y = np.array(toxic, float)
+    blend, hold = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+    hold[0, 0] = 1e-6
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ blend, -40, 40)))
+        blend = blend + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold, x.T @ (y - p) - hold @ blend)
+    field.blend = tuple(blend.tolist())
     return field
 
 
@@ -210,13 +207,18 @@ class Reader:
         return _odds(out)[inverse]
 
     def read(self, column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, Words]:
-        """(largest marginal of each text, marginal of each word, the words)."""
+        """(evidence of each text, marginal of each word, the words). Evidence: a constant, the log odds of the
+        largest marginal, the logs of the expected toxic tokens and of their share."""
         words = words_of(column, lower=True)
         first, size = sequences(words)
         p = self.field.marginals(self.emissions(words), first, size)
-        top = np.zeros(len(column))
+        n = len(column)
+        top = np.full(n, 1e-4)
         np.maximum.at(top, words.doc, p)
-        return top, p, words
+        top = np.minimum(top, 1 - 1e-4)
+        mass = np.bincount(words.doc, np.where(p > 0.3, p, 0), minlength=n)
+        share = mass / (words.counts + 20)
+        return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(mass), np.log1p(200 * share)], axis=1), p, words
 
 
 def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,7 +231,7 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         for table in chunks(batches, text_col, 2 << 20):
-            top, p, words = reader.read(table.column(text_col))
+            evidence, p, words = reader.read(table.column(text_col))
             marked = np.flatnonzero(p > 0.5)
             spans: list[list[dict]] = [[] for _ in range(table.num_rows)]
             texts = plain_strings(table.column(text_col))
@@ -239,7 +241,7 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
                 d = int(words.doc[i])
                 spans[d].append({"start": int(lead[words.starts[i]] - lead[base[d]]), "stop": int(lead[words.ends[i]] - lead[base[d]])})
             yield pa.record_batch(
-                {id_col: table.column(id_col).combine_chunks(), "score": pa.array(reader.field.score(top)), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))}
+                {id_col: table.column(id_col).combine_chunks(), "score": pa.array(reader.field.score(evidence)), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))}
             )
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, spans array<struct<start:long,stop:long>>")
