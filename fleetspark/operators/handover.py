@@ -22,10 +22,12 @@ def detect(pings: DataFrame, commands: DataFrame, threshold_km: float = 1.0, ahe
     here = with_cell(pings)
     lat, lon = hexgrid.center("hex_q", "hex_r")
     here = here.withColumns({"_clat": F.expr(lat), "_clon": F.expr(lon)})
-    far = here.withColumn("_off", F.expr(geo.haversine_km("lat", "lon", "_clat", "_clon"))).filter(F.col("_off") >= threshold_km)
+    here = here.withColumn("_off", F.expr(geo.haversine_km("lat", "lon", "_clat", "_clon")))
     to_lat, to_lon = geo.project("lat", "lon", "heading_deg", f"{ahead_km!r}e0")
-    ahead = with_cell(far.withColumn("_lat", F.expr(to_lat)).withColumn("_lon", F.expr(to_lon)), "_lat", "_lon", "to")
-    leaving = ahead.filter("hex_q <> to_q or hex_r <> to_r").select("node_id", F.col("recorded_at").alias("at"), F.lit(1).alias("turn"), "seq", "node_type", F.expr(hexgrid.cell_id("to_q", "to_r")).alias("target_cell"))
+    ahead = with_cell(here.withColumn("_lat", F.expr(to_lat)).withColumn("_lon", F.expr(to_lon)), "_lat", "_lon", "to")
+    # a row for each cell entered: a filter would be pushed down and repeat the whole geometry in its condition
+    entered = F.when((F.col("_off") >= threshold_km) & ((F.col("hex_q") != F.col("to_q")) | (F.col("hex_r") != F.col("to_r"))), F.array(F.expr(hexgrid.cell_id("to_q", "to_r"))))
+    leaving = ahead.select("node_id", F.col("recorded_at").alias("at"), F.lit(1).alias("turn"), "seq", "node_type", F.explode(entered).alias("target_cell"))
     told = commands.select("node_id", F.col("issued_at").alias("at"), F.lit(0).alias("turn"), "seq", F.struct("directive", "target_lat", "target_lon").alias("_c"))
     both = leaving.unionByName(told, allowMissingColumns=True)
     last = F.last("_c", ignorenulls=True).over(Window.partitionBy("node_id").orderBy("at", "turn", "seq").rowsBetween(Window.unboundedPreceding, 0))
