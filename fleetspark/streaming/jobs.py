@@ -97,7 +97,7 @@ def stabilized(proposals: DataFrame, folder: str, **limits: float) -> DataFrame:
 
 def demand(requests: DataFrame, folder: str, late: str = "10 minutes", degrees: float = 0.2) -> DataFrame:
     """(start, x, y, requests): demand of every five minutes, each minute anew, per cell."""
-    cells = requests.withWatermark("ts", late).groupBy(F.window("ts", "5 minutes", "1 minute").alias("w"), F.floor(F.col("lat") / degrees).alias("x"), F.floor(F.col("lon") / degrees).alias("y")).agg(F.count("*").alias("requests"))
+    cells = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "5 minutes", "1 minute").alias("w"), F.floor(F.col("lat") / degrees).alias("x"), F.floor(F.col("lon") / degrees).alias("y")).agg(F.count("*").alias("requests"))
     drive(cells.select(F.col("w.start").alias("start"), "x", "y", "requests"), sink(f"{folder}/demand"), folder, "update")
     # an update replaces the count of its window and cell
     return requests.sparkSession.read.parquet(f"{folder}/demand").groupBy("start", "x", "y").agg(F.max("requests").alias("requests"))
@@ -105,7 +105,7 @@ def demand(requests: DataFrame, folder: str, late: str = "10 minutes", degrees:
 
 def uplinks(pings: DataFrame, folder: str, late: str = "10 minutes") -> DataFrame:
     """(second, uplinks, messages): assets heard and messages of every second."""
-    heard = pings.withWatermark("recorded_at", late).groupBy(F.window("recorded_at", "1 second").alias("w"), "node_id").agg(F.count("*").alias("n"))
+    heard = pings.withColumn("recorded_at", F.col("recorded_at").cast("timestamp")).withWatermark("recorded_at", late).groupBy(F.window("recorded_at", "1 second").alias("w"), "node_id").agg(F.count("*").alias("n"))
     drive(heard.select(F.col("w.start").alias("second"), "node_id", "n"), sink(f"{folder}/heard"), folder, "update")
     last = pings.sparkSession.read.parquet(f"{folder}/heard").groupBy("second", "node_id").agg(F.max("n").alias("n"))
     return last.groupBy("second").agg(F.count("*").alias("uplinks"), F.sum("n").alias("messages"))
