@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.llm.common import chunks, plain_strings
-from fleetspark.llm.words import Words, words_of
+from fleetspark.llm.words import Words, mix, words_of
 
 FEATURE_BITS = 18
 N_FEATURES = 11
@@ -106,20 +106,26 @@ def _odds(total: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(total, -25, 25))
 
 
-def lexicon(texts: list[list[str]], toxic: list[bool], least: int = 6, share: float = 0.03, precision: float = 0.98) -> set[str]:
-    """Units of words that tell toxic documents from clean ones. What counts is in how many different
-    surroundings (the words before and after) a unit stands, so that copies of one passage count once."""
-    around: tuple[dict, dict] = ({}, {})
-    for words, bad in zip(texts, toxic, strict=True):
-        own = around[bad]
-        for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-            place = hash((before, word, after))
-            for unit in units(word):
-                own.setdefault(unit, set()).add(place)
-    n_bad = sum(toxic)
-    rate = n_bad / max(1, len(toxic) - n_bad)
-    enough = max(least, share * n_bad)
-    return {u for u, s in around[1].items() if len(s) >= enough and len(s) >= precision * (len(s) + rate * len(around[0].get(u, ())))}
+def lexicon(cores: list[str], core: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least: int = 6, share: float = 0.03, precision: float = 0.98) -> set[str]:
+    """Units of words that tell toxic documents from clean ones. ``core`` numbers each token's word in ``cores``. What
+    counts is in how many different surroundings (the words before and after) the words of a unit stand, so that
+    copies of one passage count once."""
+    edge = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
+    before, after = np.roll(core, 1), np.roll(core, -1)
+    before[edge[:-1]] = after[edge[1:] - 1] = len(cores)
+    places = mix(mix(before.astype(np.uint64) + np.uint64(1)) * np.uint64(3) + mix(core.astype(np.uint64)) * np.uint64(5) + mix(after.astype(np.uint64) + np.uint64(7)))
+    counts = []
+    for kind in (True, False):
+        _, at = np.unique(places[toxic[doc] == kind], return_index=True)
+        per_word = np.bincount(core[toxic[doc] == kind][at], minlength=len(cores))
+        total: dict[str, int] = {}
+        for i in np.flatnonzero(per_word).tolist():
+            for unit in units(cores[i]):
+                total[unit] = total.get(unit, 0) + int(per_word[i])
+        counts.append(total)
+    n_bad = int(toxic.sum())
+    rate, enough = n_bad / max(1, len(toxic) - n_bad), max(least, share * n_bad)
+    return {u for u, n in counts[0].items() if n >= enough and n >= precision * (n + rate * counts[1].get(u, 0))}
 
 
 def train(texts: list[str], toxic: list[bool], epochs: int = 60, most_sentences: int = 12_000, ridge: float = 1e-3, seed: int = 3) -> Field | None:
@@ -127,15 +133,17 @@ def train(texts: list[str], toxic: list[bool], epochs: int = 60, most_sentences:
     seen: dict[str, bool] = {}
     for text, bad in zip(texts, toxic, strict=True):
         seen.setdefault(text, bad)
-    texts, toxic = list(seen), list(seen.values())
-    if not any(toxic) or all(toxic):
+    texts, kinds = list(seen), np.array(list(seen.values()), bool)
+    if not kinds.any() or kinds.all():
         return None
     words = words_of(pa.array(texts, pa.string()), lower=True)
-    tokens = [bytes(words.data[a:b]).decode("utf-8", "replace") for a, b in zip(words.starts, words.ends, strict=True)]
-    cores = [t.strip(_STRIP) or t for t in tokens]
-    known = lexicon([cores[a:b] for a, b in zip(words.first, words.first[1:], strict=False)], toxic)
-    bad_doc = np.array(toxic, bool)[words.doc]
-    gold = np.array([not known.isdisjoint(units(c)) for c in cores], bool) & bad_doc
+    _, at, token = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    distinct = [bytes(words.data[words.starts[i] : words.ends[i]]).decode("utf-8", "replace") for i in at]
+    cores: dict[str, int] = {}
+    core = np.array([cores.setdefault(t.strip(_STRIP) or t, len(cores)) for t in distinct], np.int64)
+    known = lexicon(list(cores), core[token], words.doc, kinds)
+    marked = np.array([not known.isdisjoint(units(c)) for c in cores], bool)
+    gold = marked[core[token]] & kinds[words.doc]
     first, size = sequences(words)
     has = np.add.reduceat(gold, first) > 0
     rng = np.random.default_rng(seed)
@@ -143,8 +151,8 @@ def train(texts: list[str], toxic: list[bool], epochs: int = 60, most_sentences:
     some = np.concatenate([rng.permutation(np.flatnonzero(has))[: most_sentences // 2], rng.permutation(np.flatnonzero(~has))[: most_sentences // 2]])
     offset = np.cumsum(size[some]) - size[some]
     at = np.repeat(first[some] - offset, size[some]) + np.arange(int(size[some].sum()))
-    table: dict[str, list[int]] = {}
-    f = np.array([table.get(tokens[i]) or table.setdefault(tokens[i], features(tokens[i])) for i in at], np.int64)
+    met, f = np.unique(token[at], return_inverse=True)
+    f = np.array([features(distinct[i]) for i in met], np.int64)[f]
     y, first, size = gold[at].astype(float), offset, size[some]
     used, f = np.unique(f, return_inverse=True)
     f = f.reshape(len(at), -1)
@@ -170,7 +178,7 @@ def train(texts: list[str], toxic: list[bool], epochs: int = 60, most_sentences:
         moves = moves + 0.2 * grad_m / np.sqrt(gm)
     full = np.zeros(1 << FEATURE_BITS)
     full[used] = w
-    return _calibrated(Field(full, moves), texts, toxic)
+    return _calibrated(Field(full, moves), texts, kinds.tolist())
 
 
 def _calibrated(field: Field, texts: list[str], toxic: list[bool], ridge: float = 0.5) -> Field:
