@@ -141,11 +141,13 @@ def _anchor_entries(batches, id_col, text_col, block, window, bits, chunk_bytes)
         has_id = _ids(table, id_col) != NO_ID
         keep = has_id[words.doc[at]]
         at, keys = at[keep], keys[keep]
+        if not len(at):
+            continue
         order = np.argsort(keys, kind="stable")
         at, keys = at[order], keys[order]
         begin = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
         doc = words.doc[at]
-        aligned = np.logical_or.reduceat((at - words.first[doc]) % block == 0, begin) if len(begin) else np.zeros(0, bool)
+        aligned = np.logical_or.reduceat((at - words.first[doc]) % block == 0, begin)
         last = np.append(begin[1:], len(keys)) - 1
         several = doc[begin] != doc[last]
         keys = keys[begin]
