@@ -46,20 +46,25 @@ def radius(queries: DataFrame, positions: DataFrame, cap: int = 50, model: str =
     return out.select("query_id", "rank", "node_id", "asset_class", "lat", "lon", "distance_km", "eta_seconds", "route_type")
 
 
-def nearest(points: DataFrame, targets: DataFrame, distance: str, reach: str, k: int, tie: str, where: str = "true", start_degrees: float = 0.04, most_rounds: int = 14) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, distance: str, reach: str, k: int, tie: str, where: str = "true", start_degrees: float | None = None, most_rounds: int = 40) -> DataFrame:
     """The k nearest targets (t_lat, t_lon, ...) of each point (point_id, p_lat, p_lon, ...), with ``distance`` and ``rank``.
 
     Round by round cells double; a point looks at its own cell and the eight around it, and is done when its k-th
     candidate is nearer than ``reach`` (an expression with {step}: a distance that those cells surely cover).
-    In the last round cells are wider than the data. ``where`` is a condition on a pair.
+    In the last round cells are wider than the data. ``where`` is a condition on a pair. The first cells hold about
+    k / 4 targets each if these are spread evenly, so the pairs of a round grow with the points, not with their
+    number times that of the targets.
     """
     spark, done, open_ = points.sparkSession, [], points
-    bounds = targets.agg(F.min("t_lat"), F.max("t_lat"), F.min("t_lon"), F.max("t_lon")).first()
+    bounds = targets.agg(F.min("t_lat"), F.max("t_lat"), F.min("t_lon"), F.max("t_lon"), F.count("*")).first()
     own = points.agg(F.min("p_lat"), F.max("p_lat"), F.min("p_lon"), F.max("p_lon")).first()
     if bounds[0] is None or own[0] is None:
         widest = 0.0
     else:
         widest = max(max(bounds[1], own[1]) - min(bounds[0], own[0]), max(bounds[3], own[3]) - min(bounds[2], own[2]))
+    if start_degrees is None:
+        area = (bounds[1] - bounds[0]) * (bounds[3] - bounds[2]) if bounds[4] else 0.0
+        start_degrees = max(1e-4, (area * max(k / 4, 1) / max(1, bounds[4])) ** 0.5)
     step = start_degrees
     for _ in range(most_rounds):
         last = step >= widest
