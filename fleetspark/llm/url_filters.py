@@ -4,8 +4,8 @@ A list log has one row for each dated change: list, kind of rule (host, domain o
 remove), date of publication. Changes of one rule on one date fold into one (add wins); each then holds until
 the next change of that rule, which gives validity intervals. A capture looks up its url, its host and the
 domain of that host, and meets the entries whose interval holds its fetch time: an as-of join on equal rules.
-A rule has as many intervals as its list was published, however often it is repeated; a hot host is a skewed
-equi-join on the capture side, which adaptive execution splits.
+A rule has as many intervals as its list was published, however often it is repeated, and the captures of a hot
+host are dealt to parts, so no task holds all of them.
 
 Defined results. A capture with a null or unparsable url or a null fetch time meets nothing and is kept. Log
 rows with a null in any column are ignored. An interval holds its start and not its end. An entry counts once
@@ -43,7 +43,7 @@ def intervals(log: DataFrame) -> DataFrame:
     return folded.withColumn("valid_to", following).filter("action = 'add'").select("list", "kind", "rule", F.col("published").alias("valid_from"), "valid_to")
 
 
-def active_entries(captures: DataFrame, log: DataFrame, key: str, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
+def active_entries(captures: DataFrame, log: DataFrame, key: str, url_col: str = "url", time_col: str = "fetched_at", salts: int = 64) -> DataFrame:
     """(key, list, kind, rule) of every capture and entry that was active when it was fetched."""
     host = host_of(F.col(url_col))
     asked = captures.select(
@@ -57,10 +57,13 @@ def active_entries(captures: DataFrame, log: DataFrame, key: str, url_col: str =
             )
         ).alias("q"),
     ).select("capture", "at", "q.kind", "q.rule")
-    asked = asked.filter("rule is not null and rule <> ''")
-    entry = intervals(log)
+    # a hot host's captures are dealt to ``salts`` parts; an entry is copied to the parts that ask for its rule
+    part = F.pmod(F.xxhash64("capture", "at"), F.lit(salts))
+    asked = asked.filter("rule is not null and rule <> ''").withColumn("part", part)
+    wanted = asked.select("kind", "rule", "part").distinct()
+    entry = wanted.join(intervals(log), ["kind", "rule"])
     held = (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
-    return asked.join(entry, ["kind", "rule"]).filter(held).select(F.col("capture").alias(key), "list", "kind", "rule").distinct()
+    return asked.join(entry, ["kind", "rule", "part"]).filter(held).select(F.col("capture").alias(key), "list", "kind", "rule").distinct()
 
 
 def filter_urls(captures: DataFrame, log: DataFrame, key: str, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
