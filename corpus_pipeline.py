@@ -19,7 +19,7 @@ from fleetspark.llm.bpe import decode, encode
 from fleetspark.llm.common import cut, shared_folder
 from fleetspark.llm.decontamination import contaminated
 from fleetspark.llm.minhash import near_duplicates
-from fleetspark.llm.quality_rules import STATISTICS, rules_from, statistics, verdict
+from fleetspark.llm.quality_rules import good_only, rules_from, statistics
 from fleetspark.llm.substring_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the list is learned from the labelled documents alone; every document is then judged in the scan
     labelled = docs.join(labels.filter("quality is not null").select("doc_id"), "doc_id", "left_semi")
     rules = rules_from(cut(statistics(labelled, keep=["doc_id"])), labels)
-    return statistics(docs, keep=COLUMNS).filter(verdict(rules)).select(COLUMNS)
+    return good_only(docs.select(COLUMNS), rules)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,6 +165,13 @@ def verdict(rules: list[Rule]) -> Column:
     return ~base_failed() & decision(rules).isNull()
 
 
+def good_only(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, judged in one scan. A row is generated for each good text: a filter on the
+    verdict would be pushed down, and would evaluate the statistics again within their own lambdas."""
+    passes = F.explode(F.when(verdict(rules), F.array(F.lit(1)))).alias("_good")
+    return statistics(docs, text_col).select(*docs.columns, passes).drop("_good")
+
+
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Whole ``documents``, rules learned from ``labels.quality``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
