@@ -16,27 +16,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspark.llm.bpe import decode, encode
-from fleetspark.llm.common import cut, shared_folder
+from fleetspark.llm.common import cut, release, shared_folder
 from fleetspark.llm.decontamination import contaminated
 from fleetspark.llm.minhash import near_duplicates
 from fleetspark.llm.quality_rules import good_only, rules_from, statistics
 from fleetspark.llm.substring_dedup import remove_repeats
 
+#: The most labelled documents that the quality rules are learned from, those with the smallest hash of the id.
+LABELLED = 20_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base test or a learned rule rejects go; a null or empty text is rejected."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    # the list is learned from the labelled documents alone; every document is then judged in the scan
-    labelled = docs.join(labels.filter("quality is not null").select("doc_id"), "doc_id", "left_semi")
-    rules = rules_from(cut(statistics(labelled, keep=["doc_id"])), labels)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter("quality is not null")
+    # the list is learned from LABELLED rows at most; every document is then judged in the scan
+    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    labelled = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    rules = rules_from(cut(statistics(labelled.select(COLUMNS), keep=["doc_id"])), chosen, most_labelled=LABELLED)
     return good_only(docs.select(COLUMNS), rules)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates stays (rows with a null id too)."""
-    groups = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    groups = cut(near_duplicates(docs).filter("kept").select("doc_id").distinct())
+    release(spark)
     return docs.join(groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi").select(COLUMNS)
 
 
@@ -50,7 +54,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    found = cut(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+    release(spark)
     return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
 
 
