@@ -97,12 +97,16 @@ class Network:
         score = np.exp(score - score.max(axis=2, keepdims=True))
         return score / score.sum(axis=2, keepdims=True)
 
-    def word_sums(self, words: Words, at: np.ndarray, block: int = 4096) -> np.ndarray:
-        """Of each word, the sum of its bytes' distributions."""
+    def word_sums(self, words: Words, at: np.ndarray, cells: int = 200_000) -> np.ndarray:
+        """Of each word, the sum of its bytes' distributions. About ``cells`` bytes are read at a time, so that one
+        very long word has a block of its own."""
         sums = np.zeros((len(at), len(self.languages)))
         order = np.argsort(words.starts[at] - words.ends[at], kind="stable")
-        for a in range(0, len(at), block):
-            some = order[a : a + block]
+        a = 0
+        while a < len(at):
+            longest = int(words.ends[at[order[a]]] - words.starts[at[order[a]]]) + 2
+            some = order[a : a + max(1, cells // longest)]
+            a += len(some)
             x, size = byte_matrix(words.data, words.starts[at[some]], words.ends[at[some]])
             alive = np.searchsorted(-size, -np.arange(1, len(x) + 1), side="right")
             p = self.labels(x, alive)
