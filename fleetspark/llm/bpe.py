@@ -39,7 +39,7 @@ WORD_END = "</w>"
 #: Signs that str.split() takes for white space and the pattern does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: The most words whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 150_000
 #: Last bytes of a piece are written as signs from here on, so that a token's place in a piece is part of its string.
 _LAST = 0x10000
 
