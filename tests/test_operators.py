@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,30 @@ def test_no_path_and_own_node(spark):
     assert got == {1: ("ok", 3.0, [0, 2]), 2: ("no_path", None, None), 3: ("ok", 0.0, [3]), 4: ("source_missing", None, None), 5: ("target_missing", None, None)}
 
 
+def test_rounds_follow_the_graph(spark):
+    nodes = spark.createDataFrame([(i, 0.0, float(i)) for i in range(3)], "id long, lat double, lon double")
+    edges = spark.createDataFrame([(0, 1, 1.0, 1.0), (1, 0, 2.0, -1.0)], "source_id long, target_id long, km double, multiplier double")
+    pairs = spark.createDataFrame([(1, 0, 2)], "pair_id long, source_id long, target_id long")
+    with pytest.raises(RuntimeError, match="negative"):
+        routing.shortest(edges, nodes, pairs)
+
+
+def test_routes_equal_brute_force(spark):
+    r = random.Random(3)
+    roads_ = [(r.randrange(30), r.randrange(30), r.randint(1, 9) / 2, 1.0 + r.randrange(3)) for _ in range(70)]
+    cost = {(s, s): 0.0 for s in range(30)}
+    for _ in range(30):
+        for a, b, km, m in roads_:
+            for s in range(30):
+                if (s, a) in cost:
+                    cost[s, b] = min(cost.get((s, b), math.inf), cost[s, a] + km * m)
+    nodes = spark.createDataFrame([(i, 0.0, float(i)) for i in range(30)], "id long, lat double, lon double")
+    edges = spark.createDataFrame(roads_, "source_id long, target_id long, km double, multiplier double")
+    asked = [(30 * s + t, s, t) for s in range(6) for t in range(30)]
+    pairs = spark.createDataFrame(asked, "pair_id long, source_id long, target_id long")
+    assert {x.pair_id: x.cost for x in routing.shortest(edges, nodes, pairs).collect()} == {i: cost.get((s, t)) for i, s, t in asked}
+
+
 def test_left_asset_is_gone(spark):
     rows = spark.createDataFrame([("a", 13.0, 80.0, 1, 1), ("a", 40.0, 80.0, 2, 2)], "node_id string, lat double, lon double, recorded_at int, seq int")
     assert state.latest(rows).isEmpty()
