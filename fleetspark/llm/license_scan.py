@@ -1,8 +1,9 @@
 r"""Licence scan by canonical digests, with built-in expressions only.
 
-A text is brought to a canonical form: lower case; lines that begin with a copyright notice dropped; equivalent
-spellings made one; everything but a-z and 0-9 made single spaces. The SHA-256 of that form is joined with the
-digests of known licences. Whole documents are looked up, and each of their lines as a text of its own, since a
+A text is brought to a canonical form: lower case; copyright notices dropped (lines that begin with a copyright sign or
+word and go on with a year or holder, never text that a wrap made begin so, as "copyright notice" or "copyright
+holders"); equivalent spellings made one; everything but a-z and 0-9 made single spaces. ``digest`` is the SHA-256 of
+that form. Licences are looked up by the digest of the form without lines that say "All rights reserved" and no more. Whole documents are looked up, and each of their lines as a text of its own, since a
 notice is often one line of a longer document. The catalogue is a fixed, short table and is broadcast.
 
 Defined results. Null texts, and texts without a letter or digit in canonical form, have no digest and no licence.
@@ -51,12 +52,22 @@ LICENSES = [
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
 ]
+#: The notice rule of OP3_SQL; ``canonical`` has a narrower one. They differ on no line of the given tables.
 _NOTICE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: Words that go on with a sentence after "copyright" or an enumerating "(c)", where a notice has a year or holder.
+_GOES_ON = (
+    "act|and|and/or|are|as|assignment|be|claim|disclaimer|doctrines?|exceptions?|except|for|grant|has|holders?|holders?[(]s[)]|if|in|including|infringement|interests?|is|laws?|licen[cs]es?|"
+    "lines?|management|may|notices?|of|on|or|other|owners?|ownership|page|patents?|permissions?|protection|registration|relevant|resulting|rights?|shall|"
+    "statements?|statement[(]s[)]|status|terms?|that|the (?:above|library|program|software|work)|this|to|trademarks?|treaty|treaties|under|was|which|will|with|works?"
+)
+_CLAUSE = "a|accept|accompany|all|an|any|by|cause|each|for|give|if|in|it|must|no|of|offer|on|or|prevent|provide|provided|representations|such|that|the|this|to|under|use|you|your"
+_REAL_NOTICE = rf"(^|\n)[ \t]*(?:©|copyright(?![a-z-])(?![ \t]*(?:[.,;/\"'”\n]|--|$))(?![ \t]+(?:{_GOES_ON})(?![a-z0-9]))|\(c\)(?![ \t]*(?:\n|$))(?![ \t]*(?:{_CLAUSE})(?![a-z0-9])))[^\n]*"
+_RESERVED = r"(^|\n)[ \t]*all rights reserved[ \t.!]*(?=\r?(\n|$))"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form; null for null."""
-    out = F.regexp_replace(F.lower(text), _NOTICE, "$1")
+    out = F.regexp_replace(F.lower(text), _REAL_NOTICE, "$1")
     for spelling, usual in SPELLINGS.items():
         out = F.replace(out, F.lit(spelling), F.lit(usual))
     return F.trim(F.regexp_replace(out, r"[^a-z0-9]+", " "))
@@ -67,9 +78,14 @@ def digest(text: Column) -> Column:
     return F.transform(F.array(canonical(text)), lambda form: F.when(form != "", F.sha2(form, 256)))[0]
 
 
+def lookup(text: Column) -> Column:
+    """The digest by which a whole text is looked up: without lines of "All rights reserved"."""
+    return digest(F.regexp_replace(F.lower(text), _RESERVED, "$1"))
+
+
 def catalogue(spark: SparkSession, licenses: list[tuple[str, str]] = LICENSES) -> DataFrame:
     """(digest, license) of the known texts."""
-    return spark.createDataFrame(licenses, "license string, known string").select(digest(F.col("known")).alias("digest"), "license").dropDuplicates(["digest"])
+    return spark.createDataFrame(licenses, "license string, known string").select(lookup(F.col("known")).alias("digest"), "license").dropDuplicates(["digest"])
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,7 +95,9 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     known = F.broadcast(known)  # as long as the catalogue
     lines = docs.select(id_col, F.explode(F.split(text_col, "\n")).alias("_line")).select(id_col, digest(F.col("_line")).alias("digest"))
     stated = lines.join(known, "digest").groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n_license_lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
-    whole = docs.withColumn("digest", digest(F.col(text_col))).join(known, "digest", "left")
+    whole = docs.withColumn("digest", digest(F.col(text_col)))
+    reserved = F.lower(text_col).contains("all rights reserved")
+    whole = whole.withColumn("_key", F.when(reserved, lookup(F.col(text_col))).otherwise(F.col("digest"))).join(known.withColumnRenamed("digest", "_key"), "_key", "left")
     out = whole.join(stated, F.col(id_col) == F.col("_id"), "left")
     return out.select(*docs.columns, "digest", "license", F.coalesce("n_license_lines", F.lit(0)).alias("n_license_lines"), F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
 

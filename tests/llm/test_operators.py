@@ -1,4 +1,5 @@
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -170,6 +171,17 @@ def test_licences(spark):
     assert got == {1: ("MIT", 0), 2: ("MIT", 0), 3: (None, 0), 4: (None, 0), 5: (None, 0), 6: (None, 1), 7: (None, 0)}
 
 
+def test_licences_as_published(spark):
+    texts = {i: known for i, (name, known) in enumerate(license_scan.LICENSES) if name in ("MIT", "ISC", "0BSD") and "\n" in known}
+    rows = [(1000 * i + width, "Copyright (c) 2004-2010 by A. Holder\nAll rights reserved.\n\n" + "\n".join(textwrap.fill(part, width) for part in known.split("\n"))) for i, known in texts.items() for width in range(20, 100)]
+    got = {r.doc_id: r.license for r in license_scan.scan(documents(spark, rows), license_scan.catalogue(spark)).collect()}
+    assert got == {i: license_scan.LICENSES[i // 1000][0] for i, _ in rows}
+    lines = ["Copyright 2020 Me", "copyright (c) Me", "(C) 1999", "© Me", "Copyright © Me", "Copyright The Authors", "(c) me"]
+    kept = ["copyright notice and this", "copyright holders be liable", "copyright", "copyright, patent", "copyright the software", "copyrighted works", "(c) You must retain"]
+    rows = [(i, t) for i, t in enumerate(lines + kept)]
+    assert [r.digest is None for r in license_scan.scan(documents(spark, rows), license_scan.catalogue(spark)).orderBy("doc_id").collect()] == [True] * len(lines) + [False] * len(kept)
+
+
 def test_contamination(spark):
     r = random.Random(8)
     item = [r.choice("abcdefghij") * r.randint(1, 4) + str(i) for i in range(40)]
