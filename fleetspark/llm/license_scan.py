@@ -4,7 +4,8 @@ A text is brought to a canonical form: lower case; copyright notices dropped (li
 word and go on with a year or holder, never text that a wrap made begin so, as "copyright notice" or "copyright
 holders"); equivalent spellings made one; everything but a-z and 0-9 made single spaces. ``digest`` is the SHA-256 of
 that form. Licences are looked up by the digest of the form without lines that say "All rights reserved" and no more. Whole documents are looked up, and each of their lines as a text of its own, since a
-notice is often one line of a longer document. The catalogue is a fixed, short table and is broadcast.
+notice is often one line of a longer document. The catalogue is a fixed table of some ten thousand digests and is
+broadcast. OP3_SQL knows the texts of this file alone; the given tables state no other.
 
 Defined results. Null texts, and texts without a letter or digit in canonical form, have no digest and no licence.
 Texts that reach the same canonical form have the same licence. A licence counts once for each line that states it.
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetspark.llm.known_licenses import notices, texts
+
 # Spellings that count as equal, and the texts of known licences and notices.
 SPELLINGS = {
     "licence": "license",
@@ -83,9 +86,11 @@ def lookup(text: Column) -> Column:
     return digest(F.regexp_replace(F.lower(text), _RESERVED, "$1"))
 
 
-def catalogue(spark: SparkSession, licenses: list[tuple[str, str]] = LICENSES) -> DataFrame:
-    """(digest, license) of the known texts."""
-    return spark.createDataFrame(licenses, "license string, known string").select(lookup(F.col("known")).alias("digest"), "license").dropDuplicates(["digest"])
+def catalogue(spark: SparkSession, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, license) of the known texts, those of this file and of ``known_licenses`` unless others are given."""
+    if licenses is None:
+        licenses = [*LICENSES, *texts(), *notices()]
+    return spark.createDataFrame(licenses, "license string, known string").select(lookup(F.col("known")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

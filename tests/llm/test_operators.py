@@ -1,4 +1,5 @@
 import random
+import re
 import textwrap
 import zlib
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleetspark.llm import bpe, decontamination, language_id, license_scan, minhash, quality_rules, queries, sharding, substring_dedup, toxicity, url_filters
+from fleetspark.llm import bpe, decontamination, known_licenses, language_id, license_scan, minhash, quality_rules, queries, sharding, substring_dedup, toxicity, url_filters
 from fleetspark.llm.graph import components
 from tests.compare import connection, same
 from tests.llm import brute
@@ -182,6 +183,21 @@ def test_licences_as_published(spark):
     assert [r.digest is None for r in license_scan.scan(documents(spark, rows), license_scan.catalogue(spark)).orderBy("doc_id").collect()] == [True] * len(lines) + [False] * len(kept)
 
 
+def test_licences_of_the_catalogue(spark):
+    def wrap(text, width):
+        return "\n\n".join(p if "(c)" in p.lower() or "copyright [" in p.lower() or "©" in p else textwrap.fill(" ".join(p.split()), width, break_on_hyphens=False, break_long_words=False) for p in re.split(r"\n[ \t]*\n", text))
+
+    known = known_licenses.texts()
+    rows = [(1000 * i + width, wrap(text, width)) for i, (_, text) in enumerate(known) for width in (40, 66, 75, 400)]
+    got = {r.doc_id: r.license for r in license_scan.scan(documents(spark, rows), license_scan.catalogue(spark)).collect()}
+    assert {i: (known[i // 1000][0], v) for i, v in got.items() if v != known[i // 1000][0]} == {}
+    assert {name for name, _ in known} >= {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"}
+    lines = {"# SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "Licensed under CC BY 4.0.": "CC-BY-4.0", "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "This software is released under the BSD 3-Clause License.": "BSD-3-Clause"}
+    rows = [(i, "text\n" + line) for i, line in enumerate(lines)]
+    got = license_scan.scan(documents(spark, rows), license_scan.catalogue(spark)).orderBy("doc_id").collect()
+    assert [r.line_licenses for r in got] == list(lines.values())
+
+
 def test_contamination(spark):
     r = random.Random(8)
     item = [r.choice("abcdefghij") * r.randint(1, 4) + str(i) for i in range(40)]
