@@ -6,8 +6,9 @@ its bytes. Its state begins anew at each word, so equal words have equal labels:
 once for each distinct word it meets and counts, which gives the same sums as reading every occurrence.
 
 Training is backpropagation through time in numpy on the driver, over words drawn from ``per_language`` texts
-of each language at most (those with the smallest hash of the id), ``words_per_text`` of each at most. Prediction
-reads every byte of every text.
+of each language at most (those with the smallest hash of the id), ``words_per_text`` of each at most. For training
+alone, a word of more than 40 bytes is cut at characters into pieces of about 40, each a word of its own, so that
+scripts without spaces are learned too. Prediction reads every byte of every text, and long words whole.
 
 Defined results. Null texts and texts without a letter are ``und`` with score 0. Ties go to the language that
 sorts first. Without any training row every text is ``und``. Repeated rows are predicted alike. Only the id,
@@ -151,23 +152,38 @@ class Network:
         return float(loss), [*d_tables, *d_loops, d_out, d_bias]
 
 
+def pieces(words: Words, most: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, those of more than ``most`` bytes cut at characters near each multiple of it, and
+    each text's first piece (one entry more than texts)."""
+    size = words.ends - words.starts
+    count = np.maximum(1, -(-size // most)).astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(count)])
+    word = np.repeat(np.arange(len(size)), count)
+    starts = words.starts[word] + (np.arange(before[-1]) - before[word]) * most
+    for _ in range(3):  # UTF-8 has three further bytes at most
+        starts = starts - ((words.data[starts] & 0xC0) == 0x80)
+    last = np.append(word[1:] != word[:-1], True)
+    ends = np.where(last, words.ends[word], np.append(starts[1:], 0))
+    return starts, ends, before[words.first]
+
+
 def train(texts: list[str], labels: list[str], hidden: int = 12, words_per_text: int = 40, epochs: int = 3, batch: int = 256, rate: float = 0.01, seed: int = 5) -> Network:
     """A network fitted by Adam to words of the texts, each byte labelled with its text's language."""
     languages = sorted(set(labels))
     net, rng = Network.fresh(languages, hidden, seed), np.random.default_rng(seed)
     words = words_of(pa.array(texts, pa.string()), lower=True)
-    drawn = [rng.permutation(np.arange(a, b))[:words_per_text] for a, b in zip(words.first, words.first[1:], strict=False)]
+    starts, ends, bounds = pieces(words)
+    drawn = [rng.permutation(np.arange(a, b))[:words_per_text] for a, b in zip(bounds, bounds[1:], strict=False)]
     at = np.concatenate(drawn) if drawn else np.zeros(0, np.int64)
-    at = at[words.ends[at] - words.starts[at] <= 40]
-    target = np.array([languages.index(x) for x in labels])[words.doc[at]]
+    target = np.repeat([languages.index(x) for x in labels], [len(d) for d in drawn])
     first, second = [np.zeros_like(w) for w in net.weights()], [np.zeros_like(w) for w in net.weights()]
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(at))
         for a in range(0, len(order), batch):
             some = order[a : a + batch]
-            some = some[np.argsort(words.starts[at[some]] - words.ends[at[some]], kind="stable")]
-            x, size = byte_matrix(words.data, words.starts[at[some]], words.ends[at[some]])
+            some = some[np.argsort(starts[at[some]] - ends[at[some]], kind="stable")]
+            x, size = byte_matrix(words.data, starts[at[some]], ends[at[some]])
             _, grads = net.gradients(x, size, target[some])
             step += 1
             for w, g, m, v in zip(net.weights(), grads, first, second, strict=True):

@@ -221,6 +221,19 @@ def test_language(spark):
     assert language_id.fit(spark.createDataFrame([], "doc_id long, text string, lang string")) is None
 
 
+def test_language_without_spaces():
+    r = random.Random(4)
+    letters = {"ja": (0x3041, 0x3096), "th": (0x0E01, 0x0E2E), "zh": (0x4E00, 0x6E00), "en": (97, 122)}
+    text = lambda k: "".join(chr(r.randint(*letters[k])) + (" " if k == "en" and r.random() < 0.2 else "") for _ in range(300))
+    known, asked = [k for k in letters for _ in range(30)], [k for k in letters for _ in range(10)]
+    net = language_id.train([text(k) for k in known], known)
+    assert language_id.Reader(net).predict(language_id.pa.chunked_array([[text(k) for k in asked]]))[0] == asked
+    words = language_id.words_of(language_id.pa.array(["a " + "é" * 100, "", "xy " + "z" * 40]))
+    starts, ends, bounds = language_id.pieces(words)
+    cut = [bytes(words.data[a:b]).decode() for a, b in zip(starts, ends, strict=True)]
+    assert ["".join(cut[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)] == ["a" + "é" * 100, "", "xy" + "z" * 40] and max(map(len, cut)) == 40
+
+
 def test_network_gradients():
     net = language_id.Network.fresh(["a", "b"], 3, 1)
     net.tables, net.loops, net.out = [t.astype(float) for t in net.tables], [t.astype(float) for t in net.loops], net.out.astype(float)
