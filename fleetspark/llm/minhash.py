@@ -14,9 +14,10 @@ are not in a bucket's main component are compared with all others of other compo
 within a component are not made, and no link between components is lost.
 
 Defined results. Null or empty texts, and those without a word, have an empty set: no links, own component.
-Fewer than k words: the whole sequence is the one shingle. Rows that repeat an id count as one document
-with either text (they share the id); ties need no order, as a component's name is its smallest id. A null
-id is kept with null component. An empty table gives an empty table. Only the id and text columns are read.
+Fewer than k words: the whole sequence is the one shingle. Rows that repeat an id are linked with each other if
+both have a set, so each text of the id keeps its links; ties need no order, as a component's name is its smallest
+id. A null id is kept with null component and links nothing. An empty table gives an empty table. Texts of any
+length are read whole. Only the id and text columns are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ SLOT_STEP = 0x9E3779B97F4A7C15
 SLOT_SEED = np.uint64(SLOT_STEP)
 #: 64-bit words of a parity sketch.
 SKETCH = 16
-#: Documents with no more shingles than this keep their permutations as a table.
+#: Documents with no more shingles than this keep their permutations as a table, of so many shingles at a time.
 SMALL = 64
+TABLE = 8_192
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +84,7 @@ def _rounds(sig: np.ndarray, doc: np.ndarray, hashed: np.ndarray, m: int, table:
             slot = k.copy()
             for i in range(j - 1, -1, -1):  # before round i, position swaps[i] held what stood at i
                 slot[slot == swaps[i]] = i
-            swaps.append(k)
+            swaps.append(k.astype(np.int16))
         np.minimum.at(flat, doc * m + slot, value)
         live = np.unique(doc)
         on = np.zeros(len(sig), bool)
@@ -98,7 +100,13 @@ def signatures(doc: np.ndarray, hashed: np.ndarray, n_docs: int, m: int) -> np.n
     """SuperMinHash: (n_docs, m) of rank << 32 | fraction; rows of documents without shingles stay at the maximum."""
     sig = np.full((n_docs, m), np.iinfo(np.uint64).max, np.uint64)
     small = (np.bincount(doc, minlength=n_docs) <= SMALL)[doc]
-    _rounds(sig, doc[small], hashed[small], m, True)
+    of, given = doc[small], hashed[small]
+    edges = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))  # a document's shingles stay together
+    a = 0
+    while a < len(of):
+        b = int(edges[np.searchsorted(edges, a + TABLE, side="right") - 1])
+        _rounds(sig, of[a:b], given[a:b], m, True)
+        a = b
     _rounds(sig, doc[~small], hashed[~small], m, False)
     return sig
 
@@ -115,9 +123,9 @@ def parities(doc: np.ndarray, hashed: np.ndarray, n_docs: int) -> np.ndarray:
     return out.reshape(n_docs, SKETCH)
 
 
-def _signed(batches, id_col: str, text_col: str, k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for table in chunks(batches, text_col, 1 << 20, 2_000):
-        words = words_of(table.column(text_col), lower=True)
+def _signed(batches, k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    for table in chunks(batches, "text", 1 << 20, 2_000):
+        words = words_of(table.column("text"), lower=True)
         doc, hashed = shingles(words, k)
         n = table.num_rows
         sig = signatures(doc, hashed, n, bands * rows).reshape(n, bands, rows)
@@ -130,7 +138,7 @@ def _signed(batches, id_col: str, text_col: str, k: int, bands: int, rows: int)
         np.add.at(two, doc, mix(hashed ^ SLOT_SEED))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(key.reshape(-1).view(np.int64)))
         yield pa.record_batch(
-            {"doc_id": table.column(id_col).combine_chunks().cast(pa.int64()), "n_shingles": pa.array(size, pa.int64()), "set_a": pa.array(one.view(np.int64)), "set_b": pa.array(two.view(np.int64)), "bands": lists}
+            {"doc_id": table.column("doc_id").combine_chunks(), "text_hash": table.column("text_hash").combine_chunks(), "n_shingles": pa.array(size, pa.int64()), "set_a": pa.array(one.view(np.int64)), "set_b": pa.array(two.view(np.int64)), "bands": lists}
             | {f"p{i}": pa.array(column.view(np.int64)) for i, column in enumerate(np.ascontiguousarray(parities(doc, hashed, n).T))}
         )
 
@@ -140,7 +148,7 @@ def _sets(batches, k: int) -> Iterator[pa.RecordBatch]:
         doc, hashed = shingles(words_of(table.column("text"), lower=True), k)
         ends = np.searchsorted(doc, np.arange(table.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashed.view(np.int64)))
-        yield pa.record_batch({"node": table.column("node").combine_chunks().cast(pa.int64()), "shingles": lists})
+        yield pa.record_batch({"node": table.column("node").combine_chunks(), "shingles": lists})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,21 +179,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rounds of further hubs before the exact rest; any number gives the same result.
     """
     spark, sketch = docs.sparkSession, [f"p{i}" for i in range(SKETCH)]
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(slim.mapInArrow(lambda it: _signed(it, "doc_id", "text", k, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{p} long" for p in sketch)))
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    kinds = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{p} long" for p in sketch)
+    signed = cut(slim.mapInArrow(lambda it: _signed(it, k, bands, rows), kinds).withColumn("row", F.monotonically_increasing_id()))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    nodes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    first = full.join(nodes, ["set_a", "set_b"]).filter("doc_id = node")
-    distinct = first.select("node", F.explode("bands").alias("bucket")).distinct()
-    shared = distinct.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    # without the buckets of one member
-    members = cut(distinct.join(shared, "bucket").select("bucket", "node", "size"))
+    # a node is a set; it goes by the row that holds it with the smallest id
+    nodes = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "row")).alias("least")).select("set_a", "set_b", F.col("least.row").alias("node"), F.col("least.doc_id").alias("doc_id"))
+    first = full.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    banded = first.select("node", F.explode("bands").alias("bucket"))
+    # without the buckets of one member, which hold most rows and are found by map-side counts of the keys alone
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = cut(banded.join(shared, "bucket").select("bucket", "node", "size"))
     release(spark)
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
     members = cut(members.join(company, "node").select("bucket", "node", "company", "size"))
-    sets = cut(
-        slim.join(company.select("node"), F.col("doc_id") == F.col("node"), "left_semi").withColumnRenamed("doc_id", "node").select("node", "text").dropDuplicates(["node"]).mapInArrow(lambda it: _sets(it, k), "node long, shingles array<long>")
-    )
+    wanted = first.join(company.select("node"), "node", "left_semi").select("node", "doc_id", "text_hash")
+    # rows with the same id and hash hold the same text
+    sets = cut(slim.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("node", "text").mapInArrow(lambda it: _sets(it, k), "node long, shingles array<long>"))
     release(spark)
 
     hubs = members.groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
@@ -207,18 +218,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels, undecided = _undecided(larger, links)
         release(spark)
     # the exact rest: every pair of different components that share a bucket and has not met
-    known = undecided.join(first.select("node", F.col("n_shingles").alias("n"), *sketch).dropDuplicates(["node"]), "node")
+    known = undecided.join(first.select("node", F.col("n_shingles").alias("n"), *sketch), "node")
     loose = known.filter("component <> main").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), *(F.col(p).alias(f"x{p}") for p in sketch))
     differing = reduce(add, (F.bit_count(F.col(p).bitwiseXOR(F.col(f"x{p}"))) for p in sketch))
     may_link = F.expr("cx <> component and (component = main or x < node)") & (differing * (100 + percent) <= (F.col("n") + F.col("nx")) * (100 - percent))
     met = loose.join(known.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & may_link)
     left = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(_verified(left, sets, percent))
-    if not more.isEmpty():
-        labels = components(cut(links.union(more)))
-    named = nodes.join(labels, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
-    out = signed.drop("bands", *sketch).join(named, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    # the sets of one id belong together
+    several = full.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    repeated = full.join(several, "doc_id").select("doc_id", "set_a", "set_b").distinct().join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"])
+    least = repeated.groupBy("doc_id").agg(F.min("node").alias("a"))
+    tied = cut(repeated.join(least, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
+    if not (more.isEmpty() and tied.isEmpty()):
+        labels = components(cut(links.union(more).union(tied)))
+    grouped = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = grouped.groupBy("component").agg(F.min("doc_id").alias("name"))
+    named = grouped.join(names, "component").select("set_a", "set_b", "name")
+    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

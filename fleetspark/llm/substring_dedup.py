@@ -4,7 +4,8 @@ A window of ``window`` words that repeats across documents holds at least one wh
 ``(window + 1) // 2`` words that starts at a multiple of that length in the document it repeats.
 So the non-overlapping blocks of every document are indexed, and every rolling window of block length
 probes the index (step A). Around the hits, and only there, windows of full length are compared on
-96-bit keys, and the smallest document of each key is found (step B). Step C extends the hits to
+128-bit keys (two independent hashes of 64 bits; among 10^12 windows, two unequal ones share both with probability
+10^-15), and the smallest document of each key is found (step B). Step C extends the hits to
 maximal exact repeats: the union of all windows that also start in a smaller document.
 
 What crosses the network is packed per chunk of text and hash bucket, one entry for each distinct key of
@@ -94,7 +95,7 @@ def _from_planes(blob: bytes, kind: str, n: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8, size * n, at).reshape(size, n).T).view(kind).ravel()
 
 
-# Entries of step B and its answers: a 64-bit and a 32-bit key and the smallest document.
+# Entries of step B and its answers: two 64-bit keys and the smallest document.
 
 
 def _pack_windows(a: np.ndarray, b: np.ndarray, ids: np.ndarray, *flags: np.ndarray) -> bytes:
@@ -103,8 +104,8 @@ def _pack_windows(a: np.ndarray, b: np.ndarray, ids: np.ndarray, *flags: np.ndar
 
 def _unpack_windows(blob: bytes, flag: bool = False) -> tuple[np.ndarray, ...]:
     n = int(np.frombuffer(blob, np.uint32, 1)[0])
-    out = (_from_planes(blob, "<u8", n, 4), _from_planes(blob, "<u4", n, 4 + 8 * n), _from_planes(blob, "<i8", n, 4 + 12 * n))
-    return (*out, np.unpackbits(np.frombuffer(blob, np.uint8, (n + 7) // 8, 4 + 20 * n), count=n).astype(bool)) if flag else out
+    out = tuple(_from_planes(blob, kind, n, 4 + 8 * i * n) for i, kind in enumerate(("<u8", "<u8", "<i8")))
+    return (*out, np.unpackbits(np.frombuffer(blob, np.uint8, (n + 7) // 8, 4 + 24 * n), count=n).astype(bool)) if flag else out
 
 
 def _pack_keys(keys: np.ndarray, *flags: np.ndarray) -> bytes:
@@ -190,8 +191,8 @@ def _texts(batches, id_col, text_col, chunk_bytes) -> Iterator[pa.RecordBatch]:
 
 
 def _window_keys(words: Words, first: np.ndarray, second: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent keys of 64 and 32 bits of the windows from ``at``."""
-    return words.grams(first, window, at), (words.grams(second, window, at, family=1) >> np.uint64(32)).astype("<u4")
+    """Two independent keys of 64 bits of the windows from ``at``."""
+    return words.grams(first, window, at), words.grams(second, window, at, family=1)
 
 
 def _window_entries(texts: pa.Table, hits: pa.Table, id_col, text_col, block, window, bits, shift) -> pa.Table:

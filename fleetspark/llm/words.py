@@ -5,6 +5,7 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; it never spans t
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,11 +17,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Two odd bases of the byte polynomials and two odd bases of the n-gram polynomials.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-GRAM_BASES = (0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)
-_SEGMENT = 1 << 20
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Seeds of the two families of word hashes, and of the factors of their n-grams.
+SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+GRAM_SEEDS = (0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)
+#: Longer words (in bytes) are hashed one by one.
+LONG = 64
+#: By number of bytes, up to 8: which bits of a block of 8 bytes belong to a word.
+_PART = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,20 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i below n; kept for the usual segment length."""
-    if base in _POWERS and len(_POWERS[base][0]) >= n:
-        return _POWERS[base]
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(max(n, 1), b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    if n <= 2 * _SEGMENT:
-        _POWERS[base] = (out[0], out[1])
-    return out[0], out[1]
-
-
 @dataclass
 class Words:
     """The words of a list of texts, in order; ``first[d]:first[d + 1]`` are those of text ``d``."""
@@ -62,35 +51,31 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, family: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; the two families are independent."""
-        base = BASES[family]
-        out = np.empty(len(self.starts), np.uint64)
-        a = 0
-        while a < len(out):
-            low = int(self.starts[a])
-            b = max(a + 1, int(np.searchsorted(self.ends, low + _SEGMENT, side="right")))
-            piece = self.data[low : int(self.ends[b - 1])].astype(np.uint64)
-            piece += np.uint64(1)
-            power, inverse = _powers(base, max(len(piece), _SEGMENT))
-            piece *= power[: len(piece)]
-            np.cumsum(piece, out=piece)
-            s = self.starts[a:b] - low
-            before = piece[s - 1]
-            before[0] = 0
-            h = piece[self.ends[a:b] - low - 1] - before
-            h *= inverse[s]
-            out[a:b] = h
-            a = b
-        return mix(out)
+        """A 64-bit hash of each word's bytes; the two families are independent. Words go through ``mix`` in blocks of
+        8 bytes, each block exclusive-or'ed to what the ones before it made; long ones are hashed by BLAKE2."""
+        size = (self.ends - self.starts).astype(np.int64)
+        out = mix(np.uint64(SEEDS[family]) + size.astype(np.uint64))
+        padded = np.concatenate((self.data, np.zeros(8, np.uint8)))
+        blocks = np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))
+        at, left, first = np.flatnonzero(size <= LONG), size, self.starts
+        left, first = left[at], first[at]
+        while len(at):
+            out[at] = mix(out[at] ^ (blocks[first] & _PART[np.minimum(left, 8)]))
+            on = left > 8
+            at, left, first = at[on], left[on] - 8, first[on] + 8
+        for i in np.flatnonzero(size > LONG).tolist():
+            digest = hashlib.blake2b(self.data[self.starts[i] : self.ends[i]], digest_size=8, key=SEEDS[family].to_bytes(8, "little"))
+            out[i] = int.from_bytes(digest.digest(), "little")
+        return out
 
     def grams(self, hashes: np.ndarray, k: int, at: np.ndarray | None = None, family: int = 0) -> np.ndarray:
-        """The hash of the k words from each position of ``at`` (or from each possible position)."""
-        base = np.uint64(GRAM_BASES[family])
+        """The hash of the k words from each position of ``at`` (or from each possible position): the sum of their
+        hashes, each times an odd factor of its place."""
+        factors = mix(np.uint64(GRAM_SEEDS[family]) + np.arange(k, dtype=np.uint64)) | np.uint64(1)
         n = max(0, len(hashes) - k + 1)
-        g = (hashes[:n] if at is None else hashes[at]).copy()
+        g = (hashes[:n] if at is None else hashes[at]) * factors[0]
         for j in range(1, k):
-            g *= base
-            g += hashes[j : n + j] if at is None else hashes[at + j]
+            g += (hashes[j : n + j] if at is None else hashes[at + j]) * factors[j]
         return mix(g)
 
     def whole(self, k: int) -> np.ndarray:
