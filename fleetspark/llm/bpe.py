@@ -8,10 +8,11 @@ token before it (the pair-compatibility test), and otherwise falls back to the n
 token back. Positions known to lead nowhere are marked, so each is left at most once: the work is linear.
 
 White space never is part of a piece and pieces never span it, so equal white-space-separated words have
-equal ids; each task remembers those of the words it met, up to ``CACHE`` of them.
+equal ids; each worker remembers those of the words it met, up to ``CACHE_BYTES`` of them. Words with signs that Unicode
+versions treat differently (``in_doubt``) are normalised and split by the tokenizers library, so that its tables hold.
 
 Defined results. Null and empty texts, and those of white space alone, have no ids and decode to the empty
-string. The strings of special tokens in a text become their ids, as the file's added tokens say. Ids are
+string; texts of any length are encoded whole. An empty table gives an empty one. The strings of special tokens in a text become their ids, as the file's added tokens say. Ids are
 packed as little-endian unsigned 32-bit integers in one binary. Decoding joins the token strings by one
 space (the file has no decoder); an id outside the vocabulary is an error. Rows are independent of each
 other: repeated rows and ties need no rule. Extra columns are carried along; a clash of names is an error.
@@ -23,6 +24,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -30,20 +32,31 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
-from fleetspark.llm.common import chunks, plain_strings
+from fleetspark.llm.common import chunks, plain_strings, tidy
 
 #: Fixed values of the file format: the split pattern and the word-end mark.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+SPACE = regex.compile(r"\s+")
 WORD_END = "</w>"
 #: Signs that str.split() takes for white space and the pattern does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
-#: The most words whose ids a worker remembers.
-CACHE = 150_000
+#: About the most bytes of words and ids that a worker remembers; longer words are not kept, and what each entry takes besides.
+CACHE_BYTES, LONGEST, ENTRY = 64 << 20, 256, 200
+#: The most pairs of tokens whose compatibility a worker remembers.
+PAIRS = 150_000
 #: Last bytes of a piece are written as signs from here on, so that a token's place in a piece is part of its string.
 _LAST = 0x10000
 
 
+def in_doubt(sign: str) -> bool:
+    """Whether Unicode tables of different age may treat the sign differently: this Python's table calls it unassigned,
+    or it is a mark that came after Unicode 3.2."""
+    kind = unicodedata.category(sign)
+    return kind == "Cn" or kind[0] == "M" and unicodedata.ucd_3_2_0.category(sign) == "Cn"
+
+
 def byte_signs() -> list[str]:
     """The printable sign of each byte: itself if it has one, else the next free sign from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -78,11 +91,16 @@ class Vocabulary:
 
 
 class Encoder(dict):
-    """Maps a lower-cased word to its packed ids; pieces are encoded when first met."""
+    """Maps a word to its packed ids; pieces are encoded when first met."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
+        self.held = 0
+        self.older: dict[str, bytes] = {}
+        self.sure: set[str] = set()
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.splitter = pre_tokenizers.Split(Regex(PIECE.pattern), "removed", invert=True)
         self.signs = byte_signs()
         self.joined = {pair: vocabulary.first_merge + i for i, pair in enumerate(vocabulary.pairs)}
         last_of = {s: chr(_LAST + b) for b, s in enumerate(self.signs)}
@@ -125,7 +143,7 @@ class Encoder(dict):
                 before, right = right + 1, inner_right
             else:
                 break
-        if len(self.compatible) > CACHE:
+        if len(self.compatible) > PAIRS:
             self.compatible.clear()
         self.compatible[a << 20 | b] = good
         return good
@@ -162,23 +180,33 @@ class Encoder(dict):
                 token = shorter[last]
                 last = out[-1] if out else -1
 
+    def pieces(self, word: str) -> list[str]:
+        if not word.isascii():
+            if not self.sure.issuperset(word):
+                if any(map(in_doubt, word)):
+                    return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(word))]
+                self.sure.update(word)
+            word = unicodedata.normalize("NFC", word).replace("Σ", "σ")  # lower-cased sign by sign, without the rule for word ends
+        return PIECE.findall(word.lower())
+
     def __missing__(self, word: str) -> bytes:
-        ids = np.array([i for p in PIECE.findall(word) for i in self.piece(p)], "<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = ids
+        ids = self.older.get(word)
+        if ids is None:
+            tokens = [i for p in self.pieces(word) for i in self.piece(p)]
+            ids = pack(f"<{len(tokens)}I", *tokens)
+        if len(word) <= LONGEST:
+            self.held += len(word) + len(ids) + ENTRY
+            if self.held > CACHE_BYTES // 2:  # words that were not met again since the last turn are forgotten
+                self.older = dict(self)
+                self.clear()
+                self.held = 0
+            self[word] = ids
         return ids
 
     def plain(self, text: str) -> bytes:
         """The ids of a text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # it is lower-cased sign by sign, without the rule for word ends
-                text = text.replace("Σ", "σ")
-        text = text.lower()
-        if any(sign in text for sign in NOT_SPACE):
-            return b"".join(self[p] for p in PIECE.findall(text))
-        return b"".join(map(self.__getitem__, text.split()))
+        words = SPACE.split(text) if any(sign in text for sign in NOT_SPACE) else text.split()
+        return b"".join(map(self.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         if self.special is None or "<|" not in text:
@@ -216,36 +244,47 @@ class _Shared:
         return cls.made[kind]
 
 
-def _added(df: DataFrame, name: str, kind: str) -> str:
-    if name in df.columns:
-        raise ValueError(f"column {name} is there already; choose another name")
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` {kind}"])
+def _added(df: DataFrame, kinds: dict[str, str]) -> str:
+    if clash := set(kinds) & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already; choose other names")
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{name}` {kind}" for name, kind in kinds.items())])
+
+
+def _decoded(decoder: Decoder, ids: list[bytes | None]) -> pa.Array:
+    return pa.array([decoder.decode(np.frombuffer(x, "<u4").astype(np.int64)) if x else b"" for x in ids], pa.binary()).cast(pa.string())
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the packed ids of each whole text, by the vocabulary file at ``path`` (read by the driver)."""
-    schema = _added(docs, ids_col, "binary")
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with the packed ids of each whole text, by the vocabulary file at ``path`` (read by the driver), and, if
+    ``decoded_col`` is given, the text that these ids decode to, made in the same pass. ``keep``: the columns of
+    ``docs`` that are wanted beside them (all)."""
+    kept = docs.columns if keep is None else keep
+    schema = _added(docs.select(kept), {ids_col: "binary"} | ({decoded_col: "string"} if decoded_col else {}))
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Shared.of(shared, Encoder)
         for table in chunks(batches, text_col, 1 << 20):
             ids = [encoder.encode(t) for t in plain_strings(table.column(text_col)).to_pylist()]
-            yield from table.append_column(ids_col, pa.array(ids, pa.binary())).combine_chunks().to_batches()
+            out = table.select(kept).append_column(ids_col, pa.array(ids, pa.binary()))
+            if decoded_col:
+                out = out.append_column(decoded_col, _decoded(_Shared.of(shared, Decoder), ids))
+            yield from out.combine_chunks().to_batches()
+        tidy()
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """``df`` with the text that its packed ids stand for, special tokens included (null ids: empty)."""
-    schema = _added(df, decoded_col, "string")
+    schema = _added(df, {decoded_col: "string"})
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _Shared.of(shared, Decoder)
         for table in chunks(batches, ids_col, 1 << 20):
-            texts = [decoder.decode(np.frombuffer(x, "<u4").astype(np.int64)) if x else b"" for x in table.column(ids_col).to_pylist()]
-            yield from table.append_column(decoded_col, pa.array(texts, pa.binary()).cast(pa.string())).combine_chunks().to_batches()
+            yield from table.append_column(decoded_col, _decoded(decoder, table.column(ids_col).to_pylist())).combine_chunks().to_batches()
+        tidy()
 
     return df.mapInArrow(run, schema)
 
@@ -256,8 +295,7 @@ def op8_bpe(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
 
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs, path).select("doc_id", "ids"), path)
-    return both.select(
+    return encode(docs, path, decoded_col="decoded", keep=["doc_id"]).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),

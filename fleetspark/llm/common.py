@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -42,6 +43,17 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def tidy() -> None:
+    """Called by a task's Python part when it is through: gives what Arrow and the allocator hold free back to the
+    machine, as Spark keeps the worker for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def plain_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one string array without nulls (a null text counts as empty)."""
     if isinstance(column, pa.ChunkedArray):

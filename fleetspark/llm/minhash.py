@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.llm.common import chunks, cut, release
+from fleetspark.llm.common import chunks, cut, release, tidy
 from fleetspark.llm.graph import components
 from fleetspark.llm.words import Words, mix, words_of
 
@@ -141,6 +141,7 @@ def _signed(batches, k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
             {"doc_id": table.column("doc_id").combine_chunks(), "text_hash": table.column("text_hash").combine_chunks(), "n_shingles": pa.array(size, pa.int64()), "set_a": pa.array(one.view(np.int64)), "set_b": pa.array(two.view(np.int64)), "bands": lists}
             | {f"p{i}": pa.array(column.view(np.int64)) for i, column in enumerate(np.ascontiguousarray(parities(doc, hashed, n).T))}
         )
+    tidy()
 
 
 def _sets(batches, k: int) -> Iterator[pa.RecordBatch]:
@@ -149,6 +150,7 @@ def _sets(batches, k: int) -> Iterator[pa.RecordBatch]:
         ends = np.searchsorted(doc, np.arange(table.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashed.view(np.int64)))
         yield pa.record_batch({"node": table.column("node").combine_chunks(), "shingles": lists})
+    tidy()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.llm.common import chunks, cut, plain_strings, release
+from fleetspark.llm.common import chunks, cut, plain_strings, release, tidy
 from fleetspark.llm.words import Words, mix, words_of
 
 NO_ID = np.iinfo(np.int64).max
@@ -158,6 +158,7 @@ def _anchor_entries(batches, id_col, text_col, block, window, bits, chunk_bytes)
             (keys >> np.uint64(32)).astype(np.int64),
             lambda a, b, low=low, aligned=aligned, several=several: _pack_keys(low[a:b], aligned[a:b], several[a:b]),
         )
+    tidy()
 
 
 def _anchor_hits(table: pa.Table) -> pa.Table:
@@ -188,6 +189,7 @@ def _texts(batches, id_col, text_col, chunk_bytes) -> Iterator[pa.RecordBatch]:
     for table in chunks(batches, text_col, chunk_bytes):
         chunk = _chunk_id(table, id_col, text_col, words_of(table.column(text_col)))
         yield pa.record_batch({"chunk": pa.array([chunk], pa.int64()), "rows": pa.array([_packed(table)], pa.binary())})
+    tidy()
 
 
 def _window_keys(words: Words, first: np.ndarray, second: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
