@@ -11,11 +11,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm.bpe import decode, encode
+from fleetspark.llm.bpe import encode
 from fleetspark.llm.common import cut, release, shared_folder
 from fleetspark.llm.decontamination import contaminated
 from fleetspark.llm.minhash import near_duplicates
@@ -61,8 +60,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its ids, their number and the text they decode to."""
+    import public_tokenizers
+
     path = public_tokenizers.path("word_bpe_49k.json")
-    return decode(encode(docs, path), path).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    return encode(docs, path, decoded_col="decoded").withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
