@@ -1,18 +1,18 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a white-space-separated word with a space on either side, in both directions,
-and labels every byte with a distribution over languages. A document's distribution is the mean over all
-its bytes. Its state begins anew at each word, so equal words have equal labels: a task runs the network
-once for each distinct word it meets and counts, which gives the same sums as reading every occurrence.
+The network reads the UTF-8 bytes of a text (A-Z lower-cased), white space and all, in both directions and labels every
+byte with a distribution over languages; a document's distribution is the mean over all its bytes. So that texts of any
+length are read in parallel, each is cut into stretches of ``CORE`` bytes, which the network reads with the ``AROUND``
+bytes before and after them (as far as the text goes); each byte is labelled once, in its own stretch.
 
-Training is backpropagation through time in numpy on the driver, over words drawn from ``per_language`` texts
-of each language at most (those with the smallest hash of the id), ``words_per_text`` of each at most. For training
-alone, a word of more than 40 bytes is cut at characters into pieces of about 40, each a word of its own, so that
-scripts without spaces are learned too. Prediction reads every byte of every text, and long words whole.
+Training is backpropagation through time in numpy on the driver, every byte labelled with its text's language. It takes
+``per_language`` rows of each language at most (those with the smallest hash of the id), and of these ``pieces`` pieces
+of 200 signs a language at most (those with the smallest hash), so what is collected is bounded in bytes too.
 
 Defined results. Null texts and texts without a letter are ``und`` with score 0. Ties go to the language that
-sorts first. Without any training row every text is ``und``. Repeated rows are predicted alike. Only the id,
-text and language columns are read, the language for training rows alone.
+sorts first. Without any training row every text is ``und``; so it is with an empty table, which gives no rows.
+Repeated rows are predicted alike. Null ids are carried along. Only the id, text and language columns are read, the
+language for training rows alone, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -26,26 +26,48 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspark.llm.common import chunks, plain_strings
-from fleetspark.llm.words import Words, words_of
+from fleetspark.llm.common import chunks, plain_strings, text_bytes, tidy
 
 LETTER = regex.compile(r"\p{L}")
-#: The most words whose label sums a worker remembers.
-CACHE = 300_000
+#: Bytes of a stretch, and bytes read before and after it.
+CORE, AROUND = 240, 16
+#: Stretches that are read together.
+TOGETHER = 3_000
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def byte_matrix(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(length, words) of the bytes of words of falling length, with a space on either side, and their lengths."""
-    size = (ends - starts + 2).astype(np.int64)
-    out = np.full((int(size.max(initial=0)), len(size)), 32, np.uint8)
-    inner = np.repeat(starts, size - 2) + np.arange(int((size - 2).sum())) - np.repeat(np.cumsum(size - 2) - (size - 2), size - 2)
-    row = inner - np.repeat(starts, size - 2) + 1
-    out[row, np.repeat(np.arange(len(size)), size - 2)] = data[inner]
-    return out, size
+@dataclass
+class Stretches:
+    """The stretches of many texts, by falling length: their text, what is read (start, stop) and, within that, where
+    their own bytes begin and how many they are."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    lead: np.ndarray
+    own: np.ndarray
+
+    @classmethod
+    def of(cls, offsets: np.ndarray, core: int, around: int) -> Stretches:
+        count = -(-np.diff(offsets) // core)
+        doc = np.repeat(np.arange(len(count)), count)
+        begin = offsets[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * core
+        end = np.minimum(begin + core, offsets[doc + 1])
+        start, stop = np.maximum(begin - around, offsets[doc]), np.minimum(end + around, offsets[doc + 1])
+        order = np.argsort(start - stop, kind="stable")
+        return cls(*(a[order] for a in (doc, start, stop, begin - start, end - begin)))
+
+    def matrix(self, data: np.ndarray, some: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, stretches) of their bytes, and how many stretches have a byte at each place."""
+        size = (self.stop - self.start)[some]
+        length = int(size.max(initial=0))
+        at = self.start[some] + np.minimum(np.arange(length)[:, None], size - 1)
+        return data[at], np.searchsorted(-size, -np.arange(1, length + 1), side="right")
 
 
 @dataclass
@@ -68,8 +90,8 @@ class Network:
         return [*self.tables, *self.loops, self.out, self.bias]
 
     def states(self, x: np.ndarray, alive: np.ndarray, way: int, keep: bool = False):
-        """The state after each byte (length, words, h); words are of falling length, alive[t] have a byte t.
-        Backwards (way 1) a word's first step is its last byte."""
+        """The state after each byte (length, stretches, h); stretches are of falling length, alive[t] have a byte t.
+        Backwards (way 1) a stretch's first step is its last byte."""
         length, n = x.shape
         h = self.loops[way].shape[0]
         table, loop = self.tables[way], self.loops[way]
@@ -91,39 +113,62 @@ class Network:
             state[:k] = after
         return (out, kept) if keep else out
 
+    @np.errstate(over="ignore")
     def labels(self, x: np.ndarray, alive: np.ndarray) -> np.ndarray:
-        """(length, words, languages) distributions; beyond a word's end they mean nothing."""
-        both = np.concatenate([self.states(x, alive, 0), self.states(x, alive, 1)], axis=2)
-        score = both @ self.out + self.bias
-        score = np.exp(score - score.max(axis=2, keepdims=True))
-        return score / score.sum(axis=2, keepdims=True)
-
-    def word_sums(self, words: Words, at: np.ndarray, cells: int = 200_000) -> np.ndarray:
-        """Of each word, the sum of its bytes' distributions. About ``cells`` bytes are read at a time, so that one
-        very long word has a block of its own."""
-        sums = np.zeros((len(at), len(self.languages)))
-        order = np.argsort(words.starts[at] - words.ends[at], kind="stable")
-        a = 0
-        while a < len(at):
-            longest = int(words.ends[at[order[a]]] - words.starts[at[order[a]]]) + 2
-            some = order[a : a + max(1, cells // longest)]
-            a += len(some)
-            x, size = byte_matrix(words.data, words.starts[at[some]], words.ends[at[some]])
-            alive = np.searchsorted(-size, -np.arange(1, len(x) + 1), side="right")
-            p = self.labels(x, alive)
-            p[np.arange(len(x))[:, None] >= size[None, :]] = 0
-            sums[some] = p.sum(axis=0)
+        """(languages, length, stretches) distributions; beyond a stretch's end they mean nothing. The same recurrence
+        as ``states``, gate by gate in arrays that are used again."""
+        (length, n), h = x.shape, self.loops[0].shape[0]
+        score = np.empty((len(self.languages), length, n), np.float32)
+        score[:] = self.bias[:, None, None]
+        signs = np.repeat(np.array([-1, -1, 1], np.float32), h)
+        parts = lambda w: [np.ascontiguousarray(w[:, i * h : (i + 1) * h]) for i in range(3)]
+        for way in (0, 1):
+            tables, loops, out = parts(signs * self.tables[way]), parts(signs * self.loops[way]), np.ascontiguousarray(self.out[way * h : (way + 1) * h].T)
+            whole, kept = np.zeros((n, h), np.float32), [np.empty((n, h), np.float32) for _ in range(3)]
+            for t in range(length) if way == 0 else range(length - 1, -1, -1):
+                k = alive[t]
+                state, read = whole[:k], x[t, :k]
+                z, r, new = (a[:k] for a in kept)
+                for gate, table, loop in zip((z, r), tables, loops, strict=False):
+                    np.matmul(state, loop, out=gate)
+                    gate += table[read]
+                    np.exp(gate, out=gate)  # the weights are negative here; beyond the largest number it is 1 / inf
+                    gate += 1
+                    np.reciprocal(gate, out=gate)
+                np.matmul(state, loops[2], out=new)
+                new *= r
+                new += tables[2][read]
+                np.tanh(new, out=new)
+                state -= new
+                state *= z
+                state += new
+                score[:, t, :k] += out @ state.T
+        score -= score.max(axis=0)
+        np.exp(score, out=score)
+        score /= score.sum(axis=0)
+        return score
+
+    def text_sums(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Of each text, the sum of its bytes' distributions."""
+        sums = np.zeros((len(offsets) - 1, len(self.languages)))
+        cut = Stretches.of(offsets, CORE, AROUND)
+        for a in range(0, len(cut.doc), TOGETHER):
+            some = slice(a, a + TOGETHER)
+            x, alive = cut.matrix(data, some)
+            x = x.astype(np.intp)
+            place = np.arange(len(x))[:, None] - cut.lead[some]
+            own = ((place >= 0) & (place < cut.own[some])).astype(np.float32)
+            np.add.at(sums, cut.doc[some], np.einsum("kln,ln->nk", self.labels(x, alive), own))
         return sums
 
-    def gradients(self, x: np.ndarray, size: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    def gradients(self, x: np.ndarray, alive: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean cross-entropy over bytes and its gradients, by backpropagation through time."""
-        alive = np.searchsorted(-size, -np.arange(1, len(x) + 1), side="right")
         runs = [self.states(x, alive, way, keep=True) for way in (0, 1)]
         both = np.concatenate([r[0] for r in runs], axis=2)
         score = both @ self.out + self.bias
         score = np.exp(score - score.max(axis=2, keepdims=True))
         p = score / score.sum(axis=2, keepdims=True)
-        inside = np.arange(len(x))[:, None] < size[None, :]
+        inside = np.arange(x.shape[1])[None, :] < alive[:, None]
         total = inside.sum()
         loss = -np.log(np.take_along_axis(p, target[None, :, None], 2)[..., 0] + 1e-9)[inside].sum() / total
         d = p.copy()
@@ -152,79 +197,40 @@ class Network:
         return float(loss), [*d_tables, *d_loops, d_out, d_bias]
 
 
-def pieces(words: Words, most: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, those of more than ``most`` bytes cut at characters near each multiple of it, and
-    each text's first piece (one entry more than texts)."""
-    size = words.ends - words.starts
-    count = np.maximum(1, -(-size // most)).astype(np.int64)
-    before = np.concatenate([[0], np.cumsum(count)])
-    word = np.repeat(np.arange(len(size)), count)
-    starts = words.starts[word] + (np.arange(before[-1]) - before[word]) * most
-    for _ in range(3):  # UTF-8 has three further bytes at most
-        starts = starts - ((words.data[starts] & 0xC0) == 0x80)
-    last = np.append(word[1:] != word[:-1], True)
-    ends = np.where(last, words.ends[word], np.append(starts[1:], 0))
-    return starts, ends, before[words.first]
-
-
-def train(texts: list[str], labels: list[str], hidden: int = 12, words_per_text: int = 40, epochs: int = 3, batch: int = 256, rate: float = 0.01, seed: int = 5) -> Network:
-    """A network fitted by Adam to words of the texts, each byte labelled with its text's language."""
+def train(texts: list[str], labels: list[str], hidden: int = 12, length: int = 64, epochs: int = 4, batch: int = 128, rate: float = 0.015, seed: int = 5) -> Network:
+    """A network fitted by Adam to all bytes of the texts, in stretches of ``length``, each byte labelled with its
+    text's language."""
     languages = sorted(set(labels))
     net, rng = Network.fresh(languages, hidden, seed), np.random.default_rng(seed)
-    words = words_of(pa.array(texts, pa.string()), lower=True)
-    starts, ends, bounds = pieces(words)
-    drawn = [rng.permutation(np.arange(a, b))[:words_per_text] for a, b in zip(bounds, bounds[1:], strict=False)]
-    at = np.concatenate(drawn) if drawn else np.zeros(0, np.int64)
-    target = np.repeat([languages.index(x) for x in labels], [len(d) for d in drawn])
+    data, offsets = text_bytes(plain_strings(pa.array(texts, pa.string())))
+    data, cut = _LOWER[data], Stretches.of(offsets, length, 0)
+    target = np.array([languages.index(x) for x in labels], np.int64)[cut.doc]
     first, second = [np.zeros_like(w) for w in net.weights()], [np.zeros_like(w) for w in net.weights()]
-    step = 0
+    step, steps = 0, epochs * -(-len(cut.doc) // batch)
     for _ in range(epochs):
-        order = rng.permutation(len(at))
+        order = rng.permutation(len(cut.doc))
         for a in range(0, len(order), batch):
-            some = order[a : a + batch]
-            some = some[np.argsort(starts[at[some]] - ends[at[some]], kind="stable")]
-            x, size = byte_matrix(words.data, starts[at[some]], ends[at[some]])
-            _, grads = net.gradients(x, size, target[some])
+            some = np.sort(order[a : a + batch])  # stretches are numbered by falling length
+            x, alive = cut.matrix(data, some)
+            _, grads = net.gradients(x, alive, target[some])
             step += 1
+            pace = rate * (1 - step / (steps + 1))
             for w, g, m, v in zip(net.weights(), grads, first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                w -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                w -= (pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return net
 
 
-class Reader:
-    """Predicts tables of texts, remembering the label sums of words."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.rows: dict[int, int] = {}
-        self.sums = np.zeros((0, len(net.languages)))
-
-    def word_rows(self, words: Words) -> np.ndarray:
-        """The row of ``sums`` of every word."""
-        hashes = words.hashes()
-        distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.rows) + len(distinct) > CACHE:
-            self.rows, self.sums = {}, self.sums[:0]
-        row = np.array([self.rows.get(h, -1) for h in distinct.tolist()], np.int64)
-        new = np.flatnonzero(row < 0)
-        if len(new):
-            row[new] = len(self.sums) + np.arange(len(new))
-            self.rows.update(zip(distinct[new].tolist(), row[new].tolist(), strict=True))
-            self.sums = np.concatenate([self.sums, self.net.word_sums(words, at[new])])
-        return row[inverse]
-
-    def predict(self, column: pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
-        words, n = words_of(column, lower=True), len(column)
-        rows = self.word_rows(words)
-        total = np.stack([np.bincount(words.doc, self.sums[rows, k], minlength=n) for k in range(len(self.net.languages))], axis=1)
-        size = np.bincount(words.doc, words.ends - words.starts + 2, minlength=n)
-        share = total / np.maximum(size, 1)[:, None]
-        best = share.argmax(axis=1)
-        letter = np.array([bool(LETTER.search(t)) for t in plain_strings(column).to_pylist()], bool)
-        names = [self.net.languages[b] if ok else "und" for b, ok in zip(best, letter, strict=True)]
-        return names, np.where(letter, np.clip(share.max(axis=1), 0, 1), 0.0)
+def predict(net: Network, column: pa.Array | pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
+    """The language and score of each text."""
+    texts = plain_strings(column)
+    data, offsets = text_bytes(texts)
+    share = net.text_sums(_LOWER[data], offsets) / np.maximum(np.diff(offsets), 1)[:, None]
+    best = share.argmax(axis=1)
+    letter = np.array([bool(LETTER.search(t)) for t in texts.to_pylist()], bool)
+    names = [net.languages[b] if ok else "und" for b, ok in zip(best, letter, strict=True)]
+    return names, np.where(letter, np.clip(share.max(axis=1, initial=0), 0, 1), 0.0)
 
 
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,21 +240,33 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
-        for table in chunks(batches, text_col, 4 << 20):
-            names, score = reader.predict(table.column(text_col))
+        for table in chunks(batches, text_col, 2 << 20):
+            names, score = predict(shared.value, table.column(text_col))
             yield pa.record_batch({id_col: table.column(id_col).combine_chunks(), "lang_pred": pa.array(names, pa.string()), "score": pa.array(score)})
+        tidy()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
-def fit(known: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> Network | None:
+def sample(known: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, pieces: int) -> DataFrame:
+    """(lang, piece) of a bounded sample; see the module's text. Rows are counted by language first, and those whose
+    hash is far from the smallest ones are left out before any are ranked, so the ranking meets few of them."""
+    usable = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each output of the network
+    if not counts:
+        return usable.select("lang", F.col("text").alias("piece"))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * per_language / r["n"]))))
+    drawn = usable.filter((F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)) <= share[F.col("lang")])
+    place = Window.partitionBy("lang")
+    rows = drawn.withColumn("r", F.row_number().over(place.orderBy(F.xxhash64("id", F.lit(11)), "id", "text"))).filter(F.col("r") <= per_language)
+    cut = rows.select("lang", "id", F.posexplode(F.expr("transform(sequence(0, greatest(length(text) - 1, 0) div 200), i -> substr(text, int(i * 200 + 1), 200))")).alias("i", "piece"))
+    return cut.withColumn("r", F.row_number().over(place.orderBy(F.xxhash64("id", "i"), "piece"))).filter(F.col("r") <= pieces).select("lang", "piece")
+
+
+def fit(known: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, pieces: int = 800) -> Network | None:
     """A network trained on a bounded sample of the rows with text and language; None without any."""
-    usable = known.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    ranked = usable.select(id_col, lang_col, F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)).alias("r"))
-    chosen = ranked.filter(F.col("r") <= per_language).select(id_col).distinct()
-    rows = usable.join(F.broadcast(chosen), id_col).select(id_col, lang_col, text_col).orderBy(id_col, text_col).collect()
-    return train([r[text_col] for r in rows], [r[lang_col] for r in rows]) if rows else None
+    rows = sample(known, id_col, text_col, lang_col, per_language, pieces).orderBy("lang", "piece").toArrow()
+    return train(rows["piece"].to_pylist(), rows["lang"].to_pylist()) if rows.num_rows else None
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

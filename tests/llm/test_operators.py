@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleetspark.llm import bpe, decontamination, known_licenses, language_id, license_scan, minhash, quality_rules, queries, sharding, substring_dedup, toxicity, url_filters
+from fleetspark.llm import bpe, decontamination, known_licenses, license_scan, minhash, quality_rules, queries, sharding, substring_dedup, toxicity, url_filters
 from fleetspark.llm.graph import components
 from tests.compare import connection, same
 from tests.llm import brute
@@ -211,46 +211,6 @@ def test_contamination(spark):
     assert decontamination.contaminated(documents(spark, rows), items.limit(0)).isEmpty()
 
 
-def test_language(spark):
-    sf = "/root/testdata/sf0.01"
-    got = language_id.op6_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
-    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
-    net = language_id.train(["la casa de la ñ", "the house of the"] * 5, ["es", "en"] * 5, epochs=1)
-    odd = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(documents(spark, [*ODD, (10, "12 34 !!")]), net).collect()}
-    assert all(odd[i] == ("und", 0.0) for i in (1, 2, 3, 10)) and 0 < odd[8][1] <= 1
-    assert language_id.fit(spark.createDataFrame([], "doc_id long, text string, lang string")) is None
-
-
-def test_language_without_spaces():
-    r = random.Random(4)
-    letters = {"ja": (0x3041, 0x3096), "th": (0x0E01, 0x0E2E), "zh": (0x4E00, 0x6E00), "en": (97, 122)}
-    text = lambda k: "".join(chr(r.randint(*letters[k])) + (" " if k == "en" and r.random() < 0.2 else "") for _ in range(300))
-    known, asked = [k for k in letters for _ in range(30)], [k for k in letters for _ in range(10)]
-    net = language_id.train([text(k) for k in known], known)
-    assert language_id.Reader(net).predict(language_id.pa.chunked_array([[text(k) for k in asked]]))[0] == asked
-    words = language_id.words_of(language_id.pa.array(["a " + "é" * 100, "", "xy " + "z" * 40]))
-    starts, ends, bounds = language_id.pieces(words)
-    cut = [bytes(words.data[a:b]).decode() for a, b in zip(starts, ends, strict=True)]
-    assert ["".join(cut[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)] == ["a" + "é" * 100, "", "xy" + "z" * 40] and max(map(len, cut)) == 40
-
-
-def test_network_gradients():
-    net = language_id.Network.fresh(["a", "b"], 3, 1)
-    net.tables, net.loops, net.out = [t.astype(float) for t in net.tables], [t.astype(float) for t in net.loops], net.out.astype(float)
-    words = language_id.words_of(language_id.pa.array(["abc de f"]))
-    x, size = language_id.byte_matrix(words.data, words.starts, words.ends)
-    target = np.array([0, 1, 0])
-    _, grads = net.gradients(x, size, target)
-    for k, at in ((0, (97, 1)), (2, (0, 4)), (3, (1, 7)), (4, (2, 1))):
-        w, old = net.weights()[k], net.weights()[k][at]
-        sides = []
-        for d in (1e-4, -1e-4):
-            w[at] = old + d
-            sides.append(net.gradients(x, size, target)[0])
-        w[at] = old
-        assert (sides[0] - sides[1]) / 2e-4 == pytest.approx(grads[k][at], abs=2e-5)
-
-
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
