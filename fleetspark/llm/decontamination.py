@@ -11,15 +11,21 @@ the sum of smaller counts over the sum of larger counts. Steps:
 2. SimHash: each such window and each item gets a 64-bit fingerprint of its shingles.
 3. Multi-index Hamming: fingerprints are cut into radius + 1 blocks; two within the radius agree in a block, so an
    equi-join on (length, block, value) finds all of them. At similarity 0.8 bits differ with probability 0.15, and
-   a radius of 23 is passed once in a million pairs.
+   a radius of 23 is passed once in a million pairs. That holds for bags of mostly different shingles; windows that
+   repeat a fifth of theirs or more meet the items that share a shingle instead.
 4. The exact weighted similarity decides.
 
-The items' distinct shingles are broadcast only if there are ``most_broadcast`` rows or fewer; a larger benchmark is
-joined by a shuffle.
+A radius that loses no pair at 0.8 leaves blocks of two or three bits, which tell few windows from an item. So the
+anchors choose the windows, and the blocks choose among the items for these.
+
+Rows that hold no text, the anchors (hash, length) and the items' blocks, are broadcast only if there are
+``most_broadcast`` of them or fewer; a larger benchmark is joined by a shuffle. Windows and items go by numbers until
+the pairs are chosen.
 
 Defined results. Null and empty texts, and items with fewer than five words, match nothing. Items equal to each other
-are all reported. Rows that repeat an id, of documents or items, are told apart only by their text's content: the best
-similarity of the pair of ids is reported. Empty tables: no rows. Other columns are not read.
+are all reported. Windows are found by a hash of the text, so null and repeated ids are judged each by their own text;
+the best similarity of a pair of ids is reported (a null id is one id). Texts of any length are read whole. Empty
+tables: no rows. Other columns are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 from fleetspark.llm.common import cut
 
 K = 5
-_LANES, _ONES = 16, 0x0001000100010001
+_LANES, _ONES = 32, 0x0000000100000001
 
 
 def _words(text: str) -> Column:
@@ -54,12 +60,12 @@ def _shingled(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 
 def simhash(shingles: str) -> Column:
-    """The 64-bit SimHash of an array of 64-bit hashes: each bit is the majority of that bit. Four counters of
-    16 bits share a long, so an array may have 65,535 entries."""
+    """The 64-bit SimHash of an array of 64-bit hashes: each bit is the majority of that bit. Two counters of 32 bits
+    share a long, more than an array can have entries."""
     zero = ", ".join(f"'c{i}', 0L" for i in range(_LANES))
     step = ", ".join(f"'c{i}', s.c{i} + (shiftrightunsigned(h, {i}) & {_ONES}L)" for i in range(_LANES))
     bits = " | ".join(
-        f"IF(2 * (shiftrightunsigned(s.c{i}, {16 * lane}) & 65535L) > size({shingles}), shiftleft(1L, {16 * lane + i}), 0L)" for i in range(_LANES) for lane in range(4)
+        f"IF(2 * (shiftrightunsigned(s.c{i}, {32 * lane}) & 4294967295L) > size({shingles}), shiftleft(1L, {32 * lane + i}), 0L)" for i in range(_LANES) for lane in range(2)
     )
     return F.expr(f"aggregate({shingles}, named_struct({zero}), (s, h) -> named_struct({step}), s -> {bits})")
 
@@ -80,39 +86,44 @@ def _common() -> Column:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", percent: int = 80, radius: int = 23, most_broadcast: int = 1_000_000) -> DataFrame:
     """(id, item, similarity, start_word, n_words) of every pair that reaches ``percent`` hundredths: the best
     window, the last one of equal ones."""
-    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    known = cut(_shingled(items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")), "text", "item").withColumnRenamed("n", "m").withColumnRenamed("sh", "item_sh"))
-    known = known.filter("size(item_sh) > 0")
+    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).filter("text is not null")
+    known = _shingled(items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")), "text", "item").withColumnRenamed("n", "m").withColumnRenamed("sh", "item_sh").filter("size(item_sh) > 0")
+    known = cut(known.withColumn("item_print", simhash("item_sh")).withColumn("i", F.monotonically_increasing_id()))
     anchors = known.select("m", F.explode("item_sh").alias("h")).distinct()
     by_hash = anchors.groupBy("h").agg(F.collect_set("m").alias("sizes"))
-    held = by_hash.limit(most_broadcast + 1).count()
+    few_anchors = anchors.limit(most_broadcast + 1).count() <= most_broadcast
+    few_blocks = known.limit(most_broadcast + 1).count() * (radius + 1) <= most_broadcast
 
-    places = _shingled(docs, "text", "doc").select("doc", "n", F.posexplode("sh").alias("pos", "h"))
-    hits = places.join(F.broadcast(by_hash) if held <= most_broadcast else by_hash, "h").select("doc", "n", F.explode("sizes").alias("m"), "pos")
-    found = hits.groupBy("doc", "n", "m").agg(F.sort_array(F.collect_set("pos")).alias("p"))
+    places = _shingled(docs, "text", "key").select("key", "n", F.posexplode("sh").alias("pos", "h"))
+    hits = places.join(F.broadcast(by_hash) if few_anchors else by_hash, "h").select("key", "n", F.explode("sizes").alias("m"), "pos")
+    found = hits.groupBy("key", "n", "m").agg(F.sort_array(F.collect_set("pos")).alias("p"))
     # least matches for the threshold: common * (100 + percent) >= percent * (both sizes)
     sized = found.withColumn("len", F.least("n", "m")).withColumn("need", F.expr(f"cast(ceil({percent} * (m + len - {2 * (K - 1)}) / {100 + percent}D) AS int)"))
     starts = F.expr(f"array_distinct(concat(filter(p, (x, i) -> x <= n - len AND get(p, i + need - 1) <= x + len - {K}), IF(get(p, size(p) - need) >= n - len, array(n - len), array())))")
-    windows = sized.filter("need <= size(p)").select("doc", "n", "m", "len", F.explode(starts).alias("start"))
-    per_doc = cut(windows.groupBy("doc").agg(F.collect_list(F.struct("n", "m", "len", "start")).alias("windows")))
+    windows = sized.filter("need <= size(p)").select("key", "n", "m", "len", F.explode(starts).alias("start"))
+    per_text = cut(windows.groupBy("key").agg(F.collect_list(F.struct("n", "m", "len", "start")).alias("windows")))
 
-    texts = docs.join(per_doc.select("doc"), "doc", "left_semi")
+    texts = docs.join(per_text.select("key"), "key", "left_semi")
     cut_out = cut(
-        _shingled(texts, "text", "doc")
-        .join(per_doc, "doc")
+        _shingled(texts, "text", "doc", "key")
+        .join(per_text, "key")
         .select("doc", "n", "sh", F.explode("windows").alias("v"))
         .filter("n = v.n")
         .select("doc", "v.m", "v.len", "v.start", F.expr(f"slice(sh, v.start + 1, v.len - {K - 1})").alias("sh"))
         .withColumn("print", simhash("sh"))
+        .withColumn("w", F.monotonically_increasing_id())
     )
-    marked = cut_out.select("*", F.explode(blocks("print", radius)).alias("b")).select("doc", "m", "len", "start", "sh", "print", "b.block", "b.value")
-    targets = cut(known.withColumn("item_print", simhash("item_sh"))).select("*", F.explode(blocks("item_print", radius)).alias("b")).select("item", "m", "item_sh", "item_print", "b.block", "b.value")
-    near = marked.join(F.broadcast(targets) if held * (radius + 1) <= most_broadcast else targets, ["m", "block", "value"]).filter(F.expr(f"bit_count(print ^ item_print) <= {radius}"))
+    repetitive = F.expr("5 * size(array_distinct(sh)) <= 4 * size(sh)")
+    marked = cut_out.filter(~repetitive).select("w", "m", "print", F.explode(blocks("print", radius)).alias("b")).select("w", "m", "print", "b.block", "b.value")
+    targets = known.select("i", "m", "item_print", F.explode(blocks("item_print", radius)).alias("b")).select("i", "m", "item_print", "b.block", "b.value")
+    near = marked.join(F.broadcast(targets) if few_blocks else targets, ["m", "block", "value"]).filter(F.expr(f"bit_count(print ^ item_print) <= {radius}"))
     # a pair agrees in several blocks: it is taken at the first one
     edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
     earlier = [F.when(F.col("block") > i, F.expr(f"shiftrightunsigned(print ^ item_print, {a}) & {(1 << (b - a)) - 1}L") != 0).otherwise(True) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    once = near.filter(reduce(and_, earlier))
-    exact = once.select("doc", "item", "start", "len", _common().alias("common"), (F.size("sh") + F.size("item_sh")).alias("total")).filter(F.col("common") * (100 + percent) >= percent * F.col("total"))
+    once = near.filter(reduce(and_, earlier)).select("w", "i")
+    sharing = cut_out.filter(repetitive).select("w", "m", F.explode(F.array_distinct("sh")).alias("h")).join(known.select("i", "m", F.explode(F.array_distinct("item_sh")).alias("h")), ["m", "h"]).select("w", "i").distinct()
+    pairs = once.union(sharing).join(cut_out.select("w", "doc", "start", "len", "sh"), "w").join(known.select("i", "item", "item_sh"), "i")
+    exact = pairs.select("doc", "item", "start", "len", _common().alias("common"), (F.size("sh") + F.size("item_sh")).alias("total")).filter(F.col("common") * (100 + percent) >= percent * F.col("total"))
     scored = exact.withColumn("similarity", F.expr("common / cast(total - common AS double)"))
     best = scored.groupBy("doc", "item").agg(F.max(F.struct("similarity", "start", "len")).alias("top"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("top.similarity").alias("similarity"), F.col("top.start").cast("long").alias("start_word"), F.col("top.len").cast("long").alias("n_words"))
