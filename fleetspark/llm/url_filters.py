@@ -7,9 +7,12 @@ domain of that host, and meets the entries whose interval holds its fetch time:
 A rule has as many intervals as its list was published, however often it is repeated, and the captures of a hot
 host are dealt to parts, so no task holds all of them.
 
-Defined results. A capture with a null or unparsable url or a null fetch time meets nothing and is kept. Log
-rows with a null in any column are ignored. An interval holds its start and not its end. An entry counts once
-for a capture even if the log repeats it. Repeated captures stay repeated. Empty tables: nothing is blocked.
+Defined results. A capture is its key, url and fetch time, so repeated keys are judged each at their own time and
+captures without a key like others; rows equal in all three have the same result and stay repeated. A capture with a
+null or unparsable url or a null fetch time meets nothing and is kept. Log rows with a null in any column are ignored.
+An interval holds its start and not its end. An entry counts once for a capture even if the log repeats it. Urls of any
+length are read whole. Empty tables: nothing is blocked. Other columns are carried along; a clash with the added ones
+(``n_entries``, ``lists``, ``blocked``) or with a name that begins with ``_capture`` is an error.
 """
 
 from __future__ import annotations
@@ -18,21 +21,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEME = r"^[a-z][a-z0-9+.-]*://"
+#: The second-level labels below which country domains give out names.
+SECOND_LEVEL = "ac|co|com|edu|go|gob|gov|gv|ltd|me|mil|ne|net|nhs|nom|or|org|plc|sch"
 
 
 def host_of(url):
-    """The lower-case host, empty if there is none."""
-    return F.regexp_extract(F.lower(url), SCHEME + r"([^/:?#]*)", 1)
+    """The lower-case host without user, port and last dots, empty if there is none."""
+    return F.regexp_extract(F.lower(url), SCHEME + r"(?:[^/?#]*@)?(\[[^/?#\]]*\]|[^/:?#]*?)\.*(?=[:/?#]|$)", 1)
 
 
 def domain_of(host):
-    """The last two labels of a host, empty if it has fewer."""
-    return F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    """The name that was given out: the last two labels, three where the last two are such as co.uk; empty if the host
+    has fewer, or is an address."""
+    address = host.rlike(r"^\[|^[0-9]+(\.[0-9]+){3}$")
+    return F.when(address, "").otherwise(F.regexp_extract(host, rf"(?:^|\.)([^.]+\.(?:{SECOND_LEVEL})\.[a-z]{{2}}|(?!(?:{SECOND_LEVEL})\.[a-z]{{2}}$)[^.]+\.[^.]+)$", 1))
 
 
 def plain_url(url):
-    """The lower-case url without scheme, fragment and last slash."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(url), SCHEME, ""), "#.*$", ""), "/$", "")
+    """The lower-case url without scheme, user, fragment, last dots of the host and last slash."""
+    rest = F.regexp_replace(F.regexp_replace(F.lower(url), SCHEME, ""), r"^[^/?#]*@", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, "#.*$", ""), r"^([^/:?]*?)\.+(?=[:/?]|$)", "$1"), "/$", "")
 
 
 def intervals(log: DataFrame) -> DataFrame:
@@ -44,11 +52,10 @@ def intervals(log: DataFrame) -> DataFrame:
 
 
 def active_entries(captures: DataFrame, log: DataFrame, key: str, url_col: str = "url", time_col: str = "fetched_at", salts: int = 64) -> DataFrame:
-    """(key, list, kind, rule) of every capture and entry that was active when it was fetched."""
+    """(key, url, time, list, kind, rule) of every capture and entry that was active when it was fetched."""
     host = host_of(F.col(url_col))
     asked = captures.select(
-        F.col(key).alias("capture"),
-        F.col(time_col).alias("at"),
+        F.struct(F.col(key).alias("key"), F.col(url_col).alias("url"), F.col(time_col).alias("at")).alias("capture"),
         F.explode(
             F.array(
                 F.struct(F.lit("url").alias("kind"), plain_url(F.col(url_col)).alias("rule")),
@@ -56,20 +63,26 @@ def active_entries(captures: DataFrame, log: DataFrame, key: str, url_col: str =
                 F.struct(F.lit("domain").alias("kind"), domain_of(host).alias("rule")),
             )
         ).alias("q"),
-    ).select("capture", "at", "q.kind", "q.rule")
+    ).select("capture", F.col("capture.at").alias("at"), "q.kind", "q.rule")
     # a hot host's captures are dealt to ``salts`` parts; an entry is copied to the parts that ask for its rule
-    part = F.pmod(F.xxhash64("capture", "at"), F.lit(salts))
+    part = F.pmod(F.xxhash64("capture"), F.lit(salts))
     asked = asked.filter("rule is not null and rule <> ''").withColumn("part", part)
     wanted = asked.select("kind", "rule", "part").distinct()
     entry = wanted.join(intervals(log), ["kind", "rule"])
     held = (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
-    return asked.join(entry, ["kind", "rule", "part"]).filter(held).select(F.col("capture").alias(key), "list", "kind", "rule").distinct()
+    met = asked.join(entry, ["kind", "rule", "part"]).filter(held).select("capture", "list", "kind", "rule").distinct()
+    return met.select(F.col("capture.key").alias(key), F.col("capture.url").alias(url_col), F.col("capture.at").alias(time_col), "list", "kind", "rule")
 
 
 def filter_urls(captures: DataFrame, log: DataFrame, key: str, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """``captures`` with ``n_entries`` (active entries met), ``lists`` (their lists, sorted) and ``blocked``."""
-    met = active_entries(captures, log, key, url_col, time_col).groupBy(key).agg(F.count("*").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
-    out = captures.join(met, key, "left")
+    own = {"_capture_key": key, "_capture_url": url_col, "_capture_at": time_col}
+    if clash := {"n_entries", "lists", "blocked", *own} & set(captures.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already; rename them")
+    met = active_entries(captures.select(key, url_col, time_col), log, key, url_col, time_col).groupBy(*(F.col(c).alias(name) for name, c in own.items()))
+    met = met.agg(F.count("*").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+    equal = (captures[url_col] == F.col("_capture_url")) & (captures[time_col] == F.col("_capture_at")) & captures[key].eqNullSafe(F.col("_capture_key"))
+    out = captures.join(met, equal, "left").drop(*own)
     return out.withColumns({"n_entries": F.coalesce("n_entries", F.lit(0)), "lists": F.coalesce("lists", F.lit("")), "blocked": F.col("n_entries").isNotNull()})
 
 
@@ -97,31 +110,40 @@ def op1_url_filters(spark, sf_dir: str) -> DataFrame:
     return filter_urls(captures, log, "page_id").select("page_id", "fetched_at", "n_entries", "lists", "blocked")
 
 
+#: Written apart from the expressions above: urls are taken to pieces by splitting, and entries looked up as of the
+#: fetch time by the last change of each rule instead of intervals.
 OP1_SQL = r"""
-WITH keyed AS (
-  SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + ((page_id * 7919) % 63072000) * INTERVAL '1' SECOND AS fetched_at,
-    regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/:?#]*)', 1) AS host,
-    regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://', ''), '#.*$', ''), '/$', '') AS plain
-  FROM pages),
-both_keys AS (SELECT *, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS domain FROM keyed),
+WITH parts AS (
+  SELECT page_id, lower(url) AS low, TIMESTAMP '2024-01-01 00:00:00' + ((page_id * 7919) % 63072000) * INTERVAL '1' SECOND AS fetched_at,
+    strpos(url, '://') AS mark FROM pages),
+rests AS (SELECT *, CASE WHEN mark > 1 THEN split_part(substr(low, mark + 3), '#', 1) ELSE split_part(low, '#', 1) END AS rest FROM parts),
+sides AS (SELECT *, split_part(split_part(rest, '/', 1), '?', 1) AS authority FROM rests),
+hosts AS (
+  SELECT *, string_split(authority, '@')[-1] AS place, substr(rest, length(authority) + 1) AS path FROM sides),
+named AS (
+  SELECT *, CASE WHEN mark > 1 THEN rtrim(split_part(place, ':', 1), '.') ELSE '' END AS host,
+    rtrim(split_part(place, ':', 1), '.') || substr(place, length(split_part(place, ':', 1)) + 1) || path AS whole FROM hosts),
+labels AS (
+  SELECT *, string_split(host, '.') AS l, CASE WHEN right(whole, 1) = '/' THEN left(whole, length(whole) - 1) ELSE whole END AS plain FROM named),
+both_keys AS (
+  SELECT *, CASE WHEN len(l) < 2 OR (len(l) = 4 AND TRY_CAST(replace(host, '.', '') AS BIGINT) IS NOT NULL) THEN ''
+      WHEN length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'go', 'gob', 'gov', 'gv', 'ltd', 'me', 'mil', 'ne', 'net', 'nhs', 'nom', 'or', 'org', 'plc', 'sch')
+        THEN CASE WHEN len(l) > 2 THEN l[-3] || '.' || l[-2] || '.' || l[-1] ELSE '' END
+      ELSE l[-2] || '.' || l[-1] END AS domain FROM labels),
 log AS (
   SELECT CASE WHEN page_id % 2 = 0 THEN 'adult' ELSE 'spam' END AS list,
     CASE WHEN page_id % 13 = 0 THEN 'url' WHEN page_id % 11 = 0 THEN 'domain' ELSE 'host' END AS kind,
     CASE WHEN page_id % 13 = 0 THEN plain WHEN page_id % 11 = 0 THEN domain ELSE host END AS rule,
-    CASE WHEN page_id % 3 = 0 THEN 'remove' ELSE 'add' END AS action,
+    CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END AS added,
     TIMESTAMP '2024-01-01 00:00:00' + (((page_id * 31) % 25) * 30) * INTERVAL '1' DAY AS published
   FROM both_keys WHERE page_id % 13 = 0 OR page_id % 11 = 0 OR page_id % 5 = 0),
-folded AS (SELECT list, kind, rule, published, min(action) AS action FROM log
-  WHERE rule IS NOT NULL GROUP BY list, kind, rule, published),
-entries AS (SELECT *, lead(published) OVER (PARTITION BY list, kind, rule ORDER BY published) AS valid_to FROM folded),
+changes AS (SELECT list, kind, rule, published, max(added) AS added FROM log WHERE rule IS NOT NULL GROUP BY ALL),
 asked AS (
-  SELECT page_id, fetched_at, 'url' AS kind, plain AS rule FROM both_keys
-  UNION ALL SELECT page_id, fetched_at, 'host', host FROM both_keys
-  UNION ALL SELECT page_id, fetched_at, 'domain', domain FROM both_keys),
+  SELECT page_id, fetched_at, unnest([{'kind': 'url', 'rule': plain}, {'kind': 'host', 'rule': host}, {'kind': 'domain', 'rule': domain}], recursive := true) FROM both_keys),
 met AS (
-  SELECT DISTINCT a.page_id, e.list, e.kind, e.rule FROM asked a JOIN entries e ON a.kind = e.kind AND a.rule = e.rule
-  WHERE e.action = 'add' AND a.rule <> '' AND a.fetched_at >= e.published AND (e.valid_to IS NULL OR a.fetched_at < e.valid_to)),
-said AS (SELECT page_id, count(*) AS n_entries, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM met GROUP BY page_id)
+  SELECT a.page_id, c.list, c.kind, c.rule, arg_max(c.added, c.published) AS added
+  FROM asked a JOIN changes c ON a.kind = c.kind AND a.rule = c.rule AND c.published <= a.fetched_at WHERE a.rule <> '' GROUP BY ALL),
+said AS (SELECT page_id, count(*) AS n_entries, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM met WHERE added = 1 GROUP BY page_id)
 SELECT k.page_id, k.fetched_at, coalesce(s.n_entries, 0) AS n_entries, coalesce(s.lists, '') AS lists, s.n_entries IS NOT NULL AS blocked
-FROM keyed k LEFT JOIN said s ON k.page_id = s.page_id
+FROM both_keys k LEFT JOIN said s ON k.page_id = s.page_id
 """
