@@ -11,8 +11,10 @@ was lost makes the same rows. The matrix has ``partitions`` x ``shards`` numbers
 is all that passes through the driver.
 
 Defined results. The sizes of shards differ by one at most, the first ones are the longer ones; slots are
-gapless from 0. Rows equal in all key columns (nulls included) are interchangeable. Empty input: empty
-output. Fewer rows than shards: the last shards are empty. All columns are carried along.
+gapless from 0. The key columns should name a row: rows equal in all of them (nulls included) are interchangeable, get
+different slots, and are dealt to one partition, so many such rows need a further key. A null text counts as empty. Empty input: empty
+output. Fewer rows than shards: the last shards are empty. All columns are carried along; a clash with the added or
+inner names (``_part``, ``_rank``, ``_block``, ``ends``, ``before``) is an error.
 """
 
 from __future__ import annotations
@@ -23,36 +25,46 @@ from pyspark.sql import functions as F
 
 from fleetspark.llm.common import cut
 
-#: Above this many rows numpy does not draw; see ``communication_matrix``.
-_DRAWABLE = 900_000_000
+#: Standard deviations from the mode within which a draw is looked for; what lies beyond is less than a double resolves.
+_REACH = 12
+
+
+def hypergeometric(good: int, rest: int, want: int, rng: np.random.Generator) -> int:
+    """How many of ``want`` rows drawn from ``good + rest`` are good, for numbers of any size: inversion of the exact
+    probabilities, built from the mode outwards by their ratios."""
+    low, high = max(0, want - rest), min(good, want)
+    if low == high:
+        return low
+    total = good + rest
+    mode = min(high, max(low, (good + 1) * (want + 1) // (total + 2)))
+    spread = (want * (good / total) * (rest / total) * ((total - want) / max(1, total - 1))) ** 0.5
+    reach = int(_REACH * spread) + 60
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)  # ratio of k + 1 to k
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)  # ratio of k - 1 to k
+    above = np.cumprod((good - up) * (want - up) / ((up + 1) * (rest - want + up + 1)))
+    below = np.cumprod(down * (rest - want + down) / ((good - down + 1) * (want - down + 1)))
+    weights = np.cumsum(np.concatenate((below[::-1], [1.0], above)))
+    return mode - len(below) + int(np.searchsorted(weights, rng.random() * weights[-1], side="right"))
 
 
 def communication_matrix(partition_sizes: list[int], shards: int, seed: int) -> np.ndarray:
-    """(partitions, shards) numbers of rows; the row sums are the partition sizes, the column sums the
-    shard sizes. Populations beyond numpy's limit use the rounded normal of the same mean and variance for
-    a cell (an error far below one row in the share of any shard); the margins stay exact."""
+    """(partitions, shards) numbers of rows; the row sums are the partition sizes, the column sums the shard sizes."""
     total = sum(partition_sizes)
-    left = np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64)
+    left = [total // shards + (s < total % shards) for s in range(shards)]
     rng, out = np.random.default_rng(seed), np.zeros((len(partition_sizes), shards), np.int64)
-    for p, size in enumerate(partition_sizes):
-        if left.sum() < _DRAWABLE:
-            out[p] = rng.multivariate_hypergeometric(left, size, method="marginals")
-        else:
-            pool, want = int(left.sum()), int(size)
-            for s in range(shards):
-                good = int(left[s])
-                pool -= good
-                share = good / max(1, good + pool)
-                spread = want * share * (1 - share) * max(0, good + pool - want) / max(1, good + pool - 1)
-                out[p, s] = min(good, want, max(want - pool, round(rng.normal(want * share, spread**0.5))))
-                want -= int(out[p, s])
-        left -= out[p]
+    for p, want in enumerate(partition_sizes):
+        pool = sum(left)
+        for s in range(shards):
+            pool -= left[s]
+            out[p, s] = hypergeometric(left[s], pool, want, rng)
+            want -= int(out[p, s])
+            left[s] -= int(out[p, s])
     return out
 
 
 def shuffle_into_shards(rows: DataFrame, keys: list[str], shards: int = 24, seed: int = 20_240_101, rows_per_partition: int = 20_000, most_partitions: int = 8192, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
     """``rows`` with the shard and slot of each; ``keys`` name a row (ties: rows equal in them)."""
-    if clash := {shard_col, slot_col, "_part", "_rank", "_block"} & set(rows.columns):
+    if clash := {shard_col, slot_col, "_part", "_rank", "_block", "ends", "before"} & set(rows.columns):
         raise ValueError(f"columns {sorted(clash)} are there already; choose other names")
     spark, total = rows.sparkSession, rows.count()
     n = max(1, min(most_partitions, -(-total // rows_per_partition)))
