@@ -1,7 +1,7 @@
 r"""Licence scan by canonical digests, with built-in expressions only.
 
 A text is brought to a canonical form: lower case; copyright notices dropped (lines that begin with a copyright sign or
-word and go on with a year or holder, never text that a wrap made begin so, as "copyright notice" or "copyright
+word, after signs of a comment perhaps, and go on with a year or holder, never text that a wrap made begin so, as "copyright notice" or "copyright
 holders"); equivalent spellings made one; everything but a-z and 0-9 made single spaces. ``digest`` is the SHA-256 of
 that form. Licences are looked up by the digest of the form without lines that say "All rights reserved" and no more. Whole documents are looked up, and each of their lines as a text of its own, since a
 notice is often one line of a longer document. The catalogue is a fixed table of some ten thousand digests and is
@@ -9,8 +9,9 @@ broadcast. OP3_SQL knows the texts of this file alone; the given tables state no
 
 Defined results. Null texts, and texts without a letter or digit in canonical form, have no digest and no licence.
 Texts that reach the same canonical form have the same licence. A licence counts once for each line that states it.
-Rows that repeat an id are one document to the count of lines and keep their own digests. An empty table gives no
-rows. Other columns are carried along; a clash of names is an error.
+Rows that repeat an id, or have none, are one document to the count of lines and keep their own digests. An empty
+table gives no rows. Other columns are carried along; a clash with the added names or with ``_id``, ``_key`` and
+``_line`` is an error.
 """
 
 from __future__ import annotations
@@ -64,8 +65,10 @@ _GOES_ON = (
     "statements?|statement[(]s[)]|status|terms?|that|the (?:above|library|program|software|work)|this|to|trademarks?|treaty|treaties|under|was|which|will|with|works?"
 )
 _CLAUSE = "a|accept|accompany|all|an|any|by|cause|each|for|give|if|in|it|must|no|of|offer|on|or|prevent|provide|provided|representations|such|that|the|this|to|under|use|you|your"
-_REAL_NOTICE = rf"(^|\n)[ \t]*(?:©|copyright(?![a-z-])(?![ \t]*(?:[.,;/\"'”\n]|--|$))(?![ \t]+(?:{_GOES_ON})(?![a-z0-9]))|\(c\)(?![ \t]*(?:\n|$))(?![ \t]*(?:{_CLAUSE})(?![a-z0-9])))[^\n]*"
-_RESERVED = r"(^|\n)[ \t]*all rights reserved[ \t.!]*(?=\r?(\n|$))"
+#: Signs of comments that may stand before a notice.
+_MARKS = r"[ \t/*#;%!<-]*"
+_REAL_NOTICE = rf"(^|\n){_MARKS}(?:©|copyright(?![a-z-])(?![ \t]*(?:[.,;/\"'”\n]|--|$))(?![ \t]+(?:{_GOES_ON})(?![a-z0-9]))|\(c\)(?![ \t]*(?:\n|$))(?![ \t]*(?:{_CLAUSE})(?![a-z0-9])))[^\n]*"
+_RESERVED = rf"(^|\n){_MARKS}all rights reserved[ \t.!*/]*(?=\r?(\n|$))"
 
 
 def canonical(text: Column) -> Column:
@@ -95,7 +98,7 @@ def catalogue(spark: SparkSession, licenses: list[tuple[str, str]] | None = None
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``digest`` and ``license`` of the whole text, ``n_license_lines`` and ``line_licenses`` (sorted)."""
-    if clash := {"digest", "license", "n_license_lines", "line_licenses"} & set(docs.columns):
+    if clash := {"digest", "license", "n_license_lines", "line_licenses", "_id", "_key", "_line"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already; rename them")
     known = F.broadcast(known)  # as long as the catalogue
     lines = docs.select(id_col, F.explode(F.split(text_col, "\n")).alias("_line")).select(id_col, digest(F.col("_line")).alias("digest"))
@@ -103,7 +106,7 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     whole = docs.withColumn("digest", digest(F.col(text_col)))
     reserved = F.lower(text_col).contains("all rights reserved")
     whole = whole.withColumn("_key", F.when(reserved, lookup(F.col(text_col))).otherwise(F.col("digest"))).join(known.withColumnRenamed("digest", "_key"), "_key", "left")
-    out = whole.join(stated, F.col(id_col) == F.col("_id"), "left")
+    out = whole.join(stated, F.col(id_col).eqNullSafe(F.col("_id")), "left")
     return out.select(*docs.columns, "digest", "license", F.coalesce("n_license_lines", F.lit(0)).alias("n_license_lines"), F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
 
 
