@@ -1,21 +1,25 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Tokens are the white-space-separated words of a sentence (a line, ended earlier by . ! or ?). The field has two
+Tokens are the white-space-separated words of a sentence (a line, ended earlier by . ! or ?, or after ``LONGEST``
+words, so that a text without stops is read in bounded steps). The field has two
 states, toxic or not, emissions from the word itself, its beginnings and ends and its length, and transitions.
 Documents carry labels, tokens do not: token labels for training come from the documents' labels. Words and
-parts of words that stand in many different surroundings in toxic documents and practically in none in clean ones make a lexicon; their
-occurrences in toxic documents are labelled toxic. The field is trained on those tokens by gradient ascent
+parts of words that stand in so many different surroundings in toxic documents, and practically in none in clean ones,
+that chance does not explain it, make a lexicon; their occurrences in toxic documents are labelled toxic. The field is trained on those tokens by gradient ascent
 of the conditional likelihood (forward-backward), with L2 regularisation.
 
 Scoring reads every whole text: forward-backward gives each token's marginal; the tokens over one half are the
 offending ones, given by character offsets. The largest marginal and the expected number and share of toxic
 tokens, combined by a logistic fit on the training documents, are the document's score.
 
-Training takes ``most_labelled`` toxic and twice as many clean documents at most, those with the smallest hash of the id.
+Training takes ``most_labelled`` toxic and twice as many clean documents at most, those with the smallest hash of the
+id, of texts up to ``most_chars`` signs, and of their sentences ``most_sentences`` at most, half of them with a toxic
+token. Scoring has no such bounds.
 
 Defined results. Null, empty and blank texts have no tokens and the score of a text without any toxic one. Without
-labels of both kinds every score is 0. Equal texts have equal scores. A null label is no label. Other columns are
-not read.
+labels of both kinds, or without a word in the labelled texts, every score is 0. Equal texts have equal scores. A null
+label is no label; of repeated labels of an id the toxic one counts. Rows that repeat an id, or have none, are scored
+each by its own text. An empty table gives no rows. Other columns are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ FEATURE_BITS = 18
 N_FEATURES = 11
 #: The most words whose emission a worker remembers.
 CACHE = 500_000
+#: The most words of a sentence.
+LONGEST = 256
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _STOPS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
@@ -61,6 +67,9 @@ def sequences(words: Words) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(n, bool)
     new[1:] = (words.doc[1:] != words.doc[:-1]) | _STOPS[words.data[words.ends[:-1] - 1]] | (lines[words.starts[1:]] > lines[words.ends[:-1]])
     first = np.flatnonzero(new)
+    size = np.diff(np.append(first, n))
+    parts = -(-size // LONGEST)
+    first = np.repeat(first, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
     return first, np.diff(np.append(first, n))
 
 
@@ -106,8 +115,9 @@ def _odds(total: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(total, -25, 25))
 
 
-def lexicon(cores: list[str], core: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least: int = 6, share: float = 0.03, precision: float = 0.98) -> set[str]:
-    """Units of words that tell toxic documents from clean ones. ``core`` numbers each token's word in ``cores``. What
+def lexicon(cores: list[str], core: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least: int = 6, chance: float = 0.01, precision: float = 0.98) -> set[str]:
+    """Units of words that tell toxic documents from clean ones: so frequent in toxic ones that with probability
+    1 - ``chance`` none of all units would be by luck, however few of the toxic documents have it. ``core`` numbers each token's word in ``cores``. What
     counts is in how many different surroundings (the words before and after) the words of a unit stand, so that
     copies of one passage count once."""
     edge = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
@@ -124,7 +134,8 @@ def lexicon(cores: list[str], core: np.ndarray, doc: np.ndarray, toxic: np.ndarr
                 total[unit] = total.get(unit, 0) + int(per_word[i])
         counts.append(total)
     n_bad = int(toxic.sum())
-    rate, enough = n_bad / max(1, len(toxic) - n_bad), max(least, share * n_bad)
+    rate = n_bad / max(1, len(toxic) - n_bad)
+    enough = max(least, np.log(max(1, len(counts[0])) / chance) / -np.log(n_bad / len(toxic)))
     return {u for u, n in counts[0].items() if n >= enough and n >= precision * (n + rate * counts[1].get(u, 0))}
 
 
@@ -137,6 +148,8 @@ def train(texts: list[str], toxic: list[bool], epochs: int = 60, most_sentences:
     if not kinds.any() or kinds.all():
         return None
     words = words_of(pa.array(texts, pa.string()), lower=True)
+    if not len(words.starts):
+        return None
     _, at, token = np.unique(words.hashes(), return_index=True, return_inverse=True)
     distinct = [bytes(words.data[words.starts[i] : words.ends[i]]).decode("utf-8", "replace") for i in at]
     cores: dict[str, int] = {}
@@ -255,12 +268,13 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, spans array<struct<start:long,stop:long>>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = 1_000) -> Field | None:
-    """The field of a bounded sample of labelled rows."""
-    known = labels.filter(F.col(label_col).isNotNull()).select(id_col, label_col).dropDuplicates([id_col])
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = 1_000, most_chars: int = 50_000) -> Field | None:
+    """The field of a bounded sample of labelled rows, of 3 * ``most_labelled`` texts at most."""
+    known = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias(label_col))
     ranked = known.filter(F.col(label_col) == 1).orderBy(F.xxhash64(id_col), id_col).limit(most_labelled).union(known.filter(F.col(label_col) == 0).orderBy(F.xxhash64(id_col), id_col).limit(2 * most_labelled))
-    rows = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(ranked), id_col).select(id_col, text_col, label_col).orderBy(id_col, text_col).collect()
-    return train([r[text_col] for r in rows], [r[label_col] == 1 for r in rows])
+    texts = docs.select(id_col, F.col(text_col).alias("_text")).filter(F.length("_text") <= most_chars)
+    rows = texts.join(F.broadcast(ranked), id_col).select(id_col, "_text", F.col(label_col).alias("_label")).orderBy(F.xxhash64(id_col, "_text"), id_col, "_text").limit(3 * most_labelled).toArrow()
+    return train(rows["_text"].to_pylist(), [x == 1 for x in rows["_label"].to_pylist()])
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
