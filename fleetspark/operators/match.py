@@ -79,7 +79,6 @@ def nearest(points: DataFrame, targets: DataFrame, distance: str, reach: str, k:
             return _all([*done, best])
         best = cut(best)
         proven = best.filter(F.col("rank") == k).filter(F.col("distance") <= F.expr(reach.format(step=size))).select("point_id")
-        proven = cut(proven)
         done.append(best.join(proven, "point_id", "left_semi"))
         open_ = cut(open_.join(proven, "point_id", "left_anti"))
         if open_.isEmpty():

@@ -36,6 +36,12 @@ def envelope(plan: DataFrame) -> DataFrame:
     return plan.select("zone_id", "node_id", F.to_json(F.struct("node_id", F.struct("directive", "target_lat", "target_lon").alias("command"))).alias("message"))
 
 
+def in_use(predicted: DataFrame, fixed: DataFrame) -> DataFrame:
+    """The predicted zones, or the fixed ones where none is predicted."""
+    some = predicted.limit(1).select(F.lit(1).alias("_some"))
+    return predicted.unionByName(fixed.withColumn("_some", F.lit(1)).join(F.broadcast(some), "_some", "left_anti").drop("_some"))
+
+
 def from_hotspots(places: DataFrame, tenant: str = "alpha_logistics", radius_km: float = 2.0, required: int = 5, target_class: int = 16) -> DataFrame:
     """A zone around each hotspot."""
     return places.select(

@@ -445,6 +445,16 @@ def predicted_zones(telemetry):
     return zones.from_hotspots(_hot(telemetry))
 
 
+_CHOSEN = f"""{_HOT}, predicted AS (SELECT 'Predicted-Hotspot-' || CAST(rank AS varchar) AS zone_id, lat, lon, 2e0 AS radius_km, 5 AS required_assets, 16 AS target_class, 'alpha_logistics' AS tenant_id FROM top),
+chosen AS (SELECT * FROM predicted UNION ALL SELECT * FROM zones WHERE NOT EXISTS (SELECT 1 FROM predicted))"""
+
+
+@query(f"STEP {_CHOSEN}, {_PLAN.replace('FROM zones', 'FROM chosen')} QUALIFY turn <= deficit)\nSELECT zone_id, turn, node_id, target_lat, target_lon, round(km, 6) AS distance_km FROM plan", "telemetry", "zones")
+def predictive_relocation(telemetry, fixed):
+    plan = zones.relocate(zones.in_use(zones.from_hotspots(_hot(telemetry)), fixed), state.latest(telemetry))
+    return plan.select("zone_id", F.col("turn").cast("long").alias("turn"), "node_id", "target_lat", "target_lon", r6("distance_km"))
+
+
 @query(f"STEP {_POS}\nSELECT CAST(round(CAST(lat AS decimal(18, 12)), 2) AS double) AS lat, CAST(round(CAST(lon AS decimal(18, 12)), 2) AS double) AS lon, count(*) AS weight FROM pos GROUP BY 1, 2", "telemetry")
 def heat_grid(telemetry):
     return demand.heat(state.latest(telemetry))

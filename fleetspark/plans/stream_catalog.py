@@ -39,6 +39,11 @@ def stream_latest_position(spark, sf_dir):
     return jobs.latest_position(pings, folder).select("seq", "tenant_id", "node_id", "asset_class", "status", "lat", "lon", "battery", "recorded_at")
 
 
+def stream_live_positions(spark, sf_dir):
+    pings, folder = _stream(spark, sf_dir, "telemetry")
+    return jobs.expire_loop(jobs.latest_position(pings, folder)).select("seq", "node_id", "lat", "lon", "recorded_at")
+
+
 def stream_rebalance(spark, sf_dir):
     pings, folder = _stream(spark, sf_dir, "telemetry")
     return jobs.rebalance(pings, load(spark, sf_dir, "zones"), folder).withColumn("distance_km", F.round("distance_km", 6)).withColumn("turn", F.col("turn").cast("long"))
@@ -64,10 +69,11 @@ def stream_uplinks(spark, sf_dir):
     return jobs.uplinks(pings, folder).withColumn("second", F.col("second").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (stream_archive, stream_latest_position, stream_rebalance, stream_congestion, stream_stabilize, stream_demand, stream_uplinks)}
+QUERIES = {f.__name__: f for f in (stream_archive, stream_latest_position, stream_live_positions, stream_rebalance, stream_congestion, stream_stabilize, stream_demand, stream_uplinks)}
 ORACLES = {
     "stream_archive": f"SELECT r.seq, d.error_reason FROM ({catalog.ORACLES['decode_telemetry']}) r LEFT JOIN ({catalog.ORACLES['dead_letters']}) d ON d.seq = r.seq",
     "stream_latest_position": catalog.ORACLES["latest_position"],
+    "stream_live_positions": f"SELECT seq, node_id, lat, lon, recorded_at FROM ({catalog.ORACLES['latest_position']}) p QUALIFY recorded_at >= max(recorded_at) OVER () - INTERVAL '120' SECOND",
     "stream_rebalance": catalog.ORACLES["relocation_plan"],
     "stream_congestion": f"SELECT node_id, multiplier, recorded_at FROM ({catalog.ORACLES['congestion_events']}) c QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY recorded_at DESC, seq DESC) = 1",
     "stream_stabilize": catalog.ORACLES["stabilize_weights"],

@@ -50,5 +50,6 @@ def archive_rows(pings: DataFrame) -> DataFrame:
 
 
 def archive(pings: DataFrame, path: str, mode: str = "append") -> None:
-    """Append to the history table, in folders by tenant and date; a task writes few of them."""
-    archive_rows(pings).repartition("tenant_id", "date").write.mode(mode).partitionBy("tenant_id", "date").parquet(path)
+    """Append to the history table, in folders by tenant and date; a task writes few of them, and the days of a large
+    tenant are split over several tasks."""
+    archive_rows(pings).hint("rebalance", "tenant_id", "date").write.mode(mode).partitionBy("tenant_id", "date").parquet(path)

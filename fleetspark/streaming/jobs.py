@@ -52,14 +52,19 @@ def latest_position(pings: DataFrame, folder: str, area=(12.0, 79.5, 2.0, 1.5))
 
 def rebalance(pings: DataFrame, fixed: DataFrame, folder: str, trigger: dict | None = None) -> DataFrame:
     """After each micro-batch the commands that the latest positions ask for; returns those of the last one. In
-    production the trigger is ``{'processingTime': '15 seconds'}``."""
+    production the trigger is ``{'processingTime': '15 seconds'}``. The latest positions are one table a micro-batch,
+    the one before it merged with its updates, so a batch reads a row of each asset and not all earlier batches."""
     spark = pings.sparkSession
     row = F.max_by(F.struct(*pings.columns), F.struct("recorded_at", "seq")).alias("_row")
     updates = pings.groupBy(F.col("node_id").alias("_key")).agg(row).select("_row.*")
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(f"{folder}/latest")(batch, number)
-        seen = spark.read.parquet(f"{folder}/latest").drop("batch")
+        before = [spark.read.parquet(f"{folder}/latest/batch={number - 1}")] if number else []
+        merged = batch
+        for known in before:
+            merged = state.newest(known.unionByName(batch), "node_id")
+        sink(f"{folder}/latest")(merged, number)
+        seen = spark.read.parquet(f"{folder}/latest/batch={number}")
         zones.relocate(fixed, state.latest(seen)).write.mode("overwrite").parquet(f"{folder}/plan/batch={number}")
 
     drive(updates, each, folder, "update", trigger)

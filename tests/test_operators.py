@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from fleetspark import schemas
 from fleetspark.functions import geo, pricing
-from fleetspark.operators import match, roads, routing, stabilize, state, trips, zones
+from fleetspark.operators import history, match, roads, routing, stabilize, state, trips, zones
+from fleetspark.sources import ingest
 from fleetspark.sources.fixtures import load
 
 SF = "/root/testdata/sf0.001"
@@ -114,3 +115,23 @@ def test_empty_tables(spark):
     assert zones.relocate(fixed, pings.limit(0)).isEmpty()
     assert [r.deficit == r.required_assets for r in zones.supply(fixed, pings.limit(0)).collect()] == [True] * 4
     assert roads.snap(pings, load(spark, SF, "road_nodes").limit(0), "seq").isEmpty()
+
+
+def test_fixed_zones_stand_in_for_predicted_ones(spark):
+    schema = "zone_id string, lat double, lon double"
+    fixed, predicted = spark.createDataFrame([("f", 1.0, 2.0), ("g", 1.0, 2.0)], schema), spark.createDataFrame([("p", 3.0, 4.0)], schema)
+    assert {r.zone_id for r in zones.in_use(predicted, fixed).collect()} == {"p"}
+    assert {r.zone_id for r in zones.in_use(predicted.limit(0), fixed).collect()} == {"f", "g"}
+
+
+def test_the_archive_splits_large_days_and_is_pruned(spark, tmp_path):
+    rows = spark.range(3000).selectExpr(
+        "id AS seq", "if(id % 10 = 0, 'small', 'large') AS tenant_id", "concat('n', id % 7) AS node_id", "1 AS node_type", "2 AS status", "1.0 AS lat", "2.0 AS lon", "0.0 AS velocity_mps", "0.0 AS heading_deg", "5 AS battery", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id % 3 AS int)) AS recorded_at"
+    )
+    ingest.archive(rows, f"{tmp_path}/history")
+    stored = spark.read.parquet(f"{tmp_path}/history")
+    assert stored.count() == 3000 and set(stored.columns) >= {"tenant_id", "date"}
+    asked = history.track(stored.filter("tenant_id = 'small'"), "n3", "2024-01-02 00:00:00", "2024-01-02 23:59:59")
+    assert {(r.tenant_id, str(r.date)) for r in asked.collect()} == {("small", "2024-01-02")}
+    plan = asked._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(tenant_id" in plan and "PushedFilters: [IsNotNull(node_id)" in plan
