@@ -4,31 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from fleetspark.sources.storage import cut, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where the session names none (a local session, as
-    in tests) a temporary one is set."""
-    context = spark.sparkContext
-    folder = context._jsc.sc().getCheckpointDir()
-    if folder.isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-        folder = context._jsc.sc().getCheckpointDir()
-    return folder.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor loses nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["chunks", "cut", "plain_strings", "release", "shared_folder", "text_bytes", "tidy"]
 
 
 def release(spark: SparkSession) -> None:
