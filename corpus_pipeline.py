@@ -52,10 +52,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    found = cut(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+    """Documents that hold a passage of the benchmark go, each judged by its own text: those without an id too."""
+    row = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+    found = contaminated(docs.withColumn("_row", row), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+    found = cut(found.select(F.col("_row.doc_id").alias("_doc"), F.col("_row.text_hash").alias("_hash")).distinct())
     release(spark)
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]) & (F.xxhash64(docs["text"]) == found["_hash"]), "left_anti").select(COLUMNS)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
