@@ -46,3 +46,11 @@ def test_stages_on_their_own_input(spark, tmp_path):
 def test_run_equals_the_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() == got.select("doc_id").distinct().count() > 0
+
+
+def test_decontamination_of_documents_without_an_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(None, "before " + item + " after", "en", "s", 1), (None, "a clean text that is kept", "en", "s", 2), (7, item, "en", "s", 3), (7, "clean", None, None, None), (8, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.decontaminate(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "a clean text that is kept"), (7, "clean"), (8, "")]
