@@ -46,16 +46,19 @@ def radius(queries: DataFrame, positions: DataFrame, cap: int = 50, model: str =
     return out.select("query_id", "rank", "node_id", "asset_class", "lat", "lon", "distance_km", "eta_seconds", "route_type")
 
 
-def nearest(points: DataFrame, targets: DataFrame, distance: str, reach: str, k: int, tie: str, where: str = "true", start_degrees: float | None = None, most_rounds: int = 40) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, distance: str, reach: str, k: int, tie: str, where: str = "true", kinds: tuple[str, str] | None = None, start_degrees: float | None = None) -> DataFrame:
     """The k nearest targets (t_lat, t_lon, ...) of each point (point_id, p_lat, p_lon, ...), with ``distance`` and ``rank``.
 
     Round by round cells double; a point looks at its own cell and the eight around it, and is done when its k-th
-    candidate is nearer than ``reach`` (an expression with {step}: a distance that those cells surely cover).
-    In the last round cells are wider than the data. ``where`` is a condition on a pair. The first cells hold about
-    k / 4 targets each if these are spread evenly, so the pairs of a round grow with the points, not with their
-    number times that of the targets.
+    candidate is nearer than ``reach`` (an expression with {step}: a distance that those cells surely cover), or when
+    it has met all targets that there are for it. In the last round cells are wider than the data. ``where`` is a
+    condition on a pair. ``kinds`` names the targets' class (an enumeration) and the points' mask of classes: the class
+    is part of the join key, so other classes make no pairs, and points without a target of theirs are out at once.
+    The first cells hold about k / 2 targets each if these are spread evenly, so that most points end in the first
+    round and its pairs grow with the points, not with their number times that of the targets.
     """
-    spark, done, open_ = points.sparkSession, [], points
+    done = []
+    targets = targets.filter("t_lat is not null and t_lon is not null")
     bounds = targets.agg(F.min("t_lat"), F.max("t_lat"), F.min("t_lon"), F.max("t_lon"), F.count("*")).first()
     own = points.agg(F.min("p_lat"), F.max("p_lat"), F.min("p_lon"), F.max("p_lon")).first()
     if bounds[0] is None or own[0] is None:
@@ -64,27 +67,39 @@ def nearest(points: DataFrame, targets: DataFrame, distance: str, reach: str, k:
         widest = max(max(bounds[1], own[1]) - min(bounds[0], own[0]), max(bounds[3], own[3]) - min(bounds[2], own[2]))
     if start_degrees is None:
         area = (bounds[1] - bounds[0]) * (bounds[3] - bounds[2]) if bounds[4] else 0.0
-        start_degrees = max(1e-4, (area * max(k / 4, 1) / max(1, bounds[4])) ** 0.5)
-    step = start_degrees
-    for _ in range(most_rounds):
+        start_degrees = max(1e-4, (area * max(k / 2, 1) / max(1, bounds[4])) ** 0.5)
+    if kinds is None:
+        key, open_ = ["_x", "_y"], points.withColumn("_eligible", F.lit(bounds[4]))
+    else:
+        # one row for each class that occurs
+        numbers = {r[0]: r[1] for r in targets.groupBy(kinds[0]).count().collect() if r[0] is not None}
+        listed = "array(" + ", ".join(f"named_struct('kind', {c}, 'n', {n}L)" for c, n in sorted(numbers.items())) + ")"
+        key, targets = ["_x", "_y", "_kind"], targets.withColumn("_kind", F.col(kinds[0]))
+        fitting = F.expr(f"filter({listed}, c -> {class_match('c.kind', kinds[1])})") if numbers else F.lit(None).cast("array<struct<kind:int,n:long>>")
+        open_ = points.withColumn("_kinds", fitting).withColumn("_eligible", F.expr("aggregate(_kinds, 0L, (s, c) -> s + c.n)")).filter("_eligible > 0")
+    step, parts = start_degrees, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
         last = step >= widest
         size = f"{step!r}e0"
         around = F.expr("explode(array(-1L, 0L, 1L))")
-        asked = open_.withColumn("_dx", around).withColumn("_x", F.expr(geo.cell("p_lat", size)) + F.col("_dx")).withColumn("_dy", around).withColumn("_y", F.expr(geo.cell("p_lon", size)) + F.col("_dy")).drop("_dx", "_dy")
+        # few bytes become many pairs: a fixed number of parts, or the runtime joins them into one
+        spread = open_.repartition(parts, "point_id")
+        asked = spread.withColumn("_dx", around).withColumn("_x", F.expr(geo.cell("p_lat", size)) + F.col("_dx")).withColumn("_dy", around).withColumn("_y", F.expr(geo.cell("p_lon", size)) + F.col("_dy")).drop("_dx", "_dy")
+        if kinds is not None:
+            asked = asked.withColumn("_kind", F.explode("_kinds.kind")).drop("_kinds")
         placed = targets.withColumn("_x", F.expr(geo.cell("t_lat", size))).withColumn("_y", F.expr(geo.cell("t_lon", size)))
-        pairs = asked.join(placed, ["_x", "_y"]).filter(where).drop("_x", "_y").withColumn("distance", F.expr(distance))
+        pairs = asked.join(placed, key).filter(where).drop(*key).withColumn("distance", F.expr(distance))
         order = Window.partitionBy("point_id").orderBy(F.round("distance", 9), tie)
         best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         if last:
-            return _all([*done, best])
+            return _all([*done, best]).drop("_eligible")
         best = cut(best)
-        proven = best.filter(F.col("rank") == k).filter(F.col("distance") <= F.expr(reach.format(step=size))).select("point_id")
+        proven = best.filter(F.col("rank") == F.least(F.lit(k), "_eligible")).filter((F.col("_eligible") <= k) | (F.col("distance") <= F.expr(reach.format(step=size)))).select("point_id")
         done.append(best.join(proven, "point_id", "left_semi"))
         open_ = cut(open_.join(proven, "point_id", "left_anti"))
         if open_.isEmpty():
-            return _all(done)
+            return _all(done).drop("_eligible")
         step *= 2
-    raise RuntimeError(f"points are left after {most_rounds} rounds; start with wider cells")
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -100,7 +115,7 @@ def nearest_drivers(requests: DataFrame, drivers: DataFrame, surge: DataFrame, k
     points = requests.select(F.col("request_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "asset_req")
     free = drivers.filter("status = 'available'").select(F.col("id").alias("driver_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), "asset").dropDuplicates(["driver_id"])
     in_box = "abs(t_lat - p_lat) <= 5e1 AND abs(t_lon - p_lon) <= 5e1"
-    pairs = nearest(points, free, geo.planar("p_lat", "p_lon", "t_lat", "t_lon"), "{step}", pre, "driver_id", f"{class_match('asset', 'asset_req')} AND {in_box}")
+    pairs = nearest(points, free, geo.planar("p_lat", "p_lon", "t_lat", "t_lon"), "{step}", pre, "driver_id", in_box, ("asset", "asset_req"))
     km = geo.haversine_km("p_lat", "p_lon", "t_lat", "t_lon")
     timed = pairs.withColumn("metres", F.expr(f"{km} * 1.4e0 * 1e3")).withColumn("eta_seconds", F.expr(pricing.road_seconds(km)))
     order = Window.partitionBy("point_id").orderBy("eta_seconds", F.round("metres", 6), "driver_id")

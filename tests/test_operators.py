@@ -135,3 +135,26 @@ def test_the_archive_splits_large_days_and_is_pruned(spark, tmp_path):
     assert {(r.tenant_id, str(r.date)) for r in asked.collect()} == {("small", "2024-01-02")}
     plan = asked._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(tenant_id" in plan and "PushedFilters: [IsNotNull(node_id)" in plan
+
+
+def test_a_path_of_many_nodes(spark):
+    n = 21
+    nodes = spark.createDataFrame([(i, 0.0, float(i)) for i in range(n + 1)], "id long, lat double, lon double")
+    edges = spark.createDataFrame([(i, i + 1, 1.0, 1.0) for i in range(n - 1)], "source_id long, target_id long, km double, multiplier double")
+    pairs = spark.createDataFrame([(1, 0, n - 1), (2, 3, 3), (3, 4, 8), (4, 0, n)], "pair_id long, source_id long, target_id long")
+    got = {r.pair_id: (r.status, r.km, r.path) for r in routing.shortest(edges, nodes, pairs).collect()}
+    assert got == {1: ("ok", n - 1.0, list(range(n))), 2: ("ok", 0.0, [3]), 3: ("ok", 4.0, [4, 5, 6, 7, 8]), 4: ("no_path", None, None)}
+
+
+def test_nearest_of_rare_and_missing_classes(spark):
+    r = random.Random(5)
+    at = lambda: (r.uniform(12, 14), r.uniform(79, 81))
+    targets = [(i, *at(), 4 if i in (7, 11, 90) else 1 + i % 2) for i in range(200)] + [(500, None, 80.0, 1), (501, 13.0, 80.0, None)]
+    asked = [(i, *at(), (1, 3, 4, 5, 8, None)[i % 6]) for i in range(60)]
+    want = {}
+    for i, lat, lon, mask in asked:
+        fit = sorted((round(math.hypot(t[1] - lat, t[2] - lon), 9), t[0]) for t in targets if None not in t and mask and t[3] & mask)
+        want |= {(i, rank): t for rank, (_, t) in enumerate(fit[:5], 1)}
+    points = spark.createDataFrame(asked, "point_id long, p_lat double, p_lon double, mask int")
+    found = match.nearest(points, spark.createDataFrame(targets, "t long, t_lat double, t_lon double, kind int"), geo.planar("p_lat", "p_lon", "t_lat", "t_lon"), "{step}", 5, "t", kinds=("kind", "mask"))
+    assert {(x.point_id, x.rank): x.t for x in found.collect()} == want
