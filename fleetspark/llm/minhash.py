@@ -174,11 +174,27 @@ def _undecided(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFra
     return labels, cut(labelled.join(mains, "bucket").select("bucket", "node", "component", "main"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, star_rounds: int = 4) -> DataFrame:
+def _rare_in_common(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, component, loose) of different components, one of them loose, that share one of
+    the rarest shingles which every pair at the threshold shares; their sizes may pass, too."""
+    held = cut(sets.join(nodes, "node").select("node", "component", "loose", F.explode("shingles").alias("s")))
+    # those of one set only match nothing, but count in the order
+    known = cut(held.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"))
+    ranked = held.join(known, "s", "left").groupBy("node", "component", "loose").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("all"))
+    n = F.size("all")
+    rarest = ranked.select("node", "component", "loose", n.alias("n"), F.explode(F.slice("all", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)).alias("r"))
+    rarest = cut(rarest.filter("r.df > 1").select("node", "component", "loose", "n", "r.s"))
+    one = rarest.filter("loose").select("s", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    may_link = "cx <> component and (not loose or x < node) and 100 * least(n, nx) >= {0} * greatest(n, nx)".format(percent)
+    return one.join(rarest.withColumnRenamed("s", "t"), (F.col("s") == F.col("t")) & F.expr(may_link)).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, star_rounds: int = 4, crowd: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; see the module's text.
 
     ``percent``: the least similarity of a link, intersection over union in hundredths. ``star_rounds``:
-    rounds of further hubs before the exact rest; any number gives the same result.
+    rounds of further hubs before the exact rest; ``crowd``: members from which an undecided bucket is compared by
+    rare shingles. Any number of both gives the same result.
     """
     spark, sketch = docs.sparkSession, [f"p{i}" for i in range(SKETCH)]
     text = F.col(text_col).cast("string")
@@ -220,12 +236,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels, undecided = _undecided(larger, links)
         release(spark)
     # the exact rest: every pair of different components that share a bucket and has not met
-    known = undecided.join(first.select("node", F.col("n_shingles").alias("n"), *sketch), "node")
+    sizes = cut(undecided.groupBy("bucket").agg(F.count("*").alias("members")))
+    traits = first.select("node", F.col("n_shingles").alias("n"), *sketch)
+    known = undecided.join(sizes.filter(F.col("members") <= crowd), "bucket").join(traits, "node")
     loose = known.filter("component <> main").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), *(F.col(p).alias(f"x{p}") for p in sketch))
     differing = reduce(add, (F.bit_count(F.col(p).bitwiseXOR(F.col(f"x{p}"))) for p in sketch))
-    may_link = F.expr("cx <> component and (component = main or x < node)") & (differing * (100 + percent) <= (F.col("n") + F.col("nx")) * (100 - percent))
-    met = loose.join(known.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & may_link)
-    left = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    near = differing * (100 + percent) <= (F.col("n") + F.col("nx")) * (100 - percent)
+    may_link = F.expr("cx <> component and (component = main or x < node)") & near
+    met = loose.join(known.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & may_link).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    crowded = undecided.join(sizes.filter(F.col("members") > crowd), "bucket")
+    if not sizes.filter(F.col("members") > crowd).isEmpty():
+        rare = _rare_in_common(crowded.groupBy("node", "component").agg(F.max(F.col("component") != F.col("main")).alias("loose")), sets, percent)
+        ends = traits.withColumnRenamed("node", "b"), traits.select(F.col("node").alias("a"), F.col("n").alias("nx"), *(F.col(p).alias(f"x{p}") for p in sketch))
+        met = met.union(rare.join(ends[1], "a").join(ends[0], "b").filter(near).select("a", "b")).distinct()
+    left = met.join(tried, ["a", "b"], "left_anti")
     more = cut(_verified(left, sets, percent))
     # the sets of one id belong together
     several = full.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
@@ -235,7 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not (more.isEmpty() and tied.isEmpty()):
         labels = components(cut(links.union(more).union(tied)))
     grouped = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = grouped.groupBy("component").agg(F.min("doc_id").alias("name"))
+    # a table of its own, so that the join with it can split the rows of a large component
+    names = cut(grouped.groupBy("component").agg(F.min("doc_id").alias("name")))
     named = grouped.join(names, "component").select("set_a", "set_b", "name")
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id"))

@@ -82,3 +82,20 @@ def test_query_against_brute_force_with_long_words(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(docs).collect()} == brute.kept_words(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs.withColumn("z", F.lit(1)), k=4).collect()} == brute.components(rows, 4)
+
+
+@pytest.mark.parametrize("crowd", [0, 256])
+def test_crowded_buckets_lose_no_link(spark, crowd):
+    r = random.Random(11)
+    stem = [f"s{j}" for j in range(60)]
+    rows = []
+    for i in range(120):  # most are a little less alike than a link asks
+        w = list(stem)
+        at = r.randrange(60)
+        w[at : at + r.choice([1, 2, 6, 9, 12])] = [f"v{r.randrange(40)}" for _ in range(r.randrange(1, 9))]
+        rows.append((i, " ".join(w)))
+    want = brute.components(rows, 4)
+    assert 5 < len({c for _, c in want.values()}) < 115
+    # few bands of one slot put nearly all in the same buckets
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), k=4, bands=16, rows=1, star_rounds=1, crowd=crowd)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == want
