@@ -9,9 +9,10 @@ than the next one to come.
 ``bands`` bands of ``rows`` slots make bucket keys. A pair at the threshold 0.8 shares none of 64 bands of
 8 with probability (1 - 0.8^8)^64 < 1e-5; that is the only way a link can be missed. Candidates are
 verified on full shingle sets. Documents with the same set are one node. A bucket is compared with one
-hub first (the member with most company in its buckets); when links have made components, the members that
-are not in a bucket's main component are compared with all others of other components there. So pairs
-within a component are not made, and no link between components is lost.
+hub first (the member with most company in its buckets) and, when links have made components, a few times with a
+hub of its main component. The members that are still in another component are then joined with all others of such
+buckets on the rarest shingles of their differences from a hub, by an order under which each link shows: what a crowded
+bucket has in common makes no pairs, and no link between components is lost.
 
 Defined results. Null or empty texts, and those without a word, have an empty set: no links, own component.
 Fewer than k words: the whole sequence is the one shingle. Rows that repeat an id are linked with each other if
@@ -23,8 +24,6 @@ length are read whole. Only the id and text columns are read, so no other column
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +36,8 @@ from fleetspark.llm.words import Words, mix, words_of
 
 SLOT_STEP = 0x9E3779B97F4A7C15
 SLOT_SEED = np.uint64(SLOT_STEP)
-#: 64-bit words of a parity sketch.
-SKETCH = 16
+#: A class of differences from a hub spans a shingle, or this part of the hub's if that is more.
+FINE = 64
 #: Documents with no more shingles than this keep their permutations as a table, of so many shingles at a time.
 SMALL = 64
 TABLE = 8_192
@@ -111,18 +110,6 @@ def signatures(doc: np.ndarray, hashed: np.ndarray, n_docs: int, m: int) -> np.n
     return sig
 
 
-def parities(doc: np.ndarray, hashed: np.ndarray, n_docs: int) -> np.ndarray:
-    """(n_docs, SKETCH) words of bits: whether an odd number of a document's shingles fall in each cell.
-
-    Two documents differ in no more bits than their sets differ in shingles, so a pair with more different
-    bits than a link allows is no link; this needs no look at the sets and loses none.
-    """
-    out = np.zeros(n_docs * SKETCH, np.uint64)
-    cell = (mix(hashed + np.uint64(2)) % np.uint64(64 * SKETCH)).astype(np.int64)
-    np.bitwise_xor.at(out, doc * SKETCH + (cell >> 6), np.uint64(1) << (cell & 63).astype(np.uint64))
-    return out.reshape(n_docs, SKETCH)
-
-
 def _signed(batches, k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for table in chunks(batches, "text", 1 << 20, 2_000):
         words = words_of(table.column("text"), lower=True)
@@ -139,7 +126,6 @@ def _signed(batches, k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(key.reshape(-1).view(np.int64)))
         yield pa.record_batch(
             {"doc_id": table.column("doc_id").combine_chunks(), "text_hash": table.column("text_hash").combine_chunks(), "n_shingles": pa.array(size, pa.int64()), "set_a": pa.array(one.view(np.int64)), "set_b": pa.array(two.view(np.int64)), "bands": lists}
-            | {f"p{i}": pa.array(column.view(np.int64)) for i, column in enumerate(np.ascontiguousarray(parities(doc, hashed, n).T))}
         )
     tidy()
 
@@ -168,10 +154,44 @@ def _undecided(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFra
     """The components that the links make, and the members (bucket, node, company, component, main) of
     buckets that hold several of them; main is the component with most members there."""
     labels = components(links)
-    labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    labelled = members.join(labels, "node", "left").select("bucket", "node", "company", F.coalesce("component", "node").alias("component"))
     counts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mains = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    return labels, cut(labelled.join(mains, "bucket").select("bucket", "node", "component", "main"))
+    return labels, cut(labelled.join(mains, "bucket").select("bucket", "node", "company", "component", "main"))
+
+
+def _differing_alike(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) in ``near`` (hub, node, component, loose) that share a hub and may be links, one of them loose.
+
+    A loose node is no link of its hub. Let D be the shingles in which a node differs from the hub and n its size: two
+    nodes of one hub are a link only if their D share ceil((v + w) / 2) shingles, where v = |D| - n (100 - percent) /
+    (100 + percent) of the one and w of the other. With one of them loose that is one at least, so in an order that all
+    D follow they share one of the first |D| - ceil((v + w) / 2) + 1 of each. The order is rarest first: neither what a
+    crowd has in common with its hub nor what it lacks as a whole makes pairs. Each of these first shingles is laid out for the
+    classes of w of partners for which it is among the first, and both classes belong to the join key.
+    """
+    whole, part = 100 + percent, 100 - percent
+    hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sh"))
+    both = near.filter("node <> hub").join(sets, "node").join(hubs, "hub")
+    apart = F.concat(F.array_except("shingles", "sh"), F.array_except("sh", "shingles"))
+    held = cut(both.select("hub", "node", "component", "loose", F.size("shingles").alias("n"), F.greatest(F.lit(1), F.floor(F.size("sh") / FINE)).alias("span"), apart.alias("apart")))
+    each = held.select("hub", "node", "loose", F.explode("apart").alias("s"))
+    # a shingle of one D, or of none of a loose node, meets nothing; those come first in the order, their number is enough
+    known = cut(each.groupBy("hub", "s").agg(F.count("*").alias("df"), F.max("loose").alias("any")).filter("df > 1 and any").drop("any"))
+    shared = each.drop("loose").join(known, ["hub", "s"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
+    sized = held.withColumn("d", F.size("apart")).drop("apart").join(shared, ["hub", "node"]).withColumn("v", F.expr(f"{whole}L * d - {part}L * n"))
+    # sizes of links are within percent of each other, and their D differ in a fifth of both at most
+    most = f"CAST(ceil({part} * n / {percent}) AS int)"
+    grade = f"CAST(floor({{}} / ({whole} * span)) AS int)"
+    low, high = f"{whole}L * (d - {most}) - {part}L * (n + {most})", f"{whole}L * (d + {most}) - {part}L * (n - {most})"
+    first = f"d - CAST(ceil((v + {{}}) / {2 * whole}) AS int) + 1"
+    placed = sized.select("hub", "node", "component", "loose", "n", "d", "v", "span", (F.col("d") - F.size("all") + 1).alias("at"), F.expr("posexplode(all)").alias("pos", "r")).filter(F.expr("at + pos <= least(d, " + first.format(low) + ")"))
+    partners = f"filter(sequence({grade.format(f'({low})')}, {grade.format(f'({high})')}), c -> at + pos <= {first.format(f'c * {whole}L * span')})"
+    laid = cut(placed.select("hub", "node", "component", "loose", "r.s", F.expr(grade.format("v")).alias("own"), F.explode(F.expr(partners)).alias("other")))
+    one = laid.filter("loose").select("hub", "s", F.col("node").alias("x"), F.col("component").alias("cx"), "own", "other")
+    two = laid.select("hub", "s", "node", "component", "loose", F.col("own").alias("other"), F.col("other").alias("own"))
+    met = one.join(two, ["hub", "s", "own", "other"]).filter("cx <> component and (not loose or x < node)")
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, star_rounds: int = 4) -> DataFrame:
@@ -180,10 +200,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``percent``: the least similarity of a link, intersection over union in hundredths. ``star_rounds``:
     rounds of further hubs before the exact rest; any number gives the same result.
     """
-    spark, sketch = docs.sparkSession, [f"p{i}" for i in range(SKETCH)]
+    spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    kinds = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{p} long" for p in sketch)
+    kinds = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"
     signed = cut(slim.mapInArrow(lambda it: _signed(it, k, bands, rows), kinds).withColumn("row", F.monotonically_increasing_id()))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     # a node is a set; it goes by the row that holds it with the smallest id
@@ -219,20 +239,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tried, links = cut(tried.union(fresh)), cut(links.union(found))
         labels, undecided = _undecided(larger, links)
         release(spark)
-    # the exact rest: every pair of different components that share a bucket and has not met
-    known = undecided.join(first.select("node", F.col("n_shingles").alias("n"), *sketch), "node")
-    loose = known.filter("component <> main").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), *(F.col(p).alias(f"x{p}") for p in sketch))
-    differing = reduce(add, (F.bit_count(F.col(p).bitwiseXOR(F.col(f"x{p}"))) for p in sketch))
-    may_link = F.expr("cx <> component and (component = main or x < node)") & (differing * (100 + percent) <= (F.col("n") + F.col("nx")) * (100 - percent))
-    met = loose.join(known.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & may_link)
-    left = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    # the exact rest: all members meet a hub of their bucket's main component, the same one for all buckets of it
+    heads = undecided.filter("component = main").groupBy("main").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    crowds = cut(undecided.select("main", "node", "component").distinct().join(heads, "main").withColumn("apart", F.col("component") != F.col("main")).select("hub", "node", "component", "apart"))
+    pair = (F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    fresh = cut(crowds.filter("apart").select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
+    found = cut(_verified(fresh, sets, percent))
+    tried, links = cut(tried.union(fresh)), cut(links.union(found))
+    near = crowds.select("hub", "node", "component", "apart", *pair).join(found.withColumn("linked", F.lit(True)), ["a", "b"], "left")
+    near = near.select("hub", "node", "component", (F.col("apart") & F.col("linked").isNull()).alias("loose"))
+    left = _differing_alike(near, sets, percent).join(tried, ["a", "b"], "left_anti")
     more = cut(_verified(left, sets, percent))
     # the sets of one id belong together
     several = full.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
     repeated = full.join(several, "doc_id").select("doc_id", "set_a", "set_b").distinct().join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"])
     least = repeated.groupBy("doc_id").agg(F.min("node").alias("a"))
     tied = cut(repeated.join(least, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
-    if not (more.isEmpty() and tied.isEmpty()):
+    if not (found.isEmpty() and more.isEmpty() and tied.isEmpty()):
         labels = components(cut(links.union(more).union(tied)))
     grouped = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # a table of its own, so that the join with it can split the rows of a large component

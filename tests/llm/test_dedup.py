@@ -98,3 +98,29 @@ def test_crowded_buckets_lose_no_link(spark):
     # few bands of one slot put nearly all in the same buckets
     got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), k=4, bands=16, rows=1, star_rounds=1)
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == want
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_differences_from_a_hub_lose_no_link(spark, percent):
+    draw = random.Random(percent)
+    hub = set(range(60))
+    sets = {0: hub}
+    for node in range(1, 150):
+        mine = sets[draw.randrange(node)]
+        kept = draw.sample(sorted(mine), len(mine) - draw.randint(0, 7))
+        sets[node] = set(kept) | {draw.randint(100, 160) for _ in range(draw.randint(0, 7))}
+    linked = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    near = [(0, n, n, not linked(s, hub)) for n, s in sets.items()]
+    frame = spark.createDataFrame([(n, sorted(s)) for n, s in sets.items()], "node long, shingles array<long>")
+    got = {tuple(r) for r in minhash._differing_alike(spark.createDataFrame(near, "hub long, node long, component long, loose boolean"), frame, percent).collect()}
+    loose = {n for _, n, _, apart in near if apart}
+    links = {(a, b) for a in range(1, 150) for b in range(a + 1, 150) if (a in loose or b in loose) and linked(sets[a], sets[b])}
+    assert loose and links and links <= got
+
+
+def test_a_crowd_around_a_hub_makes_few_pairs(spark):
+    hub = list(range(147))
+    rows = [(0, hub)] + [(n, hub[n % 7 + 20 :] + list(range(1000 * n, 1000 * n + 20 + n % 7))) for n in range(1, 400)]
+    frame = spark.createDataFrame(rows, "node long, shingles array<long>")
+    near = spark.createDataFrame([(0, n, n, n > 0) for n, _ in rows], "hub long, node long, component long, loose boolean")
+    assert minhash._differing_alike(near, frame, 80).count() == 0
