@@ -11,13 +11,13 @@ from fleetspark.operators.match import class_match
 _SECONDS = "timestampdiff(SECOND, timestamp_ntz'2020-01-01 00:00:00', {})"
 
 
-def surge(requests: DataFrame, drivers: DataFrame, degrees: float = 0.2, seconds: int = 300, supply_box: tuple[float, float] = (-0.2, 0.04), alpha: float = 0.25, most: float = 3.0) -> DataFrame:
-    """(request_id, demand, supply, surge) of each request: demand is the requests within ``degrees`` in the seconds
-    before it, its own included; supply the available drivers of its types in a box at an offset, one at least."""
+def surge(requests: DataFrame, drivers: DataFrame, rides: DataFrame, degrees: float = 0.2, seconds: int = 300, supply_box: tuple[float, float] = (-0.2, 0.04), alpha: float = 0.25, most: float = 3.0) -> DataFrame:
+    """(request_id, demand, supply, surge) of each request: demand is the ``rides`` (lat, lon, ts) asked for within
+    ``degrees`` in the seconds before it; supply the available drivers of its types in a box at an offset, one at least."""
     wide = f"{degrees!r}e0"
     own = requests.select("request_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "asset_req", F.col("ts").alias("at"))
     # rows of one place and second count as one with a number
-    heard = requests.groupBy("lat", "lon", "ts").agg(F.count("*").alias("n"))
+    heard = rides.groupBy("lat", "lon", "ts").agg(F.count("*").alias("n"))
     three = F.expr("explode(array(-1L, 0L, 1L))")
     bucket = f"CAST(floor({_SECONDS} / {seconds}) AS bigint)"
     asked = own.withColumn("_a", three).withColumn("_x", F.expr(geo.cell("p_lat", wide)) + F.col("_a")).withColumn("_b", three).withColumn("_y", F.expr(geo.cell("p_lon", wide)) + F.col("_b"))

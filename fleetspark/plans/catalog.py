@@ -206,7 +206,7 @@ def active_drivers(drivers):
     return state.active(drivers, now()).select("id", "status", "updated_at")
 
 
-@query(f"SELECT 'driver' AS kind, id AS name FROM drivers WHERE updated_at >= {NOW} - INTERVAL '120' SECOND UNION ALL SELECT 'demand', CAST(request_id AS varchar(20)) FROM ride_requests WHERE ts >= {NOW} + INTERVAL '3300' SECOND", "drivers", "ride_requests")
+@query(f"SELECT 'driver' AS kind, id AS name FROM drivers WHERE updated_at >= {NOW} - INTERVAL '120' SECOND UNION ALL SELECT 'demand', CAST(request_id AS varchar(20)) FROM rides WHERE ts >= {NOW} + INTERVAL '3300' SECOND", "drivers", "rides")
 def expire_stale(drivers, requests):
     kept = state.expire(drivers, now(), 120, "updated_at").select(F.lit("driver").alias("kind"), F.col("id").alias("name"))
     heard = state.expire(requests, now() + F.make_dt_interval(hours=F.lit(1)), 300, "ts").select(F.lit("demand"), F.col("request_id").cast("string"))
@@ -321,16 +321,16 @@ def radius_match(telemetry, points):
     return match.radius(points, state.latest(telemetry)).withColumn("distance_km", F.round("distance_km", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
-_SURGE = """dem AS (SELECT r.request_id, count(*) AS demand FROM ride_requests r JOIN ride_requests o ON o.ts <= r.ts AND o.ts >= r.ts - INTERVAL '300' SECOND AND sqrt(power(r.lat - o.lat, 2) + power(r.lon - o.lon, 2)) <= 0.2e0 GROUP BY r.request_id),
+_SURGE = """dem AS (SELECT r.request_id, count(*) AS demand FROM ride_requests r JOIN rides o ON o.ts <= r.ts AND o.ts >= r.ts - INTERVAL '300' SECOND AND sqrt(power(r.lat - o.lat, 2) + power(r.lon - o.lon, 2)) <= 0.2e0 GROUP BY r.request_id),
 sup AS (SELECT r.request_id, count(*) AS supply FROM ride_requests r JOIN drivers d ON d.status = 'available' AND (d.asset & r.asset_req) > 0
   AND d.lat >= r.lat + -0.2e0 AND d.lat <= r.lat + -0.2e0 + 0.04e0 AND d.lon >= r.lon + -0.2e0 AND d.lon <= r.lon + -0.2e0 + 0.04e0 GROUP BY r.request_id),
 surge AS (SELECT r.request_id, dem.demand, greatest(coalesce(sup.supply, 0), 1) AS supply, least(greatest(1 + 0.25e0 * dem.demand / greatest(coalesce(sup.supply, 0), 1), 1), 3) AS surge
   FROM ride_requests r JOIN dem ON dem.request_id = r.request_id LEFT JOIN sup ON sup.request_id = r.request_id)"""
 
 
-@query(f"STEP {_SURGE}\nSELECT request_id, demand, supply, round(surge, 6) AS surge FROM surge", "ride_requests", "drivers")
-def surge_price(requests, drivers):
-    return demand.surge(requests, drivers).select("request_id", "demand", "supply", r6("surge"))
+@query(f"STEP {_SURGE}\nSELECT request_id, demand, supply, round(surge, 6) AS surge FROM surge", "ride_requests", "drivers", "rides")
+def surge_price(requests, drivers, rides):
+    return demand.surge(requests, drivers, rides).select("request_id", "demand", "supply", r6("surge"))
 
 
 @query(
@@ -342,9 +342,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY eta_seconds,
 SELECT k.request_id, k.rank, k.driver_id, k.asset, round(k.metres, 3) AS metres, k.eta_seconds, round(s.surge, 6) AS surge, round({pricing.fare("k.asset", "k.metres", "k.eta_seconds", "s.surge")}, 4) AS fare FROM k JOIN surge s ON s.request_id = k.request_id""",
     "ride_requests",
     "drivers",
+    "rides",
 )
-def nearest_drivers(requests, drivers):
-    out = match.nearest_drivers(requests, drivers, demand.surge(requests, drivers))
+def nearest_drivers(requests, drivers, rides):
+    out = match.nearest_drivers(requests, drivers, demand.surge(requests, drivers, rides))
     return out.select("request_id", F.col("rank").cast("long").alias("rank"), "driver_id", "asset", F.round("metres", 3).alias("metres"), "eta_seconds", r6("surge"), F.round("fare", 4).alias("fare"))
 
 

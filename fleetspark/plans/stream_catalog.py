@@ -60,7 +60,7 @@ def stream_stabilize(spark, sf_dir):
 
 
 def stream_demand(spark, sf_dir):
-    requests, folder = _stream(spark, sf_dir, "ride_requests", "ts")
+    requests, folder = _stream(spark, sf_dir, "rides", "ts")
     return jobs.demand(requests, folder).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -77,6 +77,6 @@ ORACLES = {
     "stream_rebalance": catalog.ORACLES["relocation_plan"],
     "stream_congestion": f"SELECT node_id, multiplier, recorded_at FROM ({catalog.ORACLES['congestion_events']}) c QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY recorded_at DESC, seq DESC) = 1",
     "stream_stabilize": catalog.ORACLES["stabilize_weights"],
-    "stream_demand": f"WITH {ctes('ride_requests')}\nSELECT date_trunc('minute', ts) - k * INTERVAL '1' MINUTE AS start, CAST(floor(lat / 0.2e0) AS bigint) AS x, CAST(floor(lon / 0.2e0) AS bigint) AS y, count(*) AS requests FROM ride_requests, (VALUES (0), (1), (2), (3), (4)) AS v(k) GROUP BY 1, 2, 3",
+    "stream_demand": f"WITH {ctes('rides')}\nSELECT date_trunc('minute', ts) - k * INTERVAL '1' MINUTE AS start, CAST(floor(lat / 0.2e0) AS bigint) AS x, CAST(floor(lon / 0.2e0) AS bigint) AS y, count(*) AS requests FROM rides, (VALUES (0), (1), (2), (3), (4)) AS v(k) GROUP BY 1, 2, 3",
     "stream_uplinks": f"WITH {ctes('telemetry')}\nSELECT date_trunc('second', recorded_at) AS second, count(DISTINCT node_id) AS uplinks, count(*) AS messages FROM telemetry GROUP BY 1",
 }
