@@ -14,6 +14,7 @@ from fleetspark.llm.license_scan import OP3_SQL, op3_license_scan
 from fleetspark.llm.minhash import op7_minhash_dedup
 from fleetspark.llm.quality_rules import op9_quality_rules
 from fleetspark.llm.sharding import op2_sharding
+from fleetspark.llm.spelling import OP12_SQL, op12_spelling_variants
 from fleetspark.llm.substring_dedup import op10_substring_dedup
 from fleetspark.llm.toxicity import op4_toxicity
 from fleetspark.llm.url_filters import OP1_SQL, op1_url_filters
@@ -31,9 +32,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_quality_rules": op9_quality_rules,
         "op10_substring_dedup": op10_substring_dedup,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_license_scan": OP3_SQL, "op5_decontamination": OP5_SQL, "op13_conversation_trie": OP13_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_license_scan": OP3_SQL, "op5_decontamination": OP5_SQL, "op12_spelling_variants": OP12_SQL, "op13_conversation_trie": OP13_SQL}

@@ -89,7 +89,22 @@ def words_of(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
     data, offsets = text_bytes(plain_strings(texts))
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    return spans(data, offsets, ~_SPACE[data])
+
+
+def letter_runs(texts: pa.Array | pa.ChunkedArray) -> Words:
+    """The maximal runs of A-Z, a-z and U+00C0 to U+00FF, A-Z lower-cased."""
+    data, offsets = text_bytes(plain_strings(texts))
+    data = _LOWER[data]
+    inside = (data >= 97) & (data <= 122)
+    led = data == 0xC3  # U+00C0 to U+00FF are this byte and one more
+    inside |= led
+    inside[1:] |= led[:-1]
+    return spans(data, offsets, inside)
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
+    """The maximal runs of bytes that are ``inside``; a run never spans two texts."""
     edge = np.zeros(len(data) + 1, bool)
     edge[0] = edge[offsets] = True
     begins = inside & (edge[:-1] | np.concatenate(([True], ~inside[:-1]))) if len(data) else inside
