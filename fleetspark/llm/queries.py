@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetspark.llm.bpe import op8_bpe
 from fleetspark.llm.conversation_trie import OP13_SQL, op13_conversation_trie
 from fleetspark.llm.decontamination import OP5_SQL, op5_decontamination
+from fleetspark.llm.jaccard_join import OP11_SQL, op11_jaccard_join
 from fleetspark.llm.language_id import op6_language_id
 from fleetspark.llm.license_scan import OP3_SQL, op3_license_scan
 from fleetspark.llm.minhash import op7_minhash_dedup
@@ -32,10 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_quality_rules": op9_quality_rules,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_jaccard_join": op11_jaccard_join,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_license_scan": OP3_SQL, "op5_decontamination": OP5_SQL, "op12_spelling_variants": OP12_SQL, "op13_conversation_trie": OP13_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_license_scan": OP3_SQL, "op5_decontamination": OP5_SQL, "op11_jaccard_join": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_conversation_trie": OP13_SQL}
