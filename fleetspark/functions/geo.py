@@ -6,6 +6,9 @@ only functions that Spark compiles into its generated code.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 EARTH_KM = "6371e0"
 KM_PER_DEGREE = "111e0"
 
@@ -58,3 +61,15 @@ def in_service_area(lat: str = "lat", lon: str = "lon", box: tuple[float, float,
 def cell(value: str, size: str) -> str:
     """The number of the grid step that holds a coordinate."""
     return f"CAST(floor(({value}) / {size}) AS bigint)"
+
+
+def with_curve(df: DataFrame, lat: str, lon: str, name: str) -> DataFrame:
+    """``df`` with each row's place on a space-filling curve (Z order): the bits of 24-bit latitude and longitude in turn.
+    Rows near each other on it are near each other on the map."""
+    out = df
+    for column, value, shift, width in (("_cy", lat, "9e1", "1.8e2"), ("_cx", lon, "1.8e2", "3.6e2")):
+        out = out.withColumn(column, F.expr(f"CAST(floor((({value}) + {shift}) / {width} * 16777215e0) AS bigint)"))
+        # each step moves the upper half of every group of bits away, until there is a gap after every bit
+        for gap, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            out = out.withColumn(column, F.expr(f"({column} | shiftleft({column}, {gap})) & {mask}L"))
+    return out.withColumn(name, F.expr("shiftleft(_cy, 1) | _cx")).drop("_cy", "_cx")

@@ -2,34 +2,121 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.functions import geo
-from fleetspark.operators.match import class_match
+from fleetspark.operators.match import class_match, one_each
 
-_SECONDS = "timestampdiff(SECOND, timestamp_ntz'2020-01-01 00:00:00', {})"
+_MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'2020-01-01 00:00:00', {})"
+#: Fine cells along each side of a cell.
+FINE = 32
+#: Rides that are tested one by one at a time.
+TESTED = 1_000_000
+
+
+def _spread(start: np.ndarray, stop: np.ndarray):
+    """The numbers of the ranges [start, stop), with the range of each, in parts of about ``TESTED``."""
+    some = np.flatnonzero(stop > start)
+    size = (stop - start)[some]
+    for part in np.split(np.arange(len(some)), np.flatnonzero(np.diff(np.cumsum(size) // TESTED)) + 1) if len(some) else ():
+        many = size[part]
+        owner = np.repeat(some[part], many)
+        yield owner, np.repeat(start[some[part]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
+def _counted(asked: pa.Table, rides: pa.Table, degrees: float, seconds: int) -> pa.Table:
+    """For each request of one cell and bucket of time, how many rides of them are within reach of it.
+
+    Rides are summed along one side of a grid of fine cells and along whole seconds. Fine cells inside the circle then
+    take four look-ups a column; only rides in fine cells on its rim, and in the first and last second, are tested.
+    """
+    if not rides.num_rows or not asked.num_rows:
+        return pa.table({"request_id": pa.array([], asked.schema.field("request_id").type), "demand": pa.array([], pa.int64())})
+    x0, y0, t0 = asked.column("_x")[0].as_py() * degrees, asked.column("_y")[0].as_py() * degrees, asked.column("_t")[0].as_py() * seconds * 1_000_000
+    g, width = degrees / FINE, seconds * 1_000_000
+    x, y, at, n = (rides.column(c).to_numpy() for c in ("lat", "lon", "micros", "n"))
+    cell = lambda v, origin: np.clip(np.floor((v - origin) / g), 0, FINE - 1).astype(np.int64)
+    i, j, b = cell(x, x0), cell(y, y0), (at - t0) // 1_000_000
+    sums = np.zeros((FINE, FINE + 1, seconds + 1), np.int64)
+    np.add.at(sums, (i, j + 1, b + 1), n)
+    sums = sums.cumsum(axis=1).cumsum(axis=2)
+    by_place, by_second = np.lexsort((j, i)), np.lexsort((j, i, b))
+    place, second = (i * FINE + j)[by_place], ((b * FINE + i) * FINE + j)[by_second]
+
+    px, py, now = (asked.column(c).to_numpy() for c in ("p_lat", "p_lon", "micros"))
+    low, high = now - width, now
+    first, last = np.clip(-((t0 - low) // 1_000_000), 0, seconds), np.clip((high + 1 - t0) // 1_000_000, 0, seconds)
+    first = np.minimum(first, last)
+    edge = np.arange(FINE) * g + x0
+    far = np.maximum(np.abs(px[:, None] - edge), np.abs(px[:, None] - edge - g))
+    near = np.maximum(0, np.maximum(edge - px[:, None], px[:, None] - edge - g))
+    sure, maybe = degrees * (1 - 1e-9), degrees * (1 + 1e-9)
+    inner, outer = (np.sqrt(np.maximum(0, r * r - d * d)) for r, d in ((sure, far), (maybe, near)))
+    v0, v1 = np.ceil((py[:, None] - inner - y0) / g + 1e-9), np.floor((py[:, None] + inner - y0) / g - 1e-9)
+    u0, u1 = np.floor((py[:, None] - outer - y0) / g - 1e-9), np.floor((py[:, None] + outer - y0) / g + 1e-9) + 1
+    v0, v1, u0, u1 = (np.clip(v, 0, FINE).astype(np.int64) for v in (v0, v1, u0, u1))
+    v1 = np.where(far < sure, np.maximum(v0, v1), v0)  # full cells are [v0, v1), touched ones [u0, u1)
+    u1 = np.where(near <= maybe, np.maximum(u0, u1), u0)
+    v0, v1 = np.clip(v0, u0, u1), np.clip(v1, u0, u1)
+    column = np.arange(FINE)[None, :]
+    f, to = first[:, None], last[:, None]
+    found = (sums[column, v1, to] - sums[column, v0, to] - sums[column, v1, f] + sums[column, v0, f]).sum(axis=1)
+
+    def test(owner: np.ndarray, ride: np.ndarray) -> None:
+        q = owner // FINE
+        good = (at[ride] >= low[q]) & (at[ride] <= high[q]) & (np.sqrt((px[q] - x[ride]) ** 2 + (py[q] - y[ride]) ** 2) <= degrees)
+        np.add.at(found, q[good], n[ride[good]])
+
+    columns = np.broadcast_to(column, u0.shape)
+    for a, c in ((u0, v0), (v1, u1)):
+        start, stop = (np.searchsorted(place, (columns * FINE + v).ravel()) for v in (a, c))
+        for owner, k in _spread(start, stop):
+            test(owner, by_place[k])
+    for part in (first - 1, last):
+        # the second that the window only begins or ends in
+        there = (part >= 0) & (part < seconds)
+        start, stop = (np.where(there[:, None], np.searchsorted(second, (part[:, None] * FINE + columns) * FINE + v), 0).ravel() for v in (v0, v1))
+        for owner, k in _spread(start, stop):
+            test(owner, by_second[k])
+    return pa.table({"request_id": asked.column("request_id"), "demand": pa.array(found, pa.int64())})
+
+
+def requested(requests: DataFrame, rides: DataFrame, degrees: float = 0.2, seconds: int = 300, ride_block: int = 200_000, request_block: int = 10_000) -> DataFrame:
+    """(request_id, demand) of each request (request_id, lat, lon, ts) that has any: the ``rides`` (lat, lon, ts) within
+    ``degrees`` of it in the ``seconds`` up to it. Requests and rides meet by cell and bucket of time; a crowded one is
+    cut in blocks on both sides, so that a task is bounded, and the blocks' counts are added up."""
+    wide = f"{degrees!r}e0"
+    bucket = f"CAST(floor({_MICROS} / {seconds * 1_000_000}) AS bigint)"
+    # rows of one place and time count as one with a number
+    heard = rides.filter("lat is not null and lon is not null and ts is not null").groupBy("lat", "lon", "ts").agg(F.count("*").alias("n"))
+    placed = heard.select("lat", "lon", "n", F.expr(_MICROS.format("ts")).alias("micros"), F.expr(geo.cell("lat", wide)).alias("_x"), F.expr(geo.cell("lon", wide)).alias("_y"), F.expr(bucket.format("ts")).alias("_t"))
+    own = requests.filter("lat is not null and lon is not null and ts is not null").select("request_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.expr(_MICROS.format("ts")).alias("micros"), F.expr(geo.cell("lat", wide)).alias("_x0"), F.expr(geo.cell("lon", wide)).alias("_y0"), F.expr(bucket.format("ts")).alias("_t0"))
+    near = own.select("*", F.expr("explode(array(_x0 - 1, _x0, _x0 + 1)) AS _x")).select("*", F.expr("explode(array(_y0 - 1, _y0, _y0 + 1)) AS _y")).select("*", F.expr("explode(array(_t0 - 1, _t0)) AS _t"))
+    reach = [F.col(p).between(F.col(c) * degrees - maybe, (F.col(c) + 1) * degrees + maybe) for p, c, maybe in (("p_lat", "_x", degrees * (1 + 1e-9)), ("p_lon", "_y", degrees * (1 + 1e-9)))]
+    near = near.filter(reach[0] & reach[1]).drop("_x0", "_y0", "_t0")
+    key = ["_x", "_y", "_t"]
+    sizes = placed.groupBy(*key).agg(F.ceil(F.count("*") / ride_block).cast("int").alias("_rides")).join(near.groupBy(*key).agg(F.ceil(F.count("*") / request_block).cast("int").alias("_asked")), key)
+    left = near.join(sizes, key).withColumn("_q", F.expr("CAST(pmod(xxhash64(request_id), _asked) AS int)")).withColumn("_r", F.explode(F.expr("sequence(0, _rides - 1)")))
+    right = placed.join(sizes, key).withColumn("_r", F.expr("CAST(pmod(xxhash64(lat, lon, micros), _rides) AS int)")).withColumn("_q", F.explode(F.expr("sequence(0, _asked - 1)")))
+    both = [*key, "_q", "_r"]
+    kind = next(f.dataType.simpleString() for f in requests.schema if f.name == "request_id")
+    parts = left.select(*both, "request_id", "p_lat", "p_lon", "micros").groupBy(*both).cogroup(right.select(*both, "lat", "lon", "micros", "n").groupBy(*both))
+    counts = parts.applyInArrow(lambda a, r: _counted(a, r, degrees, seconds), f"request_id {kind}, demand long")
+    return counts.groupBy("request_id").agg(F.sum("demand").alias("demand")).filter("demand > 0")
 
 
 def surge(requests: DataFrame, drivers: DataFrame, rides: DataFrame, degrees: float = 0.2, seconds: int = 300, supply_box: tuple[float, float] = (-0.2, 0.04), alpha: float = 0.25, most: float = 3.0) -> DataFrame:
     """(request_id, demand, supply, surge) of each request: demand is the ``rides`` (lat, lon, ts) asked for within
     ``degrees`` in the seconds before it; supply the available drivers of its types in a box at an offset, one at least."""
-    wide = f"{degrees!r}e0"
-    own = requests.select("request_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "asset_req", F.col("ts").alias("at"))
-    # rows of one place and second count as one with a number
-    heard = rides.groupBy("lat", "lon", "ts").agg(F.count("*").alias("n"))
-    three = F.expr("explode(array(-1L, 0L, 1L))")
-    bucket = f"CAST(floor({_SECONDS} / {seconds}) AS bigint)"
-    asked = own.withColumn("_a", three).withColumn("_x", F.expr(geo.cell("p_lat", wide)) + F.col("_a")).withColumn("_b", three).withColumn("_y", F.expr(geo.cell("p_lon", wide)) + F.col("_b"))
-    asked = asked.withColumn("_c", F.expr("explode(array(-1L, 0L))")).withColumn("_t", F.expr(bucket.format("at")) + F.col("_c")).drop("_a", "_b", "_c")
-    placed = heard.withColumn("_x", F.expr(geo.cell("lat", wide))).withColumn("_y", F.expr(geo.cell("lon", wide))).withColumn("_t", F.expr(bucket.format("ts")))
-    met = asked.join(placed, ["_x", "_y", "_t"]).filter((F.col("ts") <= F.col("at")) & (F.col("ts") >= F.col("at") - F.make_dt_interval(secs=F.lit(seconds))) & (F.expr(geo.planar("p_lat", "p_lon", "lat", "lon")) <= degrees))
-    demand = met.groupBy("request_id").agg(F.sum("n").alias("demand"))
-
+    demand = requested(requests, rides, degrees, seconds)
+    own = requests.select("request_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "asset_req")
     off, side = (f"{v!r}e0" for v in supply_box)
     cells = {c: f"explode(sequence({geo.cell(f'{p} + {off}', side)}, {geo.cell(f'{p} + {off} + {side}', side)}))" for c, p in (("_x", "p_lat"), ("_y", "p_lon"))}
     looking = own.withColumn("_x", F.expr(cells["_x"])).withColumn("_y", F.expr(cells["_y"]))
-    free = drivers.filter("status = 'available'").dropDuplicates(["id"]).groupBy("lat", "lon", "asset").agg(F.count("*").alias("n"))
+    free = one_each(drivers).filter("status = 'available'").groupBy("lat", "lon", "asset").agg(F.count("*").alias("n"))
     free = free.withColumn("_x", F.expr(geo.cell("lat", side))).withColumn("_y", F.expr(geo.cell("lon", side)))
     seen = looking.join(free, ["_x", "_y"]).filter(class_match("asset", "asset_req")).filter(geo.contains(f"p_lat + {off}", f"p_lon + {off}", side, side, "lat", "lon"))
     supply = seen.groupBy("request_id").agg(F.sum("n").alias("supply"))

@@ -18,16 +18,53 @@ def for_tenant(df: DataFrame, tenant: str) -> DataFrame:
     return df.filter((F.col("tenant_id") == tenant) & (F.col("tenant_id") != ""))
 
 
-def within(queries: DataFrame, positions: DataFrame, cell_degrees: float = 0.05) -> DataFrame:
+def one_each(drivers: DataFrame) -> DataFrame:
+    """One row a driver: the newest (updated_at); of equally new ones the one with the largest values, so that the rows'
+    order does not matter."""
+    rest = [c for c in drivers.columns if c not in ("id", "updated_at")]
+    row = F.max(F.struct("updated_at", *sorted(rest))).alias("_row")
+    return drivers.groupBy("id").agg(row).select("id", "_row.*").select(*drivers.columns)
+
+
+#: Sides of the widest and the finest cell of the density table, in degrees: each level halves them.
+WIDEST, LEVELS = 0.1, 8
+
+
+def place(positions: DataFrame, most: int = 2_000) -> tuple[DataFrame, DataFrame]:
+    """``positions`` with a density-adapted cell (_level, _x, _y, _part) each, and the table of these cells. A cell is
+    quartered while it holds more than ``most`` positions of its tenant; a finest cell that still does (many at one
+    place) is dealt to parts. So every cell and part is a bounded key, however crowded a city is."""
+    finest = f"{WIDEST / 2 ** (LEVELS - 1)!r}e0"
+    held = cut(positions.filter("tenant_id <> '' and lat is not null and lon is not null").withColumn("_fx", F.expr(geo.cell("lat", finest))).withColumn("_fy", F.expr(geo.cell("lon", finest))))
+    counts = held.groupBy("tenant_id", "_fx", "_fy").agg(F.count("*").alias("_n"))
+    up = f"CAST(floor({{}} / power(2, {LEVELS - 1} - _level)) AS bigint)"
+    levels = counts.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("_x", F.expr(up.format("_fx"))).withColumn("_y", F.expr(up.format("_fy")))
+    sizes = levels.groupBy("tenant_id", "_level", "_x", "_y").agg(F.sum("_n").alias("_size"))
+    fits = (F.col("_size") <= most) | (F.col("_level") == LEVELS - 1)
+    chosen = levels.join(sizes, ["tenant_id", "_level", "_x", "_y"]).filter(fits).groupBy("tenant_id", "_fx", "_fy").agg(F.min(F.struct("_level", "_x", "_y", F.ceil(F.col("_size") / most).cast("int").alias("_parts"))).alias("_c")).select("tenant_id", "_fx", "_fy", "_c.*")
+    chosen = cut(chosen)
+    few = chosen.limit(100_001).count() <= 100_000
+    placed = held.join(F.broadcast(chosen) if few else chosen, ["tenant_id", "_fx", "_fy"]).withColumn("_part", F.expr("CAST(pmod(xxhash64(node_id), _parts) AS int)")).drop("_fx", "_fy", "_parts")
+    return placed, chosen.select("tenant_id", "_level", "_x", "_y", "_parts").distinct()
+
+
+def within(queries: DataFrame, positions: DataFrame | tuple[DataFrame, DataFrame], most: int = 2_000) -> DataFrame:
     """Every pair of a query (query_id, tenant_id, q_lat, q_lon, radius_km, class_mask) and a position of its tenant
-    and classes in its box and circle, with distance_km. Queries, the small side, are copied to the cells that their
-    boxes touch; a position is in one cell, so pairs come once. A crowded cell is a skewed equi-join."""
-    size = f"{cell_degrees!r}e0"
-    b = geo.bounding_box("q_lat", "q_lon", "radius_km")
-    spread = queries.withColumn("_x", F.expr(f"explode(sequence({geo.cell(b['x'], size)}, {geo.cell(b['x'] + ' + ' + b['width'], size)}))"))
-    spread = spread.withColumn("_y", F.expr(f"explode(sequence({geo.cell(b['y'], size)}, {geo.cell(b['y'] + ' + ' + b['height'], size)}))"))
-    placed = positions.filter("tenant_id <> ''").withColumn("_x", F.expr(geo.cell("lat", size))).withColumn("_y", F.expr(geo.cell("lon", size)))
-    near = spread.join(placed, ["tenant_id", "_x", "_y"]).drop("_x", "_y")
+    and classes in its box and circle, with distance_km; ``positions`` may be what ``place`` makes of them. Queries,
+    the small side, are copied to the density-adapted cells that their boxes touch; a position is in one cell and part,
+    so pairs come once and a key holds ``most`` positions at most."""
+    placed, cells = positions if isinstance(positions, tuple) else place(positions, most)
+    size, b = f"{WIDEST!r}e0", geo.bounding_box("q_lat", "q_lon", "radius_km")
+    asked = queries.withColumns({"_s": F.expr(b["x"]), "_w": F.expr(b["y"]), "_n": F.expr(b["x"] + " + " + b["width"]), "_e": F.expr(b["y"] + " + " + b["height"])})
+    spread = asked.withColumn("_x0", F.expr(f"explode(sequence({geo.cell('_s', size)}, {geo.cell('_n', size)}))")).withColumn("_y0", F.expr(f"explode(sequence({geo.cell('_w', size)}, {geo.cell('_e', size)}))"))
+    side = F.lit(WIDEST) / F.pow(F.lit(2.0), F.col("_level"))
+    top = {c: F.expr(f"CAST(floor({v} / power(2, _level)) AS bigint)") for c, v in (("_x0", "_x"), ("_y0", "_y"))}
+    edge = F.lit(1e-9)
+    known = cells.withColumns(top | {"_lat": F.col("_x") * side, "_lon": F.col("_y") * side, "_side": side})
+    touched = (F.col("_lat") <= F.col("_n") + edge) & (F.col("_lat") + F.col("_side") >= F.col("_s") - edge) & (F.col("_lon") <= F.col("_e") + edge) & (F.col("_lon") + F.col("_side") >= F.col("_w") - edge)
+    met = spread.join(known, ["tenant_id", "_x0", "_y0"]).filter(touched).withColumn("_part", F.explode(F.expr("sequence(0, _parts - 1)")))
+    key = ["tenant_id", "_level", "_x", "_y", "_part"]
+    near = met.select(*queries.columns, *key[1:]).join(placed, key).drop(*key[1:])
     near = near.filter(class_match("asset_class", "class_mask")).filter(geo.in_circle_box("lat", "lon", "q_lat", "q_lon", "radius_km"))
     return near.withColumn("distance_km", F.expr(geo.haversine_km("q_lat", "q_lon", "lat", "lon"))).filter("distance_km <= radius_km")
 
@@ -113,7 +150,7 @@ def nearest_drivers(requests: DataFrame, drivers: DataFrame, surge: DataFrame, k
     """For each ride request (request_id, lat, lon, asset_req) the k available drivers with the shortest ride among the
     ``pre`` nearest by degrees, with fare; ``surge`` has (request_id, surge)."""
     points = requests.select(F.col("request_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "asset_req")
-    free = drivers.filter("status = 'available'").select(F.col("id").alias("driver_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), "asset").dropDuplicates(["driver_id"])
+    free = one_each(drivers).filter("status = 'available'").select(F.col("id").alias("driver_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), "asset")
     in_box = "abs(t_lat - p_lat) <= 5e1 AND abs(t_lon - p_lon) <= 5e1"
     pairs = nearest(points, free, geo.planar("p_lat", "p_lon", "t_lat", "t_lon"), "{step}", pre, "driver_id", in_box, ("asset", "asset_req"))
     km = geo.haversine_km("p_lat", "p_lon", "t_lat", "t_lon")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspark.operators.match import ranked, within
+from fleetspark.operators.match import place, ranked, within
 
 
 def _asked(zones: DataFrame, radius: str) -> DataFrame:
     return zones.select(F.col("zone_id").alias("query_id"), "tenant_id", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), F.expr(radius).alias("radius_km"), F.col("target_class").alias("class_mask"))
 
 
-def supply(zones: DataFrame, positions: DataFrame, cap: int = 500) -> DataFrame:
+def supply(zones: DataFrame, positions: DataFrame | tuple[DataFrame, DataFrame], cap: int = 500) -> DataFrame:
     """(zone_id, required_assets, supply, deficit); the cap also limits what is counted."""
     met = ranked(within(_asked(zones, "radius_km"), positions), cap, "flat").groupBy(F.col("query_id").alias("zone_id")).agg(F.count("*").alias("supply"))
     out = zones.join(met, "zone_id", "left").withColumn("supply", F.coalesce("supply", F.lit(0)))
@@ -22,6 +22,7 @@ def supply(zones: DataFrame, positions: DataFrame, cap: int = 500) -> DataFrame:
 def relocate(zones: DataFrame, positions: DataFrame, reach_km: float = 25.0, cap: int = 500, reachable: DataFrame | None = None) -> DataFrame:
     """RELOCATE commands of zones in deficit to their nearest assets outside: within reach, capped, then those inside
     left out. ``reachable`` (node_id): assets that can be told; others use up no deficit."""
+    positions = place(positions)
     short = supply(zones, positions, cap).filter("deficit > 0").select("zone_id", "radius_km", "lat", "lon", "tenant_id", "target_class", "deficit")
     near = ranked(within(_asked(short, f"{reach_km!r}e0"), positions), cap, "flat").select(F.col("query_id").alias("zone_id"), "node_id", "distance_km", "rank")
     outside = near.join(short.select("zone_id", "radius_km", "deficit", F.col("lat").alias("target_lat"), F.col("lon").alias("target_lon")), "zone_id").filter("distance_km > radius_km")

@@ -542,11 +542,13 @@ def network_stats(nodes, ways, way_nodes):
 
 
 _RELAX = """ew AS (SELECT source_id, target_id, min(km * multiplier) AS w, arg_min(km, km * multiplier) AS km FROM we GROUP BY 1, 2),
-bf AS (SELECT 0 AS turn, source_id AS src, source_id AS node, 0e0 AS cost, 0e0 AS km, [source_id] AS path FROM (SELECT DISTINCT source_id FROM asked WHERE source_id IN (SELECT id FROM road_nodes))
-  UNION ALL SELECT turn + 1, src, target_id, min(c), arg_min(k, c), arg_min(list_append(path, target_id), c) FROM (SELECT b.turn, b.src, b.path, e.target_id, b.cost + e.w AS c, b.km + e.km AS k FROM bf b JOIN ew e ON e.source_id = b.node WHERE b.turn < 30 AND NOT list_contains(b.path, e.target_id)) x GROUP BY turn, src, target_id),
-best AS (SELECT src, node, arg_min(km, cost) AS km, arg_min(path, cost) AS path, min(cost) AS cost FROM bf GROUP BY src, node),
-routes AS (SELECT a.pair_id, CASE WHEN a.source_id NOT IN (SELECT id FROM road_nodes) THEN 'source_missing' WHEN a.target_id NOT IN (SELECT id FROM road_nodes) THEN 'target_missing' WHEN b.cost IS NULL THEN 'no_path' ELSE 'ok' END AS status,
-  CASE WHEN a.target_id IN (SELECT id FROM road_nodes) THEN b.cost END AS cost, CASE WHEN a.target_id IN (SELECT id FROM road_nodes) THEN b.km END AS km, b.path FROM asked a LEFT JOIN best b ON b.src = a.source_id AND b.node = a.target_id)"""
+bf(src, node, cost, pred) USING KEY (src, node) AS (SELECT DISTINCT source_id, source_id, 0e0, CAST(NULL AS bigint) FROM asked WHERE source_id IN (SELECT id FROM road_nodes) AND target_id IN (SELECT id FROM road_nodes)
+  UNION SELECT b.src, e.target_id, min(b.cost + e.w), arg_min(b.node, b.cost + e.w) FROM bf b JOIN ew e ON e.source_id = b.node LEFT JOIN recurring.bf k ON k.src = b.src AND k.node = e.target_id WHERE b.cost + e.w < coalesce(k.cost, 1e300) GROUP BY b.src, e.target_id),
+ends AS (SELECT a.pair_id, a.source_id, a.target_id, CASE WHEN a.source_id NOT IN (SELECT id FROM road_nodes) THEN 'source_missing' WHEN a.target_id NOT IN (SELECT id FROM road_nodes) THEN 'target_missing' WHEN b.cost IS NULL THEN 'no_path' ELSE 'ok' END AS status, b.cost
+  FROM asked a LEFT JOIN bf b ON b.src = a.source_id AND b.node = a.target_id),
+trail AS (SELECT pair_id, source_id, target_id AS node, 0 AS pos FROM ends WHERE status = 'ok' UNION ALL SELECT t.pair_id, t.source_id, b.pred, t.pos - 1 FROM trail t JOIN bf b ON b.src = t.source_id AND b.node = t.node WHERE b.pred IS NOT NULL),
+paths AS (SELECT t.pair_id, list(t.node ORDER BY t.pos) AS path, sum(coalesce(e.km, 0)) AS km FROM trail t LEFT JOIN trail u ON u.pair_id = t.pair_id AND u.pos = t.pos - 1 LEFT JOIN ew e ON e.source_id = u.node AND e.target_id = t.node GROUP BY t.pair_id),
+routes AS (SELECT e.pair_id, e.status, e.cost, p.km, p.path FROM ends e LEFT JOIN paths p ON p.pair_id = e.pair_id)"""
 
 
 @query(f"RECURSIVE {_WEIGHTED}, asked AS (SELECT * FROM route_pairs), {_RELAX}\nSELECT pair_id, status, round(cost, 6) AS cost, round(km, 6) AS km, array_to_string(path, '-') AS path FROM routes", *_MAP, "route_pairs")

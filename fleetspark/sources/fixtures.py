@@ -79,7 +79,7 @@ FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem)
 """,
     "route_pairs": """
 SELECT p_partkey AS pair_id, p_partkey AS source_id, CASE WHEN p_partkey = 13 THEN 149 ELSE (p_partkey * 17 + 5) % 200 END AS target_id
-FROM part WHERE p_partkey < 60 AND p_partkey % 6 = 1
+FROM part WHERE p_partkey < 60 AND p_partkey % 6 = 1 OR p_partkey % 20 = 0
 """,
     "route_risk": """
 SELECT p_partkey AS route_id, (p_partkey * 37 % 100) / 1e2 AS risk FROM part WHERE p_partkey % 5 <> 0
