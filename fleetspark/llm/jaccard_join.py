@@ -32,12 +32,9 @@ from fleetspark.llm.common import chunks, cut, release, tidy
 from fleetspark.llm.graph import components
 from fleetspark.llm.minhash import SLOT_SEED, shingles
 from fleetspark.llm.substring_dedup import _by_bucket, _from_planes, _pack_keys, _packed, _planes, _unpacked
+from fleetspark.llm.tiles import WIDTH, bitmaps, bounded, tiles
 from fleetspark.llm.words import mix, words_of
 
-#: 64-bit words of a bitmap.
-WIDTH = 8
-#: Nodes of a tile; a list with more in a size band is cut in blocks.
-TILE = 1_024
 KEYED = "bucket long, chunk long, keys binary"
 
 
@@ -128,26 +125,17 @@ def _survivors(texts: pa.Table, answers: pa.Table, k: int, bits: int, percent: i
             continue
         rows = np.flatnonzero(many)
         ends = np.searchsorted(doc, np.append(rows, table.num_rows))
-        bitmap = np.zeros((table.num_rows, WIDTH * 64), np.uint8)
-        bitmap[doc, (mix(hashed + np.uint64(7)) & np.uint64(WIDTH * 64 - 1)).astype(np.int64)] = 1
+        packed = bitmaps(doc, hashed, table.num_rows).take(pa.array(rows))
         rare = np.lexsort((hashed, grade, doc))
         size = held[rows] - _least(n, percent)[rows] + 1
         place = np.arange(len(doc)) - np.repeat(ends[:-1], held[rows])
         first = hashed[rare][place < np.repeat(size, held[rows])]
         lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v.view(np.int64))) for o, v in ((np.concatenate(([0], np.cumsum(size))), first), (ends, hashed))]
-        packed = np.packbits(bitmap[rows], axis=1)
-        out.append(pa.table([table.column("node").take(pa.array(rows)), pa.array(n[rows], pa.int32()), pa.array(held[rows], pa.int32()), pa.array([r.tobytes() for r in packed], pa.binary()), *lists], names=["node", "n", "held", "bits", "first", "shingles"]))
+        out.append(pa.table([table.column("node").take(pa.array(rows)), pa.array(n[rows], pa.int32()), pa.array(held[rows], pa.int32()), packed, *lists], names=["node", "n", "held", "bits", "first", "shingles"]))
     kinds = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("held", pa.int32()), ("bits", pa.binary()), ("first", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
     return pa.concat_tables([t.cast(kinds) for t in out]) if out else kinds.empty_table()
 
 
-def _bounded(a: np.ndarray, b: np.ndarray, n: tuple, held: tuple, percent: int) -> np.ndarray:
-    """Whether pairs of bitmaps (rows of words of 64 bits) leave room for enough overlap."""
-    apart = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-    most = np.minimum((held[0] + held[1] - apart) // 2, np.minimum(held[0], held[1]))
-    return 100 * most >= percent * (n[0] + n[1] - most)
-
-
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose sorted arrays have enough in common."""
     for batch in batches:
@@ -177,7 +165,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             if batch.num_rows:
                 bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDTH) for c in ("ba", "bb")]
                 n, held = (tuple(batch.column(c).to_numpy().astype(np.int64) for c in names) for names in (("na", "nb"), ("ha", "hb")))
-                good = pa.array(_bounded(*bits, n, held, percent))
+                good = pa.array(bounded(*bits, n, held, percent))
                 yield pa.record_batch([batch.column(c).filter(good) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
 
     slim = nodes.select("node", "n", "held", "bits")
@@ -188,61 +176,6 @@ def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of each tile (rows sorted by its key): pairs of different components that their bitmaps allow."""
-    key, rows, out = None, [], []
-
-    def compare(tile: tuple, rows: list[tuple]) -> None:
-        node, n, held, component, loose, own, block = (np.array(c) for c in list(zip(*rows, strict=True))[:7])
-        bits = np.frombuffer(b"".join(r[7] for r in rows), np.uint64).reshape(-1, WIDTH)
-        left = np.flatnonzero(loose & (block == tile[2]))
-        right = np.flatnonzero(block == tile[3])
-        for one, two in ((left, right),) if tile[2] == tile[3] else ((left, right), (np.flatnonzero(loose & (block == tile[3])), np.flatnonzero(block == tile[2]))):
-            for a in range(0, len(one), 256):
-                x, y = one[a : a + 256, None], two[None, :]
-                if not x.size or not y.size:
-                    continue
-                ok = (component[x] != component[y]) & (own[x] | own[y]) & ((node[x] < node[y]) | ~loose[y])
-                ok &= _bounded(bits[x], bits[y], (n[x], n[y]), (held[x], held[y]), percent)
-                i, j = np.nonzero(ok)
-                i, j = node[one[a + i]], node[two[j]]
-                out.append((np.minimum(i, j), np.maximum(i, j)))
-
-    def made() -> pa.RecordBatch:
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), ())))
-        out.clear()
-        return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    for batch in batches:
-        tiles = zip(*(batch.column(c).to_pylist() for c in ("token", "band", "i", "j")), strict=True)
-        for tile, *row in zip(tiles, *(batch.column(c).to_pylist() for c in ("node", "n", "held", "component", "loose", "own", "block", "bits")), strict=True):
-            if tile != key:
-                if len(rows) > 1:
-                    compare(key, rows)
-                key, rows = tile, []
-            rows.append(tuple(row))
-        yield made()
-    if len(rows) > 1:
-        compare(key, rows)
-    yield made()
-    tidy()
-
-
-def tiles(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``members`` (token, node, component, main) that are in one list, of different components and
-    allowed by their bitmaps. Members outside their list's main component are loose; the others meet only these."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.01 / percent))).cast("int")
-    held = members.withColumn("loose", F.col("component") != F.col("main")).join(nodes.select("node", "n", "held", "bits"), "node").withColumn("of", band)
-    # a band's tile holds its own nodes and those of the band below
-    placed = held.select("*", F.explode(F.array(F.col("of"), F.col("of") + 1)).alias("band")).withColumn("own", F.col("of") == F.col("band"))
-    size = placed.groupBy("token", "band").agg(F.count("*").alias("size"), F.sum(F.col("loose").cast("int")).alias("open"), F.max("own").alias("some")).filter("size > 1 AND open > 0 AND some")
-    blocks = F.ceil(F.col("size") / TILE).cast("int")
-    cutting = placed.join(size.select("token", "band", blocks.alias("blocks")), ["token", "band"]).withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS int)"))
-    spread = cutting.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select("token", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "n", "held", "component", "loose", "own", "block", "bits")
-    key = ["token", "band", "i", "j"]
-    return spread.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda it: _tile_pairs(it, percent), "a long, b long").distinct()
-
-
 def _undecided(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The components that the links make, and the members (token, node, company, component, main) of lists that hold
     several of them; main is the component with most members there."""

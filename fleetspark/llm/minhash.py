@@ -10,9 +10,9 @@ than the next one to come.
 8 with probability (1 - 0.8^8)^64 < 1e-5; that is the only way a link can be missed. Candidates are
 verified on full shingle sets. Documents with the same set are one node. A bucket is compared with one
 hub first (the member with most company in its buckets) and, when links have made components, a few times with a
-hub of its main component. The members that are still in another component are then joined with all others of such
-buckets on the rarest shingles of their differences from a hub, by an order under which each link shows: what a crowded
-bucket has in common makes no pairs, and no link between components is lost.
+hub of its main component. The members that are still in another component then meet all others of their bucket in
+tiles of bounded size, by bitmaps of 512 bits that bound the overlap from above (see ``tiles``): only pairs that may be links
+leave a tile, and no link between components is lost.
 
 Defined results. Null or empty texts, and those without a word, have an empty set: no links, own component.
 Fewer than k words: the whole sequence is the one shingle. Rows that repeat an id are linked with each other if
@@ -32,12 +32,11 @@ from pyspark.sql import functions as F
 
 from fleetspark.llm.common import chunks, cut, release, tidy
 from fleetspark.llm.graph import components
+from fleetspark.llm.tiles import bitmaps, tiles
 from fleetspark.llm.words import Words, mix, words_of
 
 SLOT_STEP = 0x9E3779B97F4A7C15
 SLOT_SEED = np.uint64(SLOT_STEP)
-#: A class of differences from a hub spans a shingle, or this part of the hub's if that is more.
-FINE = 64
 #: Documents with no more shingles than this keep their permutations as a table, of so many shingles at a time.
 SMALL = 64
 TABLE = 8_192
@@ -135,14 +134,15 @@ def _sets(batches, k: int) -> Iterator[pa.RecordBatch]:
         doc, hashed = shingles(words_of(table.column("text"), lower=True), k)
         ends = np.searchsorted(doc, np.arange(table.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashed.view(np.int64)))
-        yield pa.record_batch({"node": table.column("node").combine_chunks(), "shingles": lists})
+        size = pa.array(np.diff(ends), pa.int32())
+        yield pa.record_batch({"node": table.column("node").combine_chunks(), "n": size, "held": size, "bits": bitmaps(doc, hashed, table.num_rows), "shingles": lists})
     tidy()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    with_a = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("shingles", "sa"), "a")
-    with_b = with_a.join(sets.withColumnRenamed("node", "b").withColumnRenamed("shingles", "sb"), "b")
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     total = F.size("sa") + F.size("sb")
     # a pair whose sizes differ too much can't pass, whatever it shares
     close = with_b.filter(100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb")))
@@ -160,40 +160,6 @@ def _undecided(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFra
     return labels, cut(labelled.join(mains, "bucket").select("bucket", "node", "company", "component", "main"))
 
 
-def _differing_alike(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) in ``near`` (hub, node, component, loose) that share a hub and may be links, one of them loose.
-
-    A loose node is no link of its hub. Let D be the shingles in which a node differs from the hub and n its size: two
-    nodes of one hub are a link only if their D share ceil((v + w) / 2) shingles, where v = |D| - n (100 - percent) /
-    (100 + percent) of the one and w of the other. With one of them loose that is one at least, so in an order that all
-    D follow they share one of the first |D| - ceil((v + w) / 2) + 1 of each. The order is rarest first: neither what a
-    crowd has in common with its hub nor what it lacks as a whole makes pairs. Each of these first shingles is laid out for the
-    classes of w of partners for which it is among the first, and both classes belong to the join key.
-    """
-    whole, part = 100 + percent, 100 - percent
-    hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sh"))
-    both = near.filter("node <> hub").join(sets, "node").join(hubs, "hub")
-    apart = F.concat(F.array_except("shingles", "sh"), F.array_except("sh", "shingles"))
-    held = cut(both.select("hub", "node", "component", "loose", F.size("shingles").alias("n"), F.greatest(F.lit(1), F.floor(F.size("sh") / FINE)).alias("span"), apart.alias("apart")))
-    each = held.select("hub", "node", "loose", F.explode("apart").alias("s"))
-    # a shingle of one D, or of none of a loose node, meets nothing; those come first in the order, their number is enough
-    known = cut(each.groupBy("hub", "s").agg(F.count("*").alias("df"), F.max("loose").alias("any")).filter("df > 1 and any").drop("any"))
-    shared = each.drop("loose").join(known, ["hub", "s"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
-    sized = held.withColumn("d", F.size("apart")).drop("apart").join(shared, ["hub", "node"]).withColumn("v", F.expr(f"{whole}L * d - {part}L * n"))
-    # sizes of links are within percent of each other, and their D differ in a fifth of both at most
-    most = f"CAST(ceil({part} * n / {percent}) AS int)"
-    grade = f"CAST(floor({{}} / ({whole} * span)) AS int)"
-    low, high = f"{whole}L * (d - {most}) - {part}L * (n + {most})", f"{whole}L * (d + {most}) - {part}L * (n - {most})"
-    first = f"d - CAST(ceil((v + {{}}) / {2 * whole}) AS int) + 1"
-    placed = sized.select("hub", "node", "component", "loose", "n", "d", "v", "span", (F.col("d") - F.size("all") + 1).alias("at"), F.expr("posexplode(all)").alias("pos", "r")).filter(F.expr("at + pos <= least(d, " + first.format(low) + ")"))
-    partners = f"filter(sequence({grade.format(f'({low})')}, {grade.format(f'({high})')}), c -> at + pos <= {first.format(f'c * {whole}L * span')})"
-    laid = cut(placed.select("hub", "node", "component", "loose", "r.s", F.expr(grade.format("v")).alias("own"), F.explode(F.expr(partners)).alias("other")))
-    one = laid.filter("loose").select("hub", "s", F.col("node").alias("x"), F.col("component").alias("cx"), "own", "other")
-    two = laid.select("hub", "s", "node", "component", "loose", F.col("own").alias("other"), F.col("other").alias("own"))
-    met = one.join(two, ["hub", "s", "own", "other"]).filter("cx <> component and (not loose or x < node)")
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, star_rounds: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; see the module's text.
 
@@ -218,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(members.join(company, "node").select("bucket", "node", "company", "size"))
     wanted = first.join(company.select("node"), "node", "left_semi").select("node", "doc_id", "text_hash")
     # rows with the same id and hash hold the same text
-    sets = cut(slim.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("node", "text").mapInArrow(lambda it: _sets(it, k), "node long, shingles array<long>"))
+    sets = cut(slim.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("node", "text").mapInArrow(lambda it: _sets(it, k), "node long, n int, held int, bits binary, shingles array<long>"))
     release(spark)
 
     hubs = members.groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
@@ -239,23 +205,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tried, links = cut(tried.union(fresh)), cut(links.union(found))
         labels, undecided = _undecided(larger, links)
         release(spark)
-    # the exact rest: all members meet a hub of their bucket's main component, the same one for all buckets of it
-    heads = undecided.filter("component = main").groupBy("main").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
-    crowds = cut(undecided.select("main", "node", "component").distinct().join(heads, "main").withColumn("apart", F.col("component") != F.col("main")).select("hub", "node", "component", "apart"))
-    pair = (F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    fresh = cut(crowds.filter("apart").select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
-    found = cut(_verified(fresh, sets, percent))
-    tried, links = cut(tried.union(fresh)), cut(links.union(found))
-    near = crowds.select("hub", "node", "component", "apart", *pair).join(found.withColumn("linked", F.lit(True)), ["a", "b"], "left")
-    near = near.select("hub", "node", "component", (F.col("apart") & F.col("linked").isNull()).alias("loose"))
-    left = _differing_alike(near, sets, percent).join(tried, ["a", "b"], "left_anti")
-    more = cut(_verified(left, sets, percent))
+    # the exact rest: what is loose meets all others of its buckets
+    rest = undecided.select(F.col("bucket").alias("token"), "node", "component", "main")
+    more = cut(_verified(tiles(rest, sets, percent).join(tried, ["a", "b"], "left_anti"), sets, percent))
     # the sets of one id belong together
     several = full.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
     repeated = full.join(several, "doc_id").select("doc_id", "set_a", "set_b").distinct().join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"])
     least = repeated.groupBy("doc_id").agg(F.min("node").alias("a"))
     tied = cut(repeated.join(least, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
-    if not (found.isEmpty() and more.isEmpty() and tied.isEmpty()):
+    if not (more.isEmpty() and tied.isEmpty()):
         labels = components(cut(links.union(more).union(tied)))
     grouped = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # a table of its own, so that the join with it can split the rows of a large component

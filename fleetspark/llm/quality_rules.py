@@ -149,8 +149,9 @@ def decision(rules: list[Rule]) -> Column:
 
 def rules_from(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", most_labelled: int = 20_000) -> list[Rule]:
     """The decision list of rows with the STATISTICS; ``labels`` has the id and ``quality`` (0: bad). ``stats`` should be
-    a stored table: its statistics are asked for again and again here, and would be computed each time."""
-    known = labels.filter("quality is not null").select(F.col(id_col).alias("_id"), (F.col("quality") == 0).alias("bad")).dropDuplicates(["_id"])
+    a stored table: its statistics are asked for again and again here, and would be computed each time. An id with
+    several labels is bad if one of them says so; of equally good conditions the one of the first feature is taken."""
+    known = labels.filter("quality is not null").select(F.col(id_col).alias("_id"), (F.col("quality") == 0).alias("bad")).groupBy("_id").agg(F.max("bad").alias("bad"))
     sample = (
         stats.filter(~base_failed())
         .join(known, F.col(id_col) == F.col("_id"))

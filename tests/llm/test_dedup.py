@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fleetspark.llm import minhash, substring_dedup, words
+from fleetspark.llm import minhash, substring_dedup, tiles, words
 from tests.llm import brute
 
 TURNS = "a"
@@ -100,8 +100,18 @@ def test_crowded_buckets_lose_no_link(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == want
 
 
+def nodes_of(spark, sets):
+    rows = []
+    for n, held in sets.items():
+        hashed = np.array(sorted(held), np.int64).view(np.uint64)
+        rows.append((n, len(held), len(held), bytearray(tiles.bitmaps(np.zeros(len(held), np.int64), hashed, 1)[0].as_py())))
+    return spark.createDataFrame(rows, "node long, n int, held int, bits binary")
+
+
 @pytest.mark.parametrize("percent", [80, 60])
-def test_differences_from_a_hub_lose_no_link(spark, percent):
+@pytest.mark.parametrize("tile", [7, 1_024])
+def test_tiles_lose_no_link(spark, percent, tile, monkeypatch):
+    monkeypatch.setattr(tiles, "TILE", tile)
     draw = random.Random(percent)
     hub = set(range(60))
     sets = {0: hub}
@@ -110,17 +120,31 @@ def test_differences_from_a_hub_lose_no_link(spark, percent):
         kept = draw.sample(sorted(mine), len(mine) - draw.randint(0, 7))
         sets[node] = set(kept) | {draw.randint(100, 160) for _ in range(draw.randint(0, 7))}
     linked = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
-    near = [(0, n, n, not linked(s, hub)) for n, s in sets.items()]
-    frame = spark.createDataFrame([(n, sorted(s)) for n, s in sets.items()], "node long, shingles array<long>")
-    got = {tuple(r) for r in minhash._differing_alike(spark.createDataFrame(near, "hub long, node long, component long, loose boolean"), frame, percent).collect()}
-    loose = {n for _, n, _, apart in near if apart}
-    links = {(a, b) for a in range(1, 150) for b in range(a + 1, 150) if (a in loose or b in loose) and linked(sets[a], sets[b])}
-    assert loose and links and links <= got
+    component = {n: 0 if linked(s, hub) else n for n, s in sets.items()}
+    members = spark.createDataFrame([(5, n, component[n], 0) for n in sets], "token long, node long, component long, main long")
+    got = {tuple(r) for r in tiles.tiles(members, nodes_of(spark, sets), percent).collect()}
+    links = {(a, b) for a in sets for b in range(a + 1, 150) if component[a] != component[b] and linked(sets[a], sets[b])}
+    assert links and links <= got
 
 
 def test_a_crowd_around_a_hub_makes_few_pairs(spark):
     hub = list(range(147))
-    rows = [(0, hub)] + [(n, hub[n % 7 + 20 :] + list(range(1000 * n, 1000 * n + 20 + n % 7))) for n in range(1, 400)]
-    frame = spark.createDataFrame(rows, "node long, shingles array<long>")
-    near = spark.createDataFrame([(0, n, n, n > 0) for n, _ in rows], "hub long, node long, component long, loose boolean")
-    assert minhash._differing_alike(near, frame, 80).count() == 0
+    sets = {0: hub} | {n: hub[n % 7 + 20 :] + list(range(1000 * n, 1000 * n + 20 + n % 7)) for n in range(1, 400)}
+    members = spark.createDataFrame([(1, n, n, 0) for n in sets], "token long, node long, component long, main long")
+    found = tiles.tiles(members, nodes_of(spark, sets), 80).count()
+    assert found < 400  # of 79,800
+
+
+def test_templates_make_few_pairs(spark, monkeypatch):
+    r = random.Random(1)
+    rows = []
+    for i in range(600):
+        w = [f"f{j}" for j in range(100)]
+        for slot in range(5):
+            w[10 + 18 * slot] = f"v{slot}x{r.randrange(60)}"
+        rows.append((i, " ".join(w)))
+    met, verified = [], minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *a: (met.append(pairs.count()), verified(pairs, *a))[1])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute.components(rows, 5)
+    assert met[-1] < 300  # of 179,700

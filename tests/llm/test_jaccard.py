@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from fleetspark.llm import jaccard_join as jj
+from fleetspark.llm import tiles
 from tests.compare import connection, same
 from tests.llm import brute
 
@@ -56,7 +57,7 @@ def templates(n, seed=1):
 
 
 def test_templates_in_small_tiles(spark, monkeypatch):
-    monkeypatch.setattr(jj, "TILE", 7)
+    monkeypatch.setattr(tiles, "TILE", 7)
     rows = templates(300)
     assert components(jj.jaccard_join(spark.createDataFrame(rows, SCHEMA), hub_rounds=1)) == brute.components(rows, 5)
 
@@ -91,16 +92,14 @@ def test_edges(spark):
 
 def test_bitmaps_bound_from_above():
     r = np.random.default_rng(1)
-    for _ in range(200):
-        a, b = (set(r.integers(0, 60, r.integers(1, 60)).tolist()) for _ in range(2))
-        bits = []
-        for s in (a, b):
-            m = np.zeros(64 * jj.WIDTH, np.uint8)
-            m[[x * 7 % 40 for x in s]] = 1
-            bits.append(np.packbits(m).view(np.uint64))
-        shared = len(a & b)
-        if 100 * shared >= 80 * (len(a) + len(b) - shared):
-            assert jj._bounded(*bits, (len(a), len(b)), (len(a), len(b)), 80)
+    for most in (60, 3_000):
+        for _ in range(200):
+            a = set(r.integers(0, most, r.integers(1, most)).tolist())
+            b = set(list(a)[: r.integers(0, len(a) + 1)]) | set(r.integers(0, most, r.integers(1, 20)).tolist())
+            bits = [np.frombuffer(tiles.bitmaps(np.zeros(len(s), np.int64), np.array(sorted(s), np.uint64), 1)[0].as_py(), np.uint64) for s in (a, b)]
+            shared = len(a & b)
+            if 100 * shared >= 80 * (len(a) + len(b) - shared):
+                assert tiles.bounded(*bits, (len(a), len(b)), (len(a), len(b)), 80)
 
 
 def test_query_equals_sql(spark):
