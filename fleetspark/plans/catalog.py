@@ -87,22 +87,26 @@ def stamp_ingest(raw):
 _HISTORY = "SELECT seq, tenant_id, node_id, node_type AS asset_type, status, lat, lon, velocity_mps, heading_deg, battery, recorded_at, CAST(recorded_at AS date) AS date FROM telemetry"
 
 
+def _archived(telemetry):
+    """The history table that the pings are written to, read again."""
+    path = f"{storage.shared_folder(telemetry.sparkSession)}/history-{uuid.uuid4().hex}"
+    ingest.archive(telemetry, path)
+    return telemetry.sparkSession.read.parquet(path)
+
+
 @query(_HISTORY, "telemetry")
 def archive_history(telemetry):
-    spark = telemetry.sparkSession
-    path = f"{storage.shared_folder(spark)}/history-{uuid.uuid4().hex}"
-    ingest.archive(telemetry, path)
-    return spark.read.parquet(path).select("seq", "tenant_id", "node_id", "asset_type", "status", "lat", "lon", "velocity_mps", "heading_deg", "battery", "recorded_at", "date")
+    return _archived(telemetry).select("seq", "tenant_id", "node_id", "asset_type", "status", "lat", "lon", "velocity_mps", "heading_deg", "battery", "recorded_at", "date")
 
 
 @query("SELECT seq, node_id, lat, lon, recorded_at FROM telemetry WHERE node_id = 'NODE-3' AND recorded_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'", "telemetry")
 def node_history(telemetry):
-    return history.track(ingest.archive_rows(telemetry), "NODE-3", "2024-01-05 00:00:00", "2024-01-20 00:00:00").select("seq", "node_id", "lat", "lon", "recorded_at")
+    return history.track(_archived(telemetry), "NODE-3", "2024-01-05 00:00:00", "2024-01-20 00:00:00").select("seq", "node_id", "lat", "lon", "recorded_at")
 
 
 @query("SELECT seq, node_id, lat, lon, recorded_at FROM telemetry WHERE lat BETWEEN 1.29e1 AND 1.29e1 + 1e-1 AND lon BETWEEN 8.01e1 AND 8.01e1 + 1e-1 AND recorded_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'", "telemetry")
 def bbox_history(telemetry):
-    return history.in_bbox(ingest.archive_rows(telemetry), (12.9, 80.1, 0.1, 0.1), "2024-01-05 00:00:00", "2024-01-20 00:00:00").select("seq", "node_id", "lat", "lon", "recorded_at")
+    return history.in_bbox(_archived(telemetry), (12.9, 80.1, 0.1, 0.1), "2024-01-05 00:00:00", "2024-01-20 00:00:00").select("seq", "node_id", "lat", "lon", "recorded_at")
 
 
 # --- geometry, predicates, projections

@@ -24,7 +24,7 @@ def _stream(spark: SparkSession, sf_dir: str, view: str, time: str | None = None
         cuts = rows.select(F.percentile_approx(F.unix_micros(F.col(time).cast("timestamp")), [0.25, 0.5, 0.75]).alias("c")).first()["c"] or [0, 0, 0]
         at = F.unix_micros(F.col(time).cast("timestamp"))
         for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
-            part = rows if low is None else rows.filter(at > low)
+            part = rows if low is None else rows.filter((at > low) | at.isNull() if high is None else at > low)  # null times come last
             (part if high is None else part.filter(at <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
 
@@ -40,8 +40,8 @@ def stream_latest_position(spark, sf_dir):
 
 
 def stream_live_positions(spark, sf_dir):
-    pings, folder = _stream(spark, sf_dir, "telemetry")
-    return jobs.expire_loop(jobs.latest_position(pings, folder)).select("seq", "node_id", "lat", "lon", "recorded_at")
+    pings, folder = _stream(spark, sf_dir, "telemetry", "recorded_at")
+    return jobs.live_positions(pings, folder)
 
 
 def stream_rebalance(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark import schemas
+from fleetspark.functions import geo
 
 
 def decode(raw: DataFrame, value: str = "value") -> DataFrame:
@@ -49,7 +50,11 @@ def archive_rows(pings: DataFrame) -> DataFrame:
     )
 
 
-def archive(pings: DataFrame, path: str, mode: str = "append") -> None:
+def archive(pings: DataFrame, path: str, mode: str = "append", rows_per_file: int = 1_000_000) -> None:
     """Append to the history table, in folders by tenant and date; a task writes few of them, and the days of a large
-    tenant are split over several tasks."""
-    archive_rows(pings).hint("rebalance", "tenant_id", "date").write.mode(mode).partitionBy("tenant_id", "date").parquet(path)
+    tenant are split over several tasks. Rows of a folder follow a space-filling curve, so each file and page covers a
+    small area, and node_id has bloom filters: questions for a box or an asset pass most of a day by."""
+    rows = geo.with_curve(archive_rows(pings), "lat", "lon", "_z").hint("rebalance", "tenant_id", "date")
+    ordered = rows.sortWithinPartitions("tenant_id", "date", "_z").drop("_z")
+    out = ordered.write.mode(mode).partitionBy("tenant_id", "date").option("maxRecordsPerFile", rows_per_file)
+    out.option("parquet.bloom.filter.enabled#node_id", "true").option("parquet.bloom.filter.expected.ndv#node_id", "100000").parquet(path)

@@ -7,6 +7,7 @@ folder, so sinks hold it once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -14,14 +15,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetspark.functions import geo
 from fleetspark.operators import roads, stabilize, state, zones
 from fleetspark.sources import ingest
 
 
-def drive(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str, mode: str = "append", trigger: dict | None = None) -> None:
-    """Run ``stream`` to the end of what there is (or by another trigger), handing each micro-batch on."""
+def drive(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str, mode: str = "append", trigger: dict | None = None) -> list[dict]:
+    """Run ``stream`` to the end of what there is (or by another trigger), handing each micro-batch on; returns the
+    progress of the last micro-batches."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(each).trigger(**(trigger or {"availableNow": True})).start()
     query.awaitTermination()
+    return [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
 
 
 def sink(folder: str) -> Callable[[DataFrame, int], None]:
@@ -116,9 +120,49 @@ def uplinks(pings: DataFrame, folder: str, late: str = "10 minutes") -> DataFram
     return last.groupBy("second").agg(F.count("*").alias("uplinks"), F.sum("n").alias("messages"))
 
 
-def expire_loop(positions: DataFrame, ttl_seconds: int = 120) -> DataFrame:
-    """Of latest positions, those whose asset was heard within the time to live of the newest ping of all."""
-    newest = positions.agg(F.max("recorded_at").alias("_now"))
-    return positions.join(F.broadcast(newest), F.col("recorded_at") >= F.col("_now") - F.make_dt_interval(secs=F.lit(ttl_seconds))).drop("_now")
-
-
+HEARD = "node_id string, seq long, lat double, lon double, recorded_at timestamp, gone boolean"
+
+
+def _heard(key: tuple, frames: Iterator[pd.DataFrame], held, ttl: int) -> Iterator[pd.DataFrame]:
+    """The newest ping of one asset as state, in one row; a timer of event time takes it away ``ttl`` milliseconds later."""
+    if held.hasTimedOut:
+        seq, lat, lon, micros = held.get
+        held.remove()
+        yield pd.DataFrame([(key[0], seq, lat, lon, pd.Timestamp(micros, unit="us"), True)], columns=["node_id", "seq", "lat", "lon", "recorded_at", "gone"])
+        return
+    best = held.get if held.exists else None
+    for rows in frames:
+        last = rows.sort_values(["recorded_at", "seq"]).iloc[-1]
+        mine = (int(last["seq"]), float(last["lat"]), float(last["lon"]), int(last["recorded_at"].value // 1000))
+        if best is None or (mine[3], mine[0]) > (best[3], best[0]):
+            best = mine
+    ends = best[3] // 1000 + ttl
+    gone = ends <= held.getCurrentWatermarkMs()
+    if gone:
+        if held.exists:
+            held.remove()
+    else:
+        held.update(best)
+        held.setTimeoutTimestamp(ends)
+    yield pd.DataFrame([(key[0], best[0], best[1], best[2], pd.Timestamp(best[3], unit="us"), gone)], columns=["node_id", "seq", "lat", "lon", "recorded_at", "gone"])
+
+
+def live_positions(pings: DataFrame, folder: str, ttl_seconds: int = 120, late: str = "10 minutes", area=(12.0, 79.5, 2.0, 1.5), progress: list | None = None) -> DataFrame:
+    """(seq, node_id, lat, lon, recorded_at) of the assets heard within the time to live of the newest ping of all.
+
+    An asset is one row of state, with a timer: once the watermark (``late`` behind the newest ping) passes the time to
+    live, the asset's leaving is emitted and its state is dropped, so the state holds the assets in use and not all that
+    ever were. Rows without a time are left out. ``progress`` gets the progress of the micro-batches."""
+    timed = pings.select("node_id", "seq", "lat", "lon", F.col("recorded_at").cast("timestamp").alias("recorded_at")).filter("recorded_at is not null").withWatermark("recorded_at", late)
+    fold = partial(_heard, ttl=ttl_seconds * 1000)
+    changes = timed.groupBy("node_id").applyInPandasWithState(lambda k, f, s: fold(k, f, s), HEARD, "seq long, lat double, lon double, micros long", "update", "EventTimeTimeout")
+    steps = drive(changes, sink(f"{folder}/live"), folder, "update")
+    if progress is not None:
+        progress += steps
+    rows = pings.sparkSession.read.parquet(f"{folder}/live").drop("batch")
+    # an asset that left and came back is live again: its newest row decides, and of equal ones its leaving
+    last = rows.groupBy("node_id").agg(F.max(F.struct("recorded_at", "seq", "gone", "lat", "lon")).alias("r")).select("node_id", "r.*")
+    inside = last.filter(geo.in_service_area(box=area))
+    newest = inside.agg(F.max("recorded_at").alias("_now"))
+    alive = inside.filter("not gone").join(F.broadcast(newest), F.col("recorded_at") >= F.col("_now") - F.make_dt_interval(secs=F.lit(ttl_seconds)))
+    return alive.select("seq", "node_id", "lat", "lon", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"))
