@@ -146,16 +146,37 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def nearest_drivers(requests: DataFrame, drivers: DataFrame, surge: DataFrame, k: int = 5, pre: int = 50) -> DataFrame:
-    """For each ride request (request_id, lat, lon, asset_req) the k available drivers with the shortest ride among the
-    ``pre`` nearest by degrees, with fare; ``surge`` has (request_id, surge)."""
+def candidates(requests: DataFrame, drivers: DataFrame, pre: int = 50) -> DataFrame:
+    """For each ride request (request_id, lat, lon, asset_req) the ``pre`` available drivers nearest by degrees: (point_id,
+    p_lat, p_lon, driver_id, t_lat, t_lon, asset, rank, distance)."""
     points = requests.select(F.col("request_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "asset_req")
     free = one_each(drivers).filter("status = 'available'").select(F.col("id").alias("driver_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), "asset")
     in_box = "abs(t_lat - p_lat) <= 5e1 AND abs(t_lon - p_lon) <= 5e1"
-    pairs = nearest(points, free, geo.planar("p_lat", "p_lon", "t_lat", "t_lon"), "{step}", pre, "driver_id", in_box, ("asset", "asset_req"))
+    return nearest(points, free, geo.planar("p_lat", "p_lon", "t_lat", "t_lon"), "{step}", pre, "driver_id", in_box, ("asset", "asset_req"))
+
+
+def nearest_drivers(requests: DataFrame, drivers: DataFrame, surge: DataFrame, k: int = 5, pre: int = 50) -> DataFrame:
+    """For each ride request the k of its candidates with the shortest ride, with fare; ``surge`` has (request_id, surge)."""
+    pairs = candidates(requests, drivers, pre)
     km = geo.haversine_km("p_lat", "p_lon", "t_lat", "t_lon")
     timed = pairs.withColumn("metres", F.expr(f"{km} * 1.4e0 * 1e3")).withColumn("eta_seconds", F.expr(pricing.road_seconds(km)))
     order = Window.partitionBy("point_id").orderBy("eta_seconds", F.round("metres", 6), "driver_id")
     top = timed.drop("rank").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     priced = top.join(surge.select(F.col("request_id").alias("point_id"), "surge"), "point_id").withColumn("fare", F.expr(pricing.fare("asset", "metres", "eta_seconds", "surge")))
     return priced.select(F.col("point_id").alias("request_id"), "rank", "driver_id", "asset", "metres", "eta_seconds", "surge", "fare")
+
+
+def by_road(pairs: DataFrame, times: DataFrame, surge: DataFrame, k: int = 5) -> DataFrame:
+    """``nearest_drivers`` with supplied road times: of each request's candidate ``pairs`` (see ``candidates``) the k with
+    the shortest ride by ``times`` (request_id, driver_id, metres, eta_seconds). Drivers that have none come after those that do.
+    A request with no time at all keeps its drivers in straight-line order. Where a time is missing, so are distance, surge and fare. Of
+    several times of a pair the shortest counts."""
+    best = times.filter("eta_seconds is not null").groupBy(F.col("request_id").alias("point_id"), "driver_id").agg(F.min(F.struct("eta_seconds", "metres")).alias("_t"))
+    known = pairs.select("point_id", "driver_id", "asset", F.col("rank").alias("pre")).join(best, ["point_id", "driver_id"], "left")
+    known = known.select("point_id", "driver_id", "asset", "pre", "_t.metres", "_t.eta_seconds").withColumn("_timed", F.max(F.col("eta_seconds").isNotNull()).over(Window.partitionBy("point_id")))
+    line = F.when(~F.col("_timed"), F.col("pre"))
+    order = Window.partitionBy("point_id").orderBy(F.asc_nulls_last("eta_seconds"), F.asc_nulls_last(F.round("metres", 6)), line, "driver_id")
+    top = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    told = top.join(surge.select(F.col("request_id").alias("point_id"), "surge"), "point_id").withColumn("surge", F.when(F.col("eta_seconds").isNotNull(), F.col("surge")))
+    priced = told.withColumn("fare", F.expr(pricing.fare("asset", "metres", "eta_seconds", "surge")))
+    return priced.select(F.col("point_id").alias("request_id"), "rank", "driver_id", "asset", "metres", "eta_seconds", "surge", "fare")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,15 @@ def rate(pings: DataFrame) -> DataFrame:
     before = days.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_day", "_before")
     within = F.sum("messages").over(Window.partitionBy("_day").orderBy("second").rowsBetween(Window.unboundedPreceding, 0))
     return counts.withColumn("_within", within).join(before, "_day").select("second", "messages", (F.col("_within") + F.col("_before")).alias("total"))
+
+
+def sketches(pings: DataFrame, by: Column, lg_k: int = 12) -> DataFrame:
+    """(second, sketch, messages): of each ``by``, a sketch of the assets heard. A sketch has at most about 2^lg_k bytes,
+    however many assets; its relative error is about 0.83 / sqrt(2^lg_k), and it is all but exact up to 2^lg_k / 8 assets."""
+    return pings.groupBy(by.alias("second")).agg(F.hll_sketch_agg("node_id", lg_k).alias("sketch"), F.count("*").alias("messages"))
+
+
+def sketched_uplinks(sketched: DataFrame, unit: str = "second") -> DataFrame:
+    """(second, uplinks, messages, level) of sketches, those of a longer unit by union: an asset heard in many seconds counts once."""
+    out = sketched.groupBy(F.date_trunc(unit, "second").alias("second")).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("uplinks"), F.sum("messages").alias("messages"))
+    return out.withColumn("level", level())

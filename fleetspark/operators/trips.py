@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspark.operators.folds import ordered_fold
 from fleetspark.schemas import TRANSITIONS
 
 
@@ -19,33 +21,65 @@ def valid(requests: DataFrame) -> DataFrame:
     return requests.join(known, ["current_status", "new_status"], "left").withColumn("valid", F.col("_ok").isNotNull()).drop("_ok")
 
 
-def first_state(_row: dict) -> dict:
-    return {"status": "requested", "started_at": None, "completed_at": None}
+def _allowed() -> Column:
+    pairs = [(F.col("current_status") == a) & (F.col("new_status") == b) for a, b in TRANSITIONS]
+    return F.coalesce(reduce(or_, pairs), F.lit(False))
+
+
+def _longest() -> int:
+    """The most transitions that one trip can make; the rules lead nowhere back."""
+    levels, at = 0, {FIRST}
+    while at := {b for a, b in TRANSITIONS if a in at}:
+        levels += 1
+        if levels > len(TRANSITIONS):
+            raise ValueError("the transition rules go round in a circle")
+    return levels
+
+
+FIRST = "requested"
+
+
+def replay(requests: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Every request in its trip's order: accepted or refused with a reason, and the trip's state after it.
+
+    A trip makes a few transitions, however many requests name it. The next one is the first request in order that the
+    rules allow from the state reached, a minimum that tasks take in parts; so each level is a join and an aggregation,
+    and the trip's steps decide all its requests. Trips of over ``most`` requests are dealt to parts of that size. A
+    request is its (ts, seq), a null time first; rows equal in trip, time, seq and states share one result. A null trip
+    is a trip, and null states are refused."""
+    rows = requests.select("seq", "trip_id", "current_status", "new_status", "ts").withColumn("at", F.struct("ts", "seq", "current_status", "new_status"))
+    sizes = rows.groupBy("trip_id").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
+    long = sizes.filter("parts > 1").select(F.col("trip_id").alias("_trip"), F.col("parts").alias("_parts"))
+    part = F.pmod(F.xxhash64("seq", "ts"), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = rows.join(long, F.col("trip_id").eqNullSafe(F.col("_trip")), "left").withColumn("part", part).drop("_trip", "_parts")
 
+    step = "array<struct<at:struct<ts:timestamp_ntz,seq:bigint,current_status:string,new_status:string>,status:string>>"
+    trips = sizes.select(F.col("trip_id").alias("trip"), "parts", F.lit(FIRST).alias("status"), F.lit(None).cast(step).alias("steps"))
+    trips = trips.withColumn("steps", F.coalesce("steps", F.array().cast(step)))
 
-def transition(state: dict, row: dict) -> tuple[dict, dict]:
-    """One request against the stored trip; a refused one changes nothing."""
-    reason = None
-    if (row["current_status"], row["new_status"]) not in _ALLOWED:
-        reason = "invalid_transition"
-    elif row["current_status"] != state["status"]:
-        reason = "status_mismatch"
-    if reason is None:
-        state = state | {"status": row["new_status"]}
-        if row["new_status"] == "trip_started":
-            state["started_at"] = row["ts"]
-        if row["new_status"] in ("completed", "canceled"):
-            state["completed_at"] = row["ts"]
-    return state, {"seq": row["seq"], "trip_id": row["trip_id"], "accepted": reason is None, "reason": reason, **state}
+    def asked(trips: DataFrame) -> DataFrame:
+        return trips.withColumn("in_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
+    same = F.col("trip_id").eqNullSafe(F.col("trip")) & (F.col("part") == F.col("in_part"))
+    offers = dealt.filter(_allowed()).select("trip_id", "part", "at")
+    for _ in range(_longest()):
+        last = F.try_element_at("steps", F.lit(-1))["at"]
+        later = (F.col("at.current_status") == F.col("status")) & (F.size("steps").eqNullSafe(0) | (F.col("at") > last))
+        met = asked(trips).join(offers, same, "left").withColumn("_offer", F.when(later, F.col("at")))
+        best = met.groupBy("trip").agg(F.min("_offer").alias("next"), *(F.any_value(c).alias(c) for c in ("parts", "status", "steps")))
+        made = F.array_append("steps", F.struct(F.col("next").alias("at"), F.col("next.new_status").alias("status")))
+        found = F.col("next").isNotNull()
+        trips = best.select("trip", "parts", F.when(found, F.col("next.new_status")).otherwise(F.col("status")).alias("status"), F.when(found, made).otherwise(F.col("steps")).alias("steps"))
 
-_ALLOWED = set(TRANSITIONS)
+    passed = dealt.join(asked(trips.drop("status")), same).withColumn("steps", F.expr("filter(steps, s -> s.at <= at)"))
+    accepted = F.expr("exists(steps, s -> s.at = at)")
+    reason = F.when(~_allowed(), "invalid_transition").when(~accepted, "status_mismatch")
 
+    def when(*states: str) -> Column:
+        return F.try_element_at(F.filter("steps", lambda s: s["status"].isin(*states)), F.lit(-1))["at"]["ts"]
 
-def replay(requests: DataFrame) -> DataFrame:
-    """Every request in its trip's order: accepted or refused with a reason, and the trip's state after it."""
-    schema = "seq long, trip_id long, accepted boolean, reason string, status string, started_at timestamp_ntz, completed_at timestamp_ntz"
-    return ordered_fold(requests.select("seq", "trip_id", "current_status", "new_status", "ts"), "trip_id", ["ts", "seq"], first_state, transition, schema)
+    status = F.coalesce(F.try_element_at("steps", F.lit(-1))["status"], F.lit(FIRST))
+    return passed.select("seq", "trip_id", accepted.alias("accepted"), reason.alias("reason"), status.alias("status"), when("trip_started").alias("started_at"), when("completed", "canceled").alias("completed_at"))
 
 
 def book(events: DataFrame) -> DataFrame:

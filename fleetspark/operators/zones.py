@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.operators.match import place, ranked, within
@@ -37,6 +37,26 @@ def envelope(plan: DataFrame) -> DataFrame:
     return plan.select("zone_id", "node_id", F.to_json(F.struct("node_id", F.struct("directive", "target_lat", "target_lon").alias("command"))).alias("message"))
 
 
+def read_commands(messages: DataFrame, value: str = "value") -> DataFrame:
+    """``messages`` with node_id, directive, target_lat, target_lon and ``shape``: 'nested' as ``envelope`` writes them,
+    'flat' with the directive beside the node, or null where the message is no object with a text node_id and directive; the other
+    columns are null then. A nested directive goes before a flat one; a missing or unfitting target is null."""
+    message = F.try_parse_json(value)
+
+    def text(path: str) -> Column:  # a number is no name
+        return F.when(F.schema_of_variant(F.try_variant_get(message, path, "variant")) == "STRING", F.try_variant_get(message, path, "string"))
+
+    nested = text("$.command.directive")
+    directive = F.coalesce(nested, text("$.directive"))
+    node = text("$.node_id")
+    shape = F.when(node.isNotNull() & directive.isNotNull(), F.when(nested.isNotNull(), "nested").otherwise("flat"))
+    out = messages.withColumn("shape", shape).withColumns({"node_id": F.when(F.col("shape").isNotNull(), node), "directive": F.when(F.col("shape").isNotNull(), directive)})
+    for name in ("target_lat", "target_lon"):
+        inner, outer = (F.try_variant_get(message, f"$.{at}{name}", "double") for at in ("command.", ""))
+        out = out.withColumn(name, F.when(F.col("shape") == "nested", inner).when(F.col("shape") == "flat", outer))
+    return out
+
+
 def in_use(predicted: DataFrame, fixed: DataFrame) -> DataFrame:
     """The predicted zones, or the fixed ones where none is predicted."""
     some = predicted.limit(1).select(F.lit(1).alias("_some"))

@@ -353,6 +353,32 @@ def nearest_drivers(requests, drivers, rides):
     return out.select("request_id", F.col("rank").cast("long").alias("rank"), "driver_id", "asset", F.round("metres", 3).alias("metres"), "eta_seconds", r6("surge"), F.round("fare", 4).alias("fare"))
 
 
+_ROAD_TIMES = f"""road_times AS (SELECT request_id, driver_id, km * 1.4e0 * 1e3 AS metres, CAST({pricing.road_seconds("km")} * (1 + length(driver_id) % 3) AS int) AS eta_seconds FROM c WHERE request_id % 100 <> 0)"""
+
+
+@query(
+    f"""STEP {_SURGE}, c AS (SELECT r.request_id, d.id AS driver_id, d.asset, {geo.haversine_km("r.lat", "r.lon", "d.lat", "d.lon")} AS km,
+  row_number() OVER (PARTITION BY r.request_id ORDER BY round(sqrt(power(r.lat - d.lat, 2) + power(r.lon - d.lon, 2)), 9), d.id) AS pre
+  FROM ride_requests r JOIN drivers d ON d.status = 'available' AND (d.asset & r.asset_req) > 0 QUALIFY pre <= 50),
+{_ROAD_TIMES},
+t AS (SELECT c.request_id, c.driver_id, c.asset, c.pre, x.metres, x.eta_seconds, count(x.eta_seconds) OVER (PARTITION BY c.request_id) > 0 AS timed
+  FROM c LEFT JOIN road_times x ON x.request_id = c.request_id AND x.driver_id = c.driver_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN timed THEN eta_seconds END NULLS LAST, CASE WHEN timed THEN round(metres, 6) END NULLS LAST, CASE WHEN timed THEN 0 ELSE pre END, driver_id) AS rank FROM t QUALIFY rank <= 5)
+SELECT k.request_id, k.rank, k.driver_id, k.asset, round(k.metres, 3) AS metres, k.eta_seconds, CASE WHEN eta_seconds IS NOT NULL THEN round(s.surge, 6) END AS surge,
+  round({pricing.fare("k.asset", "k.metres", "k.eta_seconds", "s.surge")}, 4) AS fare FROM k JOIN surge s ON s.request_id = k.request_id""",
+    "ride_requests",
+    "drivers",
+    "rides",
+)
+def nearest_drivers_by_road(requests, drivers, rides):
+    pairs = storage.cut(match.candidates(requests, drivers))
+    km = geo.haversine_km("p_lat", "p_lon", "t_lat", "t_lon")
+    # times as a road service would answer: slower to drivers with longer ids, and none at all for every hundredth request
+    times = pairs.filter("point_id % 100 <> 0").select(F.col("point_id").alias("request_id"), "driver_id", F.expr(f"{km} * 1.4e0 * 1e3").alias("metres"), F.expr(f"CAST({pricing.road_seconds(km)} * (1 + length(driver_id) % 3) AS int)").alias("eta_seconds"))
+    out = match.by_road(pairs, times, demand.surge(requests, drivers, rides))
+    return out.select("request_id", F.col("rank").cast("long").alias("rank"), "driver_id", "asset", F.round("metres", 3).alias("metres"), "eta_seconds", r6("surge"), F.round("fare", 4).alias("fare"))
+
+
 _ZQ = "(SELECT zone_id AS qid, *, target_class AS class_mask FROM zones)"
 _SUPPLY = f"""{_POS}, ins AS ({_near(_ZQ, "q.radius_km", "q.class_mask", 500, "flat")}),
 sup AS (SELECT z.*, coalesce(i.c, 0) AS supply, greatest(z.required_assets - coalesce(i.c, 0), 0) AS deficit FROM zones z LEFT JOIN (SELECT qid, count(*) AS c FROM ins GROUP BY qid) i ON i.qid = z.zone_id)"""
@@ -381,6 +407,20 @@ def command_envelope(telemetry, fixed):
     return zones.envelope(zones.relocate(fixed, state.latest(telemetry)))
 
 
+@query(
+    """STEP j AS (SELECT seq, CASE WHEN json_valid(value) THEN value ELSE '{}' END AS b FROM command_messages),
+k AS (SELECT seq, b, CASE WHEN json_type(b, '$.node_id') = 'VARCHAR' THEN json_extract_string(b, '$.node_id') END AS node, CASE WHEN json_type(b, '$.command.directive') = 'VARCHAR' THEN json_extract_string(b, '$.command.directive') END AS inside,
+  CASE WHEN json_type(b, '$.directive') = 'VARCHAR' THEN json_extract_string(b, '$.directive') END AS beside FROM j),
+s AS (SELECT *, CASE WHEN node IS NULL OR coalesce(inside, beside) IS NULL THEN NULL WHEN inside IS NOT NULL THEN 'nested' ELSE 'flat' END AS shape FROM k)
+SELECT seq, shape, CASE WHEN shape IS NOT NULL THEN node END AS node_id, CASE WHEN shape IS NOT NULL THEN coalesce(inside, beside) END AS directive,
+  CAST(CASE shape WHEN 'nested' THEN json_extract_string(b, '$.command.target_lat') WHEN 'flat' THEN json_extract_string(b, '$.target_lat') END AS double) AS target_lat,
+  CAST(CASE shape WHEN 'nested' THEN json_extract_string(b, '$.command.target_lon') WHEN 'flat' THEN json_extract_string(b, '$.target_lon') END AS double) AS target_lon FROM s""",
+    "command_messages",
+)
+def read_commands(messages):
+    return zones.read_commands(messages).select("seq", "shape", "node_id", "directive", "target_lat", "target_lon")
+
+
 @query(
     f"""STEP s AS (SELECT p.seq, n.id, {geo.haversine_km("p.lat", "p.lon", "n.lat", "n.lon")} AS km FROM telemetry p JOIN road_nodes n ON abs(p.lat - n.lat) < 0.1e0 AND abs(p.lon - n.lon) < 0.1e0),
 b AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY round(km, 9), id) AS k FROM s QUALIFY k = 1)

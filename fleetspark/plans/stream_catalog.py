@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetspark.operators import metrics
 from fleetspark.plans import catalog
 from fleetspark.plans.catalog import now, r6
 from fleetspark.sources.fixtures import ctes, load
@@ -69,7 +70,13 @@ def stream_uplinks(spark, sf_dir):
     return jobs.uplinks(pings, folder).withColumn("second", F.col("second").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (stream_archive, stream_latest_position, stream_live_positions, stream_rebalance, stream_congestion, stream_stabilize, stream_demand, stream_uplinks)}
+def stream_uplink_sketches(spark, sf_dir):
+    pings, folder = _stream(spark, sf_dir, "telemetry", "recorded_at")
+    seconds = metrics.sketched_uplinks(jobs.uplink_sketches(pings, folder))
+    return seconds.withColumn("second", F.col("second").cast("timestamp_ntz"))
+
+
+QUERIES = {f.__name__: f for f in (stream_archive, stream_latest_position, stream_live_positions, stream_rebalance, stream_congestion, stream_stabilize, stream_demand, stream_uplinks, stream_uplink_sketches)}
 ORACLES = {
     "stream_archive": f"SELECT r.seq, d.error_reason FROM ({catalog.ORACLES['decode_telemetry']}) r LEFT JOIN ({catalog.ORACLES['dead_letters']}) d ON d.seq = r.seq",
     "stream_latest_position": catalog.ORACLES["latest_position"],
@@ -79,4 +86,6 @@ ORACLES = {
     "stream_stabilize": catalog.ORACLES["stabilize_weights"],
     "stream_demand": f"WITH {ctes('rides')}\nSELECT date_trunc('minute', ts) - k * INTERVAL '1' MINUTE AS start, CAST(floor(lat / 0.2e0) AS bigint) AS x, CAST(floor(lon / 0.2e0) AS bigint) AS y, count(*) AS requests FROM rides, (VALUES (0), (1), (2), (3), (4)) AS v(k) GROUP BY 1, 2, 3",
     "stream_uplinks": f"WITH {ctes('telemetry')}\nSELECT date_trunc('second', recorded_at) AS second, count(DISTINCT node_id) AS uplinks, count(*) AS messages FROM telemetry GROUP BY 1",
+    # a second hears few assets, of which a sketch is exact
+    "stream_uplink_sketches": f"WITH {ctes('telemetry')}\nSELECT date_trunc('second', recorded_at) AS second, count(DISTINCT node_id) AS uplinks, count(*) AS messages, CASE WHEN count(DISTINCT node_id) > 40000 THEN 'danger' WHEN count(DISTINCT node_id) > 20000 THEN 'warning' ELSE 'normal' END AS level FROM telemetry GROUP BY 1",
 }

@@ -41,6 +41,16 @@ SELECT event_id AS seq, 'NODE-' || CAST(user_id AS varchar(20)) AS node_id,
   CASE WHEN event_id % 4 = 0 THEN 'HOLD' ELSE 'RELOCATE' END AS directive,
   1.3e1 + (event_id % 100) / 1e4 AS target_lat, 8.02e1 + (event_id % 90) / 1e4 AS target_lon, ts AS issued_at
 FROM events WHERE event_type = 'click'
+""",
+    "command_messages": """
+SELECT event_id AS seq, ts AS issued_at,
+  CASE WHEN event_id % 50 = 7 THEN '{"node_id": broken'
+       WHEN event_id % 50 = 11 THEN '{"node_id":"NODE-1","command":{"target_lat":13.5}}'
+       WHEN event_id % 50 = 13 THEN '{"node_id":7,"directive":"HOLD"}'
+       WHEN event_id % 3 = 0 THEN '{"node_id":"NODE-' || CAST(user_id AS varchar(20)) || '","directive":"HOLD"}'
+       WHEN event_id % 3 = 1 THEN '{"node_id":"NODE-' || CAST(user_id AS varchar(20)) || '","directive":"RELOCATE","target_lat":13.' || CAST(event_id % 100 AS varchar(20)) || ',"target_lon":80.25}'
+       ELSE '{"node_id":"NODE-' || CAST(user_id AS varchar(20)) || '","command":{"directive":"RELOCATE","target_lat":13.' || CAST(event_id % 100 AS varchar(20)) || ',"target_lon":80.5}}' END AS value
+FROM events
 """,
     "zones": """
 SELECT * FROM (VALUES

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.functions import geo
-from fleetspark.operators import roads, stabilize, state, zones
-from fleetspark.sources import ingest
+from fleetspark.operators import metrics, roads, stabilize, state, zones
+from fleetspark.sources import ingest, storage
 
 
 def drive(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str, mode: str = "append", trigger: dict | None = None) -> list[dict]:
@@ -78,10 +78,22 @@ def rebalance(pings: DataFrame, fixed: DataFrame, folder: str, trigger: dict | N
 
 
 def congestion(pings: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
-    """(node_id, multiplier, recorded_at): the newest multiplier of each road node."""
-    drive(pings, lambda batch, number: sink(f"{folder}/events")(roads.congestion(batch, nodes), number), folder)
-    events = pings.sparkSession.read.parquet(f"{folder}/events").drop("batch")
-    return state.newest(events, "node_id").select("node_id", "multiplier", "recorded_at")
+    """(node_id, multiplier, recorded_at): the newest multiplier of each road node. What is kept is one table of the
+    newest event of each node; a micro-batch merges its own into it, and the tables before the last two go."""
+    spark = pings.sparkSession
+    kept = ["node_id", "multiplier", "recorded_at", "seq"]
+
+    def each(batch: DataFrame, number: int) -> None:
+        merged = state.newest(roads.congestion(batch, nodes).select(kept), "node_id")
+        if number:
+            merged = state.newest(spark.read.parquet(f"{folder}/nodes/batch={number - 1}").unionByName(merged), "node_id")
+        sink(f"{folder}/nodes")(merged, number)
+        if number > 1:  # a batch that runs again reads the table before it, so that one stays
+            storage.drop(spark, f"{folder}/nodes/batch={number - 2}")
+
+    drive(pings, each, folder)
+    tables = spark.read.parquet(f"{folder}/nodes")
+    return tables.filter(F.col("batch") == tables.agg(F.max("batch")).first()[0]).select("node_id", "multiplier", "recorded_at")
 
 
 def _stable(key: tuple, frames: Iterator[pd.DataFrame], held, step: Callable) -> Iterator[pd.DataFrame]:
@@ -120,6 +132,20 @@ def uplinks(pings: DataFrame, folder: str, late: str = "10 minutes") -> DataFram
     return last.groupBy("second").agg(F.count("*").alias("uplinks"), F.sum("n").alias("messages"))
 
 
+def uplink_sketches(pings: DataFrame, folder: str, late: str = "10 minutes", progress: list | None = None) -> DataFrame:
+    """(second, sketch, messages) of every second: the state holds one sketch a second, not one row an asset and second,
+    and lets go of it when the watermark passes. Units longer than a second are unions of these; see
+    ``metrics.sketched_uplinks``. Rows without a time are left out."""
+    timed = pings.withColumn("recorded_at", F.col("recorded_at").cast("timestamp")).filter("recorded_at is not null").withWatermark("recorded_at", late)
+    seconds = metrics.sketches(timed, F.window("recorded_at", "1 second")).select(F.col("second.start").alias("second"), "sketch", "messages")
+    steps = drive(seconds, sink(f"{folder}/sketches"), folder, "update")
+    if progress is not None:
+        progress += steps
+    # an update replaces the sketch of its second; it holds all that the one before it held
+    rows = pings.sparkSession.read.parquet(f"{folder}/sketches")
+    return rows.groupBy("second").agg(F.max_by("sketch", "messages").alias("sketch"), F.max("messages").alias("messages"))
+
+
 HEARD = "node_id string, seq long, lat double, lon double, recorded_at timestamp, gone boolean"
 
 
