@@ -9,6 +9,8 @@ import re
 from pathlib import Path
 
 FOLDER = Path(__file__).parent / "licenses"
+#: Licences whose title, the first paragraph of the file, is often left out.
+UNTITLED = ["BSL-1.0", "Zlib"]
 #: Names by which notices call a licence.
 NAMES = {
     "MIT": ["MIT", "MIT License", "Expat License"],
@@ -65,6 +67,8 @@ def texts() -> list[tuple[str, str]]:
             continue
         text = path.read_text()
         out.append((path.stem, text))
+        if path.stem in UNTITLED:
+            out.append((path.stem, text.partition("\n\n")[2]))
         end = "END OF TERMS AND CONDITIONS"
         if end in text:  # often given without the appendix on how to apply it
             out += [(path.stem, text[: text.index(end)]), (path.stem, text[: text.index(end)] + end)]

@@ -2,12 +2,14 @@ r"""Licence scan by canonical digests, with built-in expressions only.
 
 A text is brought to a canonical form: lower case; copyright notices dropped (lines that begin with a copyright sign or
 word, after signs of a comment perhaps, and go on with a year or holder, never text that a wrap made begin so, as "copyright notice" or "copyright
-holders"); equivalent spellings made one; everything but a-z and 0-9 made single spaces. ``digest`` is the SHA-256 of
+holders"), and the line they wrap to after "by", "and" or between years; equivalent spellings made one; everything but a-z and 0-9 made single spaces. ``digest`` is the SHA-256 of
 that form. Licences are looked up by the digest of the form without lines that say "All rights reserved" and no more. Whole documents are looked up, and each of their lines as a text of its own, since a
 notice is often one line of a longer document. The catalogue is a fixed table of some ten thousand digests and is
 broadcast. OP3_SQL knows the texts of this file alone; the given tables state no other.
 
 Defined results. Null texts, and texts without a letter or digit in canonical form, have no digest and no licence.
+An SPDX
+expression states each licence in it.
 Texts that reach the same canonical form have the same licence. A licence counts once for each line that states it.
 Rows that repeat an id, or have none, are one document to the count of lines and keep their own digests. An empty
 table gives no rows. Other columns are carried along; a clash with the added names or with ``_id``, ``_key`` and
@@ -44,9 +46,16 @@ LICENSES = [
     ("MIT", _MIT),
     ("MIT", "MIT License\n" + _MIT),
     ("MIT", "The MIT License (MIT)\n" + _MIT),
+    ("MIT", "(The MIT License)\n" + _MIT),
+    ("MIT", "MIT License (MIT)\n" + _MIT),
+    ("MIT", "MIT License (Expat)\n" + _MIT),
+    ("MIT", "Expat License\n" + _MIT),
     ("ISC", f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_WARRANTY}"),
     ("ISC", f"ISC License\n{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_WARRANTY}"),
+    ("ISC", f"The ISC License\n{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_WARRANTY}"),
     ("0BSD", f"{_ISC_GRANT}.\n{_ISC_WARRANTY}"),
+    ("0BSD", f"BSD Zero Clause License\n{_ISC_GRANT}.\n{_ISC_WARRANTY}"),
+    ("0BSD", f"Zero-Clause BSD\n{_ISC_GRANT}.\n{_ISC_WARRANTY}"),
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -67,7 +76,9 @@ _GOES_ON = (
 _CLAUSE = "a|accept|accompany|all|an|any|by|cause|each|for|give|if|in|it|must|no|of|offer|on|or|prevent|provide|provided|representations|such|that|the|this|to|under|use|you|your"
 #: Signs of comments that may stand before a notice.
 _MARKS = r"[ \t/*#;%!<-]*"
-_REAL_NOTICE = rf"(^|\n){_MARKS}(?:©|copyright(?![a-z-])(?![ \t]*(?:[.,;/\"'”\n]|--|$))(?![ \t]+(?:{_GOES_ON})(?![a-z0-9]))|\(c\)(?![ \t]*(?:\n|$))(?![ \t]*(?:{_CLAUSE})(?![a-z0-9])))[^\n]*"
+#: A notice goes on in the next line after "by" or "and", and after a comma if that line begins with a year.
+_WRAPPED = rf"(?:(?:(?<=[ \t](?:by|and|&)[ \t\r]{{0,3}})|(?<=,[ \t\r]{{0,3}})(?=\n{_MARKS}[0-9]))\n[^\n]*)*"
+_REAL_NOTICE = rf"(^|\n){_MARKS}(?:©|(?:(?:some )?(?:portions|parts)[ \t]+(?:are[ \t]+)?)?copyright(?![a-z-])(?![ \t]*(?:[.,;/\"'”\n]|--|$))(?![ \t]+(?:{_GOES_ON})(?![a-z0-9]))|\(c\)(?![ \t]*(?:\n|$))(?![ \t]*(?:{_CLAUSE})(?![a-z0-9])))[^\n]*{_WRAPPED}"
 _RESERVED = rf"(^|\n){_MARKS}all rights reserved[ \t.!*/]*(?=\r?(\n|$))"
 
 
@@ -79,6 +90,17 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[^a-z0-9]+", " "))
 
 
+def stated_digests(line: Column) -> Column:
+    """The digests under which a line is looked up: its own, or, where it is an SPDX expression of several licences or
+    with an exception, those of the identifier lines of each licence in it. An exception is no licence."""
+    low = F.lower(line)
+    said = F.regexp_extract(low, rf"^{_MARKS}spdx-license-identifier:(.*)$", 1)
+    names = F.regexp_extract_all(F.regexp_replace(said, r"[ \t]with[ \t]+[a-z0-9][a-z0-9.+-]*", " "), F.lit(r"[a-z0-9][a-z0-9.+-]*"), 0)
+    names = F.array_distinct(F.filter(names, lambda name: ~name.isin("or", "and")))
+    several = F.transform(names, lambda name: digest(F.concat(F.lit("SPDX-License-Identifier: "), name)))
+    return F.when(low.contains("spdx-license-identifier:") & said.rlike(r"[ \t(](?:or|and|with)[ \t)]|[()]"), several).otherwise(F.array(digest(line)))
+
+
 def digest(text: Column) -> Column:
     """The digest of the canonical form, null where that is empty."""
     return F.transform(F.array(canonical(text)), lambda form: F.when(form != "", F.sha2(form, 256)))[0]
@@ -101,7 +123,7 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     if clash := {"digest", "license", "n_license_lines", "line_licenses", "_id", "_key", "_line"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already; rename them")
     known = F.broadcast(known)  # as long as the catalogue
-    lines = docs.select(id_col, F.explode(F.split(text_col, "\n")).alias("_line")).select(id_col, digest(F.col("_line")).alias("digest"))
+    lines = docs.select(id_col, F.explode(F.split(text_col, "\n")).alias("_line")).select(id_col, F.explode(stated_digests(F.col("_line"))).alias("digest"))
     stated = lines.join(known, "digest").groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n_license_lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
     whole = docs.withColumn("digest", digest(F.col(text_col)))
     reserved = F.lower(text_col).contains("all rights reserved")

@@ -20,9 +20,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEME = r"^[a-z][a-z0-9+.-]*://"
+SCHEME = r"^(?:[a-z][a-z0-9+.-]*:)?//"
 #: The second-level labels below which country domains give out names.
 SECOND_LEVEL = "ac|co|com|edu|go|gob|gov|gv|ltd|me|mil|ne|net|nhs|nom|or|org|plc|sch"
+#: Domains of hosts that give out names below them to anybody.
+HOSTED = [
+    "appspot.com", "azurewebsites.net", "bitbucket.io", "blogspot.com", "cloudfront.net", "codeberg.page", "deno.dev", "firebaseapp.com",
+    "fly.dev", "github.io", "gitlab.io", "glitch.me", "herokuapp.com", "hf.space", "myshopify.com", "neocities.org", "netlify.app", "onrender.com",
+    "pages.dev", "readthedocs.io", "repl.co", "surge.sh", "tumblr.com", "vercel.app", "web.app", "weebly.com", "wixsite.com", "wordpress.com", "workers.dev",
+]
+_SUFFIX = rf"(?:{SECOND_LEVEL})\.[a-z]{{2}}|" + "|".join(h.replace(".", r"\.") for h in HOSTED)
 
 
 def host_of(url):
@@ -31,16 +38,23 @@ def host_of(url):
 
 
 def domain_of(host):
-    """The name that was given out: the last two labels, three where the last two are such as co.uk; empty if the host
-    has fewer, or is an address."""
+    """The name that was given out: the last two labels, three where the last two are such as co.uk or a host of
+    ``HOSTED``; empty if the host has fewer, or is an address."""
     address = host.rlike(r"^\[|^[0-9]+(\.[0-9]+){3}$")
-    return F.when(address, "").otherwise(F.regexp_extract(host, rf"(?:^|\.)([^.]+\.(?:{SECOND_LEVEL})\.[a-z]{{2}}|(?!(?:{SECOND_LEVEL})\.[a-z]{{2}}$)[^.]+\.[^.]+)$", 1))
+    return F.when(address, "").otherwise(F.regexp_extract(host, rf"(?:^|\.)([^.]+\.(?:{_SUFFIX})|(?!(?:{_SUFFIX})$)[^.]+\.[^.]+)$", 1))
 
 
 def plain_url(url):
-    """The lower-case url without scheme, user, fragment, last dots of the host and last slash."""
-    rest = F.regexp_replace(F.regexp_replace(F.lower(url), SCHEME, ""), r"^[^/?#]*@", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, "#.*$", ""), r"^([^/:?]*?)\.+(?=[:/?]|$)", "$1"), "/$", "")
+    """The url without scheme, user, fragment, default port, last dots of the host and last slash. The host is
+    lower-case; a path keeps its case, as /A and /a are two pages. 80 is the default port of http and 443 that of https;
+    without a scheme both are."""
+    scheme = F.regexp_extract(F.lower(url), r"^([a-z][a-z0-9+.-]*)://", 1)
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, "(?i)" + SCHEME, ""), r"^[^/?#]*@", ""), "#.*$", "")
+    place = F.lower(F.regexp_extract(rest, "^[^/?]*", 0))
+    http, https = F.regexp_replace(place, ":(80)?$", ""), F.regexp_replace(place, ":(443)?$", "")
+    place = F.when(scheme == "http", http).when(scheme == "https", https).when(scheme == "", F.regexp_replace(place, ":(80|443)?$", "")).otherwise(place)
+    place = F.regexp_replace(place, r"^([^:]*?)\.+(?=:|$)", "$1")
+    return F.regexp_replace(F.concat(place, F.regexp_replace(rest, "^[^/?]*", "")), "/$", "")
 
 
 def intervals(log: DataFrame) -> DataFrame:
@@ -114,20 +128,22 @@ def op1_url_filters(spark, sf_dir: str) -> DataFrame:
 #: fetch time by the last change of each rule instead of intervals.
 OP1_SQL = r"""
 WITH parts AS (
-  SELECT page_id, lower(url) AS low, TIMESTAMP '2024-01-01 00:00:00' + ((page_id * 7919) % 63072000) * INTERVAL '1' SECOND AS fetched_at,
-    strpos(url, '://') AS mark FROM pages),
-rests AS (SELECT *, CASE WHEN mark > 1 THEN split_part(substr(low, mark + 3), '#', 1) ELSE split_part(low, '#', 1) END AS rest FROM parts),
+  SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + ((page_id * 7919) % 63072000) * INTERVAL '1' SECOND AS fetched_at,
+    CASE WHEN left(url, 2) = '//' THEN 0 WHEN strpos(url, '://') > 1 THEN strpos(url, '://') END AS mark FROM pages),
+rests AS (SELECT *, CASE WHEN mark IS NULL OR mark = 0 THEN '' ELSE lower(left(url, mark - 1)) END AS scheme,
+    split_part(CASE WHEN mark IS NULL THEN url WHEN mark = 0 THEN substr(url, 3) ELSE substr(url, mark + 3) END, '#', 1) AS rest FROM parts),
 sides AS (SELECT *, split_part(split_part(rest, '/', 1), '?', 1) AS authority FROM rests),
 hosts AS (
-  SELECT *, string_split(authority, '@')[-1] AS place, substr(rest, length(authority) + 1) AS path FROM sides),
+  SELECT *, lower(string_split(authority, '@')[-1]) AS place, substr(rest, length(authority) + 1) AS path FROM sides),
+ports AS (SELECT *, rtrim(split_part(place, ':', 1), '.') AS machine, substr(place, length(split_part(place, ':', 1)) + 1) AS port FROM hosts),
 named AS (
-  SELECT *, CASE WHEN mark > 1 THEN rtrim(split_part(place, ':', 1), '.') ELSE '' END AS host,
-    rtrim(split_part(place, ':', 1), '.') || substr(place, length(split_part(place, ':', 1)) + 1) || path AS whole FROM hosts),
+  SELECT *, CASE WHEN mark IS NULL THEN '' ELSE machine END AS host,
+    machine || CASE WHEN (port IN (':', ':80') AND scheme IN ('http', '')) OR (port IN (':', ':443') AND scheme IN ('https', '')) THEN '' ELSE port END || path AS whole FROM ports),
 labels AS (
   SELECT *, string_split(host, '.') AS l, CASE WHEN right(whole, 1) = '/' THEN left(whole, length(whole) - 1) ELSE whole END AS plain FROM named),
 both_keys AS (
   SELECT *, CASE WHEN len(l) < 2 OR (len(l) = 4 AND TRY_CAST(replace(host, '.', '') AS BIGINT) IS NOT NULL) THEN ''
-      WHEN length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'go', 'gob', 'gov', 'gv', 'ltd', 'me', 'mil', 'ne', 'net', 'nhs', 'nom', 'or', 'org', 'plc', 'sch')
+      WHEN (length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'go', 'gob', 'gov', 'gv', 'ltd', 'me', 'mil', 'ne', 'net', 'nhs', 'nom', 'or', 'org', 'plc', 'sch')) OR l[-2] || '.' || l[-1] IN (HOSTED)
         THEN CASE WHEN len(l) > 2 THEN l[-3] || '.' || l[-2] || '.' || l[-1] ELSE '' END
       ELSE l[-2] || '.' || l[-1] END AS domain FROM labels),
 log AS (
@@ -146,4 +162,4 @@ met AS (
 said AS (SELECT page_id, count(*) AS n_entries, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM met WHERE added = 1 GROUP BY page_id)
 SELECT k.page_id, k.fetched_at, coalesce(s.n_entries, 0) AS n_entries, coalesce(s.lists, '') AS lists, s.n_entries IS NOT NULL AS blocked
 FROM both_keys k LEFT JOIN said s ON k.page_id = s.page_id
-"""
+""".replace("HOSTED", ", ".join(f"'{h}'" for h in HOSTED))

@@ -183,6 +183,32 @@ def test_licences_as_published(spark):
     assert [r.digest is None for r in license_scan.scan(documents(spark, rows), license_scan.catalogue(spark)).orderBy("doc_id").collect()] == [True] * len(lines) + [False] * len(kept)
 
 
+def test_licences_in_usual_layouts(spark):
+    mit = license_scan.LICENSES[0][1]
+    heads = ["The MIT License\n\n", "(The MIT License)\r\n\r\n", "Portions Copyright (c) 2001 Some One\n", "Copyright (C) 2020 by\n Foo Bar\n", "Copyright (c) 2010, 2011,\n 2012 Foo\n", " * Copyright 2020 by \r\n * Foo Bar\r\n * ", "Copyright (c) 2020 A and\nB and\nC\n", "Copyright (c) Ruby\n"]
+    rows = list(enumerate(head + mit for head in heads))
+    rows += [(100, "Copyright 2020 by\n\n" + mit), (101, "Portions of this\n" + mit), (102, "Copyright 2020 Foo,\n" + mit)]
+    got = {r.doc_id: r.license for r in license_scan.scan(documents(spark, rows), license_scan.catalogue(spark)).collect()}
+    assert got == {i: "MIT" for i in range(len(heads))} | {100: "MIT", 101: None, 102: "MIT"}
+
+
+def test_spdx_expressions(spark):
+    lines = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": (2, "Apache-2.0,MIT"),
+        "// SPDX-License-Identifier: GPL-2.0-or-later WITH Linux-syscall-note": (1, "GPL-2.0"),
+        "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */": (2, "BSD-3-Clause,GPL-2.0"),
+        "# SPDX-License-Identifier: (MIT AND (ISC OR MIT))": (2, "ISC,MIT"),
+        "SPDX-License-Identifier: MIT\r": (1, "MIT"),
+        "SPDX-License-Identifier: No-Such OR MIT": (1, "MIT"),
+        "SPDX-License-Identifier: ()": (0, ""),
+        "see SPDX-License-Identifier: MIT OR ISC": (0, ""),
+        "SPDX-License-Identifier: MIT OR " + "ISC " * 20_000: (2, "ISC,MIT"),
+    }
+    rows = [(i, "text\n" + line) for i, line in enumerate(lines)]
+    got = license_scan.scan(documents(spark, rows), license_scan.catalogue(spark)).orderBy("doc_id").collect()
+    assert [(r.n_license_lines, r.line_licenses) for r in got] == list(lines.values())
+
+
 def test_licences_of_the_catalogue(spark):
     def wrap(text, width):
         return "\n\n".join(p if "(c)" in p.lower() or "copyright [" in p.lower() or "©" in p else textwrap.fill(" ".join(p.split()), width, break_on_hyphens=False, break_long_words=False) for p in re.split(r"\n[ \t]*\n", text))
@@ -191,7 +217,7 @@ def test_licences_of_the_catalogue(spark):
     rows = [(1000 * i + width, wrap(text, width)) for i, (_, text) in enumerate(known) for width in (40, 66, 75, 400)]
     got = {r.doc_id: r.license for r in license_scan.scan(documents(spark, rows), license_scan.catalogue(spark)).collect()}
     assert {i: (known[i // 1000][0], v) for i, v in got.items() if v != known[i // 1000][0]} == {}
-    assert {name for name, _ in known} >= {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"}
+    assert {name for name, _ in known} >= {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "BSL-1.0", "Zlib"}
     lines = {"# SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "Licensed under CC BY 4.0.": "CC-BY-4.0", "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "This software is released under the BSD 3-Clause License.": "BSD-3-Clause"}
     rows = [(i, "text\n" + line) for i, line in enumerate(lines)]
     got = license_scan.scan(documents(spark, rows), license_scan.catalogue(spark)).orderBy("doc_id").collect()

@@ -43,9 +43,29 @@ def test_stages_on_their_own_input(spark, tmp_path):
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(r.text, add_special_tokens=False).ids
 
 
-def test_run_equals_the_stages(spark):
-    got = corpus_pipeline.run(spark, SF)
-    assert got.count() == got.select("doc_id").distinct().count() > 0
+def test_run_equals_the_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+    expected = sorted(docs.collect(), key=lambda r: r.doc_id)
+    got = sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: r.doc_id)
+    assert len(got) == len({r.doc_id for r in got}) > 0
+    assert got == expected
+
+
+def test_stages_of_empty_tables_and_of_null_and_repeated_ids(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    words = next(r.text for r in docs.orderBy("doc_id").collect() if brute.statistics(r.text)[0] > 200)
+    odd = [(None, words, "en", "s", 1), (7, words + " one", "en", "s", 2), (7, words + " two", None, None, None), (8, None, None, None, None), (None, "", "en", "s", 0)]
+    for rows in ([], odd):
+        held = spark.createDataFrame(rows, docs.schema)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, held, SF)
+            assert i == 4 or out.columns == corpus_pipeline.COLUMNS
+            out.write.parquet(f"{tmp_path}/{len(rows)}-{i}")
+            held = spark.read.parquet(f"{tmp_path}/{len(rows)}-{i}")
+            assert {(r.doc_id, r.lang) for r in held.collect()} <= {(number, lang) for number, _, lang, _, _ in rows}
 
 
 def test_decontamination_of_documents_without_an_id(spark):
