@@ -16,9 +16,8 @@ def with_cell(df: DataFrame, lat: str = "lat", lon: str = "lon", prefix: str = "
     return out.select(*df.columns, f"{prefix}_q", f"{prefix}_r")
 
 
-def detect(pings: DataFrame, commands: DataFrame, threshold_km: float = 1.0, ahead_km: float = 0.2) -> DataFrame:
-    """Handovers of pings far from their cell's centre whose heading leads to another cell, with the asset's last
-    directive at or before the ping: an as-of join by a window over both, boundary pings only."""
+def leaving(pings: DataFrame, threshold_km: float = 1.0, ahead_km: float = 0.2) -> DataFrame:
+    """(node_id, at, turn 1, seq, node_type, target_cell): pings far from their cell's centre whose heading leads to another cell."""
     here = with_cell(pings)
     lat, lon = hexgrid.center("hex_q", "hex_r")
     here = here.withColumns({"_clat": F.expr(lat), "_clon": F.expr(lon)})
@@ -27,9 +26,18 @@ def detect(pings: DataFrame, commands: DataFrame, threshold_km: float = 1.0, ahe
     ahead = with_cell(here.withColumn("_lat", F.expr(to_lat)).withColumn("_lon", F.expr(to_lon)), "_lat", "_lon", "to")
     # a row for each cell entered: a filter would be pushed down and repeat the whole geometry in its condition
     entered = F.when((F.col("_off") >= threshold_km) & ((F.col("hex_q") != F.col("to_q")) | (F.col("hex_r") != F.col("to_r"))), F.array(F.expr(hexgrid.cell_id("to_q", "to_r"))))
-    leaving = ahead.select("node_id", F.col("recorded_at").alias("at"), F.lit(1).alias("turn"), "seq", "node_type", F.explode(entered).alias("target_cell"))
-    told = commands.select("node_id", F.col("issued_at").alias("at"), F.lit(0).alias("turn"), "seq", F.struct("directive", "target_lat", "target_lon").alias("_c"))
-    both = leaving.unionByName(told, allowMissingColumns=True)
+    return ahead.select("node_id", F.col("recorded_at").alias("at"), F.lit(1).alias("turn"), "seq", "node_type", F.explode(entered).alias("target_cell"))
+
+
+def told(commands: DataFrame) -> DataFrame:
+    """(node_id, at, turn 0, seq, _c): the directives; at the same time they come before pings."""
+    return commands.select("node_id", F.col("issued_at").alias("at"), F.lit(0).alias("turn"), "seq", F.struct("directive", "target_lat", "target_lon").alias("_c"))
+
+
+def detect(pings: DataFrame, commands: DataFrame, threshold_km: float = 1.0, ahead_km: float = 0.2) -> DataFrame:
+    """Handovers of ``leaving`` with the asset's last directive at or before the ping: an as-of join by a window over
+    both, boundary pings only."""
+    both = leaving(pings, threshold_km, ahead_km).unionByName(told(commands), allowMissingColumns=True)
     last = F.last("_c", ignorenulls=True).over(Window.partitionBy("node_id").orderBy("at", "turn", "seq").rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("_c", last).filter("turn = 1").select("seq", "node_id", "node_type", "target_cell", F.col("at").alias("recorded_at"), "_c.directive", "_c.target_lat", "_c.target_lon")
 

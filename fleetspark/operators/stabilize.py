@@ -35,6 +35,23 @@ def evaluate(last: float | None, row: dict, min_conf: float = 0.75, alpha: float
     return smoothed, made | {"weight": smoothed, "accepted": True}
 
 
+def _turn(held: tuple[float | None, int], row: dict, **limits: float) -> tuple[tuple[float | None, int], dict]:
+    last, made = evaluate(held[0], row, **limits)
+    return (last, held[1] + 1), made | {"turn": held[1]}
+
+
+def hysteresis_from(proposals: DataFrame, stable: DataFrame | None = None, **limits: float) -> DataFrame:
+    """``hysteresis`` that goes on from the weights in ``stable`` (edge_id, stable; None: none yet), with ``turn``, the
+    number of the row in its edge."""
+    rows = proposals.select("seq", "edge_id", "proposed_weight", "confidence", "base_weight", "ts")
+    if stable is None:
+        rows = rows.withColumn("_last", F.lit(None).cast("double"))
+    else:
+        known = stable.select(F.col("edge_id").alias("_edge"), F.col("stable").alias("_last"))
+        rows = rows.join(known, rows["edge_id"].eqNullSafe(known["_edge"]), "left").drop("_edge")
+    return ordered_fold(rows, "edge_id", ["ts", "seq"], lambda row: (row["_last"], 0), partial(_turn, **limits), f"{OUTPUT}, turn long")
+
+
 def hysteresis(proposals: DataFrame, min_conf: float = 0.75, alpha: float = 0.3, step: float = 0.04) -> DataFrame:
     """Every proposal in its edge's order: the weight that holds after it and whether it was accepted."""
     rows = proposals.select("seq", "edge_id", "proposed_weight", "confidence", "base_weight", "ts")

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.operators import metrics
+from fleetspark.operators import metrics, roads
 from fleetspark.plans import catalog
 from fleetspark.plans.catalog import now, r6
 from fleetspark.sources.fixtures import ctes, load
-from fleetspark.sources.storage import shared_folder
+from fleetspark.sources.storage import shared_folder, written
 from fleetspark.streaming import jobs
 
 
@@ -30,13 +30,18 @@ def _stream(spark: SparkSession, sf_dir: str, view: str, time: str | None = None
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapping cells of the road nodes, as a table."""
+    return written(roads.snap_cells(load(spark, sf_dir, "road_nodes")))[0]
+
+
 def stream_archive(spark, sf_dir):
     raw, folder = _stream(spark, sf_dir, "raw_telemetry")
     return jobs.archive(raw, folder, now()).select("seq", "error_reason")
 
 
 def stream_latest_position(spark, sf_dir):
-    pings, folder = _stream(spark, sf_dir, "telemetry")
+    pings, folder = _stream(spark, sf_dir, "telemetry", "recorded_at")
     return jobs.latest_position(pings, folder).select("seq", "tenant_id", "node_id", "asset_class", "status", "lat", "lon", "battery", "recorded_at")
 
 
@@ -46,13 +51,24 @@ def stream_live_positions(spark, sf_dir):
 
 
 def stream_rebalance(spark, sf_dir):
-    pings, folder = _stream(spark, sf_dir, "telemetry")
+    pings, folder = _stream(spark, sf_dir, "telemetry", "recorded_at")
     return jobs.rebalance(pings, load(spark, sf_dir, "zones"), folder).withColumn("distance_km", F.round("distance_km", 6)).withColumn("turn", F.col("turn").cast("long"))
 
 
 def stream_congestion(spark, sf_dir):
     pings, folder = _stream(spark, sf_dir, "telemetry")
-    return jobs.congestion(pings, load(spark, sf_dir, "road_nodes"), folder).select("node_id", r6("multiplier"), "recorded_at")
+    return jobs.congestion(pings, _cells(spark, sf_dir), folder).select("node_id", r6("multiplier"), "recorded_at")
+
+
+def stream_snap_to_node(spark, sf_dir):
+    pings, folder = _stream(spark, sf_dir, "telemetry")
+    return jobs.snapped(pings.select("seq", "lat", "lon"), _cells(spark, sf_dir), folder).select("seq", F.col("road_node").alias("node_id"), r6("km"))
+
+
+def stream_handover_events(spark, sf_dir):
+    pings, folder = _stream(spark, sf_dir, "telemetry", "recorded_at")
+    commands, _ = _stream(spark, sf_dir, "commands", "issued_at")
+    return jobs.handovers(pings, commands, folder)
 
 
 def stream_stabilize(spark, sf_dir):
@@ -76,13 +92,15 @@ def stream_uplink_sketches(spark, sf_dir):
     return seconds.withColumn("second", F.col("second").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (stream_archive, stream_latest_position, stream_live_positions, stream_rebalance, stream_congestion, stream_stabilize, stream_demand, stream_uplinks, stream_uplink_sketches)}
+QUERIES = {f.__name__: f for f in (stream_archive, stream_latest_position, stream_live_positions, stream_rebalance, stream_congestion, stream_snap_to_node, stream_handover_events, stream_stabilize, stream_demand, stream_uplinks, stream_uplink_sketches)}
 ORACLES = {
     "stream_archive": f"SELECT r.seq, d.error_reason FROM ({catalog.ORACLES['decode_telemetry']}) r LEFT JOIN ({catalog.ORACLES['dead_letters']}) d ON d.seq = r.seq",
     "stream_latest_position": catalog.ORACLES["latest_position"],
     "stream_live_positions": f"SELECT seq, node_id, lat, lon, recorded_at FROM ({catalog.ORACLES['latest_position']}) p QUALIFY recorded_at >= max(recorded_at) OVER () - INTERVAL '120' SECOND",
     "stream_rebalance": catalog.ORACLES["relocation_plan"],
     "stream_congestion": f"SELECT node_id, multiplier, recorded_at FROM ({catalog.ORACLES['congestion_events']}) c QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY recorded_at DESC, seq DESC) = 1",
+    "stream_snap_to_node": catalog.ORACLES["snap_to_node"],
+    "stream_handover_events": catalog.ORACLES["handover_events"],
     "stream_stabilize": catalog.ORACLES["stabilize_weights"],
     "stream_demand": f"WITH {ctes('rides')}\nSELECT date_trunc('minute', ts) - k * INTERVAL '1' MINUTE AS start, CAST(floor(lat / 0.2e0) AS bigint) AS x, CAST(floor(lon / 0.2e0) AS bigint) AS y, count(*) AS requests FROM rides, (VALUES (0), (1), (2), (3), (4)) AS v(k) GROUP BY 1, 2, 3",
     "stream_uplinks": f"WITH {ctes('telemetry')}\nSELECT date_trunc('second', recorded_at) AS second, count(DISTINCT node_id) AS uplinks, count(*) AS messages FROM telemetry GROUP BY 1",

@@ -8,6 +8,7 @@ folder, so sinks hold it once.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.functions import geo
-from fleetspark.operators import metrics, roads, stabilize, state, zones
+from fleetspark.operators import handover, metrics, roads, stabilize, state, zones
 from fleetspark.sources import ingest, storage
 
 
@@ -46,74 +47,83 @@ def archive(raw: DataFrame, folder: str, failed_at) -> DataFrame:
     return read(f"{folder}/good").select("seq", F.lit(None).cast("string").alias("error_reason")).union(read(f"{folder}/dead").select("seq", "error_reason"))
 
 
-def latest_position(pings: DataFrame, folder: str, area=(12.0, 79.5, 2.0, 1.5)) -> DataFrame:
-    """The newest ping of each asset, by (time, seq): a late one never overwrites a newer one."""
+def newest_by_span(pings: DataFrame, late: str = "10 minutes", span: str = "1 hour") -> DataFrame:
+    """Updates (mode "update") of the newest ping of each asset, by (time, seq). State is held by asset and ``span`` and
+    freed once the watermark (``late`` behind the newest ping) passes the span's end, so it holds the assets heard lately
+    and not all that ever were; the newest over the spans is the newest of all. Rows without a time are left out."""
+    timed = pings.withColumn("_at", F.col("recorded_at").cast("timestamp")).filter("_at is not null").withWatermark("_at", late)
     row = F.max_by(F.struct(*pings.columns), F.struct("recorded_at", "seq")).alias("_row")
-    updates = pings.groupBy(F.col("node_id").alias("_key")).agg(row).select("_row.*")
-    drive(updates, sink(f"{folder}/latest"), folder, "update")
-    return state.latest(pings.sparkSession.read.parquet(f"{folder}/latest").drop("batch"), area)
+    return timed.groupBy(F.window("_at", span), F.col("node_id").alias("_key")).agg(row).select("_row.*")
 
 
-def rebalance(pings: DataFrame, fixed: DataFrame, folder: str, trigger: dict | None = None) -> DataFrame:
+def merge(batch: DataFrame, folder: str, number: int, key: str, time: str = "recorded_at", tie: str = "seq") -> DataFrame:
+    """The table of each key's newest row after micro-batch ``number``: that of the one before, merged with the batch.
+    A batch that runs again reads the table before it, so the last two stay and older ones go."""
+    spark = batch.sparkSession
+    if number:
+        batch = spark.read.parquet(f"{folder}/batch={number - 1}").unionByName(batch)
+    sink(folder)(state.newest(batch, key, time, tie), number)
+    if number > 1:
+        storage.drop(spark, f"{folder}/batch={number - 2}")
+    return spark.read.parquet(f"{folder}/batch={number}")
+
+
+def last_table(spark, folder: str) -> DataFrame:
+    """What the last micro-batch of ``merge`` left."""
+    tables = spark.read.parquet(folder)
+    return tables.filter(F.col("batch") == tables.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def latest_position(pings: DataFrame, folder: str, area=(12.0, 79.5, 2.0, 1.5), late: str = "10 minutes", progress: list | None = None) -> DataFrame:
+    """The newest ping of each asset: a late one never overwrites a newer one. ``progress`` gets the progress of the
+    micro-batches."""
+    steps = drive(newest_by_span(pings, late), lambda batch, number: merge(batch, f"{folder}/latest", number, "node_id"), folder, "update")
+    if progress is not None:
+        progress += steps
+    return state.latest(last_table(pings.sparkSession, f"{folder}/latest"), area)
+
+
+def rebalance(pings: DataFrame, fixed: DataFrame, folder: str, trigger: dict | None = None, late: str = "10 minutes") -> DataFrame:
     """After each micro-batch the commands that the latest positions ask for; returns those of the last one. In
-    production the trigger is ``{'processingTime': '15 seconds'}``. The latest positions are one table a micro-batch,
-    the one before it merged with its updates, so a batch reads a row of each asset and not all earlier batches."""
+    production the trigger is ``{'processingTime': '15 seconds'}``. A batch reads a row of each asset and not all
+    earlier batches; the plans of the batches stay, as they were sent."""
     spark = pings.sparkSession
-    row = F.max_by(F.struct(*pings.columns), F.struct("recorded_at", "seq")).alias("_row")
-    updates = pings.groupBy(F.col("node_id").alias("_key")).agg(row).select("_row.*")
 
     def each(batch: DataFrame, number: int) -> None:
-        before = [spark.read.parquet(f"{folder}/latest/batch={number - 1}")] if number else []
-        merged = batch
-        for known in before:
-            merged = state.newest(known.unionByName(batch), "node_id")
-        sink(f"{folder}/latest")(merged, number)
-        seen = spark.read.parquet(f"{folder}/latest/batch={number}")
+        seen = merge(batch, f"{folder}/latest", number, "node_id")
         zones.relocate(fixed, state.latest(seen)).write.mode("overwrite").parquet(f"{folder}/plan/batch={number}")
 
-    drive(updates, each, folder, "update", trigger)
-    plans = spark.read.parquet(f"{folder}/plan")
-    last = plans.agg(F.max("batch")).first()[0]
-    return plans.filter(F.col("batch") == last).drop("batch")
+    drive(newest_by_span(pings, late), each, folder, "update", trigger)
+    return last_table(spark, f"{folder}/plan")
 
 
-def congestion(pings: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
-    """(node_id, multiplier, recorded_at): the newest multiplier of each road node. What is kept is one table of the
-    newest event of each node; a micro-batch merges its own into it, and the tables before the last two go."""
-    spark = pings.sparkSession
-    kept = ["node_id", "multiplier", "recorded_at", "seq"]
+def snapped(points: DataFrame, cells: DataFrame, folder: str) -> DataFrame:
+    """Every point with its nearest road node, by one join with ``roads.snap_cells`` and no state."""
+    drive(roads.snap_by_cells(points, cells), sink(f"{folder}/snapped"), folder)
+    return points.sparkSession.read.parquet(f"{folder}/snapped").drop("batch")
 
-    def each(batch: DataFrame, number: int) -> None:
-        merged = state.newest(roads.congestion(batch, nodes).select(kept), "node_id")
-        if number:
-            merged = state.newest(spark.read.parquet(f"{folder}/nodes/batch={number - 1}").unionByName(merged), "node_id")
-        sink(f"{folder}/nodes")(merged, number)
-        if number > 1:  # a batch that runs again reads the table before it, so that one stays
-            storage.drop(spark, f"{folder}/nodes/batch={number - 2}")
-
-    drive(pings, each, folder)
-    tables = spark.read.parquet(f"{folder}/nodes")
-    return tables.filter(F.col("batch") == tables.agg(F.max("batch")).first()[0]).select("node_id", "multiplier", "recorded_at")
-
-
-def _stable(key: tuple, frames: Iterator[pd.DataFrame], held, step: Callable) -> Iterator[pd.DataFrame]:
-    last = held.get[0] if held.exists else None
-    rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-    out = []
-    for row in rows.to_dict("records"):
-        last, made = step(last, row)
-        out.append(made)
-    if last is not None:
-        held.update((last,))
-    yield pd.DataFrame(out)
+
+def congestion(pings: DataFrame, cells: DataFrame, folder: str) -> DataFrame:
+    """(node_id, multiplier, recorded_at): the newest multiplier of each road node. Pings are snapped in the stream by
+    ``cells`` (``roads.snap_cells``); what is kept is one table of the newest event of each node."""
+    events = roads.congestion_by_cells(pings, cells).select("node_id", "multiplier", "recorded_at", "seq")
+    drive(events, lambda batch, number: merge(batch, f"{folder}/nodes", number, "node_id"), folder)
+    return last_table(pings.sparkSession, f"{folder}/nodes").select("node_id", "multiplier", "recorded_at")
 
 
 def stabilized(proposals: DataFrame, folder: str, **limits: float) -> DataFrame:
-    """Every proposal with the weight that holds after it; batches arrive in time order."""
-    fold = partial(_stable, step=partial(stabilize.evaluate, **limits))
-    out = proposals.groupBy("edge_id").applyInPandasWithState(lambda k, f, s: fold(k, f, s), stabilize.OUTPUT, "last double", "append", "NoTimeout")
-    drive(out, sink(f"{folder}/weights"), folder)
-    return proposals.sparkSession.read.parquet(f"{folder}/weights").drop("batch")
+    """Every proposal with the weight that holds after it; batches arrive in time order. What is kept is a table of one
+    stable weight an edge; the rows of an edge stream through the fold from there, however many a batch brings."""
+    spark = proposals.sparkSession
+
+    def each(batch: DataFrame, number: int) -> None:
+        stable = spark.read.parquet(f"{folder}/stable/batch={number - 1}") if number else None
+        sink(f"{folder}/weights")(stabilize.hysteresis_from(batch, stable, **limits), number)
+        rows = spark.read.parquet(f"{folder}/weights/batch={number}").filter("accepted").select("edge_id", F.col("weight").alias("stable"), F.lit(number).alias("at"), "turn")
+        merge(rows, f"{folder}/stable", number, "edge_id", "at", "turn")
+
+    drive(proposals, each, folder)
+    return spark.read.parquet(f"{folder}/weights").drop("batch", "turn")
 
 
 def demand(requests: DataFrame, folder: str, late: str = "10 minutes", degrees: float = 0.2) -> DataFrame:
@@ -192,3 +202,60 @@ def live_positions(pings: DataFrame, folder: str, ttl_seconds: int = 120, late:
     newest = inside.agg(F.max("recorded_at").alias("_now"))
     alive = inside.filter("not gone").join(F.broadcast(newest), F.col("recorded_at") >= F.col("_now") - F.make_dt_interval(secs=F.lit(ttl_seconds)))
     return alive.select("seq", "node_id", "lat", "lon", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"))
+
+
+HANDOVER = "seq long, node_id string, node_type int, target_cell string, recorded_at timestamp, directive string, target_lat double, target_lon double"
+_WAITING = "pings array<struct<at:long,seq:long,node_type:int,cell:string,told_at:long,told_seq:long>>, commands array<struct<at:long,seq:long,directive:string,lat:double,lon:double>>"
+
+
+def _directed(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+    """Handovers of one asset with the last command at or before each; those whose command is new or another one are
+    emitted. Pings and commands wait until the watermark has passed them; of the commands before it the last one stays."""
+    pings, commands = ([tuple(r) for r in rows] for rows in held.get) if held.exists else ([], [])
+    fresh = len(pings)
+    for rows in frames if not held.hasTimedOut else ():
+        rows = rows.astype(object).where(rows.notna(), None)
+        for r in rows.itertuples(index=False):
+            if r.turn:
+                pings.append((int(r.micros), int(r.seq), None if r.node_type is None else int(r.node_type), r.target_cell, None, None))
+            else:
+                commands.append((int(r.micros), int(r.seq), r.directive, r.target_lat, r.target_lon))
+    commands.sort(key=lambda c: c[:2])
+    times, waiting, out = [c[0] for c in commands], [], []
+    for i, (at, seq, kind, cell, *told) in enumerate(pings):
+        j = bisect_right(times, at) - 1
+        now = list(commands[j][:2]) if j >= 0 else [None, None]
+        if i >= fresh or now != told:
+            out.append((seq, key[0], kind, cell, pd.Timestamp(at, unit="us"), *(commands[j][2:] if j >= 0 else (None,) * 3)))
+        waiting.append((at, seq, kind, cell, *now))
+    passed = held.getCurrentWatermarkMs() * 1000
+    waiting = [p for p in waiting if p[0] > passed]
+    commands = commands[max(bisect_right(times, passed) - 1, 0) :]
+    if waiting or commands:
+        held.update((waiting, commands))
+        last = max(r[0] for r in [*waiting, *commands])
+        if last > passed:
+            held.setTimeoutTimestamp(last // 1000 + 1)
+    elif held.exists:
+        held.remove()
+    if out:
+        yield pd.DataFrame(out, columns=[part.split()[0] for part in HANDOVER.split(", ")]).astype({"node_type": "Int32"})
+
+
+def handovers(pings: DataFrame, commands: DataFrame, folder: str, late: str = "10 minutes", progress: list | None = None) -> DataFrame:
+    """The rows of ``handover.detect``, one a ping ``seq``: a streaming as-of join of two streams in any order within ``late``.
+
+    A handover is emitted at once with the directive known by then, and again when a late command changes it, until the
+    watermark passes the ping; the last row emitted counts. State of an asset: its handovers and commands within the
+    lateness, and its last command before. Rows without a time, and later ones than ``late``, are left out.
+    ``progress`` gets the progress of the micro-batches."""
+    left = handover.leaving(pings).withColumn("at", F.col("at").cast("timestamp")).filter("at is not null").withWatermark("at", late)
+    told = handover.told(commands).select("node_id", F.col("at").cast("timestamp").alias("at"), "turn", "seq", "_c.*").filter("at is not null").withWatermark("at", late)
+    both = left.unionByName(told, allowMissingColumns=True).withColumn("micros", F.unix_micros("at"))
+    directed = both.groupBy("node_id").applyInPandasWithState(lambda k, f, s: _directed(k, f, s), HANDOVER, _WAITING, "update", "EventTimeTimeout")
+    steps = drive(directed, sink(f"{folder}/handovers"), folder, "update")
+    if progress is not None:
+        progress += steps
+    rows = pings.sparkSession.read.parquet(f"{folder}/handovers")
+    last = rows.groupBy("seq").agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("seq", "batch"))), "batch").alias("_r")).select("seq", "_r.*")
+    return last.withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fleetspark.operators import match, metrics, trips, zones
+from fleetspark.operators import match, metrics, roads, trips, zones
 from fleetspark.schemas import TRANSITIONS
 from fleetspark.streaming import jobs
 
@@ -118,7 +118,7 @@ def test_congestion_keeps_one_row_a_node_and_two_tables(spark, tmp_path):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/part={i}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = jobs.congestion(stream, nodes, str(tmp_path))
+    got = jobs.congestion(stream, roads.snap_cells(nodes), str(tmp_path))
     assert {(r.node_id, r.multiplier, r.recorded_at) for r in got.collect()} == {(1, 3.0, at[5]), (2, 5.0, at[4])}
     assert len(list((tmp_path / "nodes").glob("batch=*"))) == 2
     assert spark.read.parquet(f"{tmp_path}/nodes/batch=3").count() == 2
