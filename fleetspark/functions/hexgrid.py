@@ -7,13 +7,28 @@ _LAT0, _LON0, _KM = "1.3e1", "8.02e1", "1.11195e2"
 _COS = "cos(radians(1.3e1))"
 
 
+#: Axial coordinates count in millionths of an edge (about a millimetre), as whole numbers. A position nearer than that to
+#: the border of two hexagons goes to one of them by the same rule everywhere: the last bit of a cosine, which engines
+#: round differently, does not decide.
+_ONE, _ONES = "1e6", "1000000"
+
+
+def _millionths(x: str, y: str) -> tuple[str, str]:
+    q, r = f"((sqrt(3e0) / 3 * {x} - {y} / 3) / {EDGE_KM})", f"((2e0 / 3 * {y}) / {EDGE_KM})"
+    return f"CAST(floor({q} * {_ONE} + 0.5e0) AS bigint)", f"CAST(floor({r} * {_ONE} + 0.5e0) AS bigint)"
+
+
+def _whole(v: str) -> str:
+    return f"CAST(floor(({v} + 500000) / {_ONE}) AS bigint)"
+
+
 def axial(lat: str, lon: str) -> tuple[str, str]:
     """Whole axial coordinates (q, r) of the hexagon that holds a point, by cube rounding."""
     x, y = f"((({lon}) - {_LON0}) * {_COS} * {_KM})", f"((({lat}) - {_LAT0}) * {_KM})"
-    q, r = f"((sqrt(3e0) / 3 * {x} - {y} / 3) / {EDGE_KM})", f"((2e0 / 3 * {y}) / {EDGE_KM})"
+    q, r = _millionths(x, y)
     s = f"(-{q} - {r})"
-    rq, rr, rs = (f"floor({v} + 0.5e0)" for v in (q, r, s))
-    dq, dr, ds = f"abs({rq} - {q})", f"abs({rr} - {r})", f"abs({rs} - {s})"
+    rq, rr, rs = (_whole(v) for v in (q, r, s))
+    dq, dr, ds = f"abs({rq} * {_ONES} - {q})", f"abs({rr} * {_ONES} - {r})", f"abs({rs} * {_ONES} - {s})"
     return (
         f"CAST(CASE WHEN {dq} > {dr} AND {dq} > {ds} THEN -{rr} - {rs} ELSE {rq} END AS bigint)",
         f"CAST(CASE WHEN {dq} > {dr} AND {dq} > {ds} THEN {rr} WHEN {dr} > {ds} THEN -{rq} - {rs} ELSE {rr} END AS bigint)",
@@ -24,14 +39,16 @@ def steps(lat: str, lon: str, q: str, r: str) -> list[dict[str, str]]:
     """The same by columns: each dict of expressions may use the columns of those before it. Columns whose names
     begin with an underscore are not wanted afterwards. Spark evaluates a shared column once."""
     x, y = f"((({lon}) - {_LON0}) * {_COS} * {_KM})", f"((({lat}) - {_LAT0}) * {_KM})"
-    wide = "abs(_hrq - _hq) > abs(_hrr - _hr) AND abs(_hrq - _hq) > abs(_hrs + _hq + _hr)"
+    of_q, of_r = _millionths("_hx", "_hy")
     return [
         {"_hx": x, "_hy": y},
-        {"_hq": f"(sqrt(3e0) / 3 * _hx - _hy / 3) / {EDGE_KM}", "_hr": f"(2e0 / 3 * _hy) / {EDGE_KM}"},
-        {"_hrq": "floor(_hq + 0.5e0)", "_hrr": "floor(_hr + 0.5e0)", "_hrs": "floor(-_hq - _hr + 0.5e0)"},
+        {"_hq": of_q, "_hr": of_r},
+        {"_hs": "-_hq - _hr"},
+        {"_hrq": _whole("_hq"), "_hrr": _whole("_hr"), "_hrs": _whole("_hs")},
+        {"_hdq": f"abs(_hrq * {_ONES} - _hq)", "_hdr": f"abs(_hrr * {_ONES} - _hr)", "_hds": f"abs(_hrs * {_ONES} - _hs)"},
         {
-            q: f"CAST(CASE WHEN {wide} THEN -_hrr - _hrs ELSE _hrq END AS bigint)",
-            r: f"CAST(CASE WHEN {wide} THEN _hrr WHEN abs(_hrr - _hr) > abs(_hrs + _hq + _hr) THEN -_hrq - _hrs ELSE _hrr END AS bigint)",
+            q: "CAST(CASE WHEN _hdq > _hdr AND _hdq > _hds THEN -_hrr - _hrs ELSE _hrq END AS bigint)",
+            r: "CAST(CASE WHEN _hdq > _hdr AND _hdq > _hds THEN _hrr WHEN _hdr > _hds THEN -_hrq - _hrs ELSE _hrr END AS bigint)",
         },
     ]
 
