@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.llm.common import chunks, cut, release, tidy
-from fleetspark.llm.graph import components
+from fleetspark.llm.graph import components, few
 from fleetspark.llm.minhash import SLOT_SEED, shingles
 from fleetspark.llm.substring_dedup import _by_bucket, _from_planes, _pack_keys, _packed, _planes, _unpacked
 from fleetspark.llm.tiles import WIDTH, bitmaps, bounded, tiles
@@ -170,7 +170,9 @@ def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     slim = nodes.select("node", "n", "held", "bits")
     of = lambda df, side, names: df.select(F.col("node").alias(side), *(F.col(c).alias(n) for c, n in names.items()))
-    met = pairs.join(of(slim, "a", {"n": "na", "held": "ha", "bits": "ba"}), "a").join(of(slim, "b", {"n": "nb", "held": "hb", "bits": "bb"}), "b")
+    sent = F.broadcast if few(pairs) else (lambda df: df)
+    met = of(slim, "a", {"n": "na", "held": "ha", "bits": "ba"}).join(sent(pairs), "a")
+    met = of(slim, "b", {"n": "nb", "held": "hb", "bits": "bb"}).join(sent(met), "b")
     close = met.mapInArrow(bound, "a long, b long, na int, nb int")
     full = close.join(of(nodes, "a", {"shingles": "sa"}), "a").join(of(nodes, "b", {"shingles": "sb"}), "b")
     return full.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
@@ -180,7 +182,7 @@ def _undecided(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFra
     """The components that the links make, and the members (token, node, company, component, main) of lists that hold
     several of them; main is the component with most members there."""
     labels = components(links)
-    labelled = members.join(labels, "node", "left").select("token", "node", "company", F.coalesce("component", "node").alias("component"))
+    labelled = members.join(F.broadcast(labels) if few(labels) else labels, "node", "left").select("token", "node", "company", F.coalesce("component", "node").alias("component"))
     counts = labelled.groupBy("token", "component").agg(F.count("*").alias("n"))
     mains = counts.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     return labels, cut(labelled.join(mains.drop("parts"), "token").select("token", "node", "company", "component", "main"))
@@ -235,7 +237,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         labels, undecided = _undecided(members, links)
         release(spark)
-    left = tiles(undecided.select("token", "node", "component", "main"), nodes, percent).join(tried, ["a", "b"], "left_anti")
+    left = cut(tiles(undecided.select("token", "node", "component", "main"), nodes, percent).join(tried, ["a", "b"], "left_anti"))
     more = cut(_linked(left, nodes, percent))
     # the sets of one id belong together
     several = full.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
