@@ -15,19 +15,26 @@ from fleetspark.sources.storage import shared_folder, written
 from fleetspark.streaming import jobs
 
 
+#: Rows of a file of ``_stream``, about: larger parts have several files, written at the same time.
+FILE_ROWS = 250_000
+
+
 def _stream(spark: SparkSession, sf_dir: str, view: str, time: str | None = None) -> tuple[DataFrame, str]:
-    """The view as a stream of four files of later and later rows, one a batch; and a folder for the job."""
+    """The view as a stream of four parts of later and later rows, one a batch; and a folder for the job. A part has as
+    many files as its rows ask for, the same number in each."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = load(spark, sf_dir, view)
+    files = max(1, rows.count() // (4 * FILE_ROWS))
     if time is None:
-        rows.repartition(4).write.parquet(f"{folder}/in")
+        rows.repartition(4 * files).write.parquet(f"{folder}/in")
     else:
         cuts = rows.select(F.percentile_approx(F.unix_micros(F.col(time).cast("timestamp")), [0.25, 0.5, 0.75]).alias("c")).first()["c"] or [0, 0, 0]
         at = F.unix_micros(F.col(time).cast("timestamp"))
         for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
             part = rows if low is None else rows.filter((at > low) | at.isNull() if high is None else at > low)  # null times come last
-            (part if high is None else part.filter(at <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+            part = part if high is None else part.filter(at <= high)
+            (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), folder
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,17 +83,18 @@ def latest_position(pings: DataFrame, folder: str, area=(12.0, 79.5, 2.0, 1.5),
     return state.latest(last_table(pings.sparkSession, f"{folder}/latest"), area)
 
 
-def rebalance(pings: DataFrame, fixed: DataFrame, folder: str, trigger: dict | None = None, late: str = "10 minutes") -> DataFrame:
+def rebalance(pings: DataFrame, fixed: DataFrame, folder: str, trigger: dict | None = None) -> DataFrame:
     """After each micro-batch the commands that the latest positions ask for; returns those of the last one. In
-    production the trigger is ``{'processingTime': '15 seconds'}``. A batch reads a row of each asset and not all
-    earlier batches; the plans of the batches stay, as they were sent."""
+    production the trigger is ``{'processingTime': '15 seconds'}``. A batch is folded to one row an asset and merged with
+    the table of newest rows, so there is no state by hour and asset, and a late ping counts unless a newer one was heard;
+    the plans of the batches stay, as they were sent. Rows without a time are left out."""
     spark = pings.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
         seen = merge(batch, f"{folder}/latest", number, "node_id")
         zones.relocate(fixed, state.latest(seen)).write.mode("overwrite").parquet(f"{folder}/plan/batch={number}")
 
-    drive(newest_by_span(pings, late), each, folder, "update", trigger)
+    drive(pings.filter("recorded_at is not null"), each, folder, "append", trigger)
     return last_table(spark, f"{folder}/plan")
 
 

@@ -121,3 +121,14 @@ def test_weights_go_on_across_batches(spark, tmp_path):
     key = lambda r: (r.seq, r.edge_id or "", r.weight, r.accepted)
     assert sorted(map(key, got)) == sorted(map(key, expected)) and len(got) == len(rows)
     assert spark.read.parquet(str(sorted((tmp_path / "stable").glob("batch=*"))[-1])).count() <= 3
+
+
+def test_rebalance_keeps_no_state_and_hears_late_assets(spark, tmp_path):
+    schema = "node_id string, seq long, tenant_id string, asset_class int, lat double, lon double, recorded_at timestamp_ntz"
+    at = lambda s: AT + datetime.timedelta(seconds=s)
+    first = [("n1", 1, "t", 1, 13.0, 80.2, at(20_000)), ("x", 9, "t", 1, 13.05, 80.2, None)]
+    second = [("n1", 2, "t", 1, 13.5, 80.2, at(19_000)), ("n2", 3, "t", 1, 13.1, 80.2, at(100))]  # an old place; a late asset
+    fixed = spark.createDataFrame([("z", 13.0, 80.2, 1.0, 2, 1, "t")], "zone_id string, lat double, lon double, radius_km double, required_assets int, target_class int, tenant_id string")
+    got = jobs.rebalance(stream(spark, tmp_path, "in", schema, [first, second]), fixed, str(tmp_path)).collect()
+    assert [(r.zone_id, r.node_id, r.turn) for r in got] == [("z", "n2", 1)]
+    assert not (tmp_path / "checkpoint" / "state").exists()
