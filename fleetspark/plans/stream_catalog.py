@@ -11,7 +11,7 @@ from fleetspark.operators import metrics, roads
 from fleetspark.plans import catalog
 from fleetspark.plans.catalog import now, r6
 from fleetspark.sources.fixtures import ctes, load
-from fleetspark.sources.storage import shared_folder, written
+from fleetspark.sources.storage import shared_folder
 from fleetspark.streaming import jobs
 
 
@@ -39,7 +39,7 @@ def _stream(spark: SparkSession, sf_dir: str, view: str, time: str | None = None
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapping cells of the road nodes, as a table."""
-    return written(roads.snap_cells(load(spark, sf_dir, "road_nodes")))[0]
+    return roads.snap_cells(load(spark, sf_dir, "road_nodes"))
 
 
 def stream_archive(spark, sf_dir):

@@ -25,7 +25,7 @@ def test_tested_rides_grow_with_the_root_of_all(monkeypatch):
             x, y, t, k = 13 + r.random(n) * 0.2, 80.2 + r.random(n) * 0.2, at(n), r.integers(1, 3, n)
             tested.clear()
             got = demand._counted(asked, pa.table({"lat": x, "lon": y, "micros": t, "n": k}), 0.2, 300)["demand"].to_numpy()
-            assert sum(tested) < (16 * n**0.5 + n / 60) * many
+            assert sum(tested) < (5 * n**0.5 + n / 60) * many
             for i in range(0, many, 7):
                 now, lat, lon = (asked.column(c)[i].as_py() for c in ("micros", "p_lat", "p_lon"))
                 near = (t <= now) & (t >= now - 300_000_000) & (np.sqrt((lat - x) ** 2 + (lon - y) ** 2) <= 0.2)
