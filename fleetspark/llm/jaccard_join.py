@@ -34,6 +34,7 @@ from fleetspark.llm.minhash import SLOT_SEED, shingles
 from fleetspark.llm.substring_dedup import _by_bucket, _from_planes, _pack_keys, _packed, _planes, _unpacked
 from fleetspark.llm.tiles import WIDTH, bitmaps, bounded, tiles
 from fleetspark.llm.words import mix, words_of
+from fleetspark.sources.storage import shuffled, written
 
 KEYED = "bucket long, chunk long, keys binary"
 
@@ -170,7 +171,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     slim = nodes.select("node", "n", "held", "bits")
     of = lambda df, side, names: df.select(F.col("node").alias(side), *(F.col(c).alias(n) for c, n in names.items()))
-    sent = F.broadcast if few(pairs) else (lambda df: df)
+    sent = F.broadcast if few(pairs) else shuffled
     met = of(slim, "a", {"n": "na", "held": "ha", "bits": "ba"}).join(sent(pairs), "a")
     met = of(slim, "b", {"n": "nb", "held": "hb", "bits": "bb"}).join(sent(met), "b")
     close = met.mapInArrow(bound, "a long, b long, na int, nb int")
@@ -180,12 +181,13 @@ def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _undecided(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The components that the links make, and the members (token, node, company, component, main) of lists that hold
-    several of them; main is the component with most members there."""
+    several of them; main is the component with most members there. These are written, so that the next round starts from
+    their real size and not from the product of all estimates before it."""
     labels = components(links)
-    labelled = members.join(F.broadcast(labels) if few(labels) else labels, "node", "left").select("token", "node", "company", F.coalesce("component", "node").alias("component"))
+    labelled = members.join(F.broadcast(labels) if few(labels) else shuffled(labels), "node", "left").select("token", "node", "company", F.coalesce("component", "node").alias("component"))
     counts = labelled.groupBy("token", "component").agg(F.count("*").alias("n"))
     mains = counts.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    return labels, cut(labelled.join(mains.drop("parts"), "token").select("token", "node", "company", "component", "main"))
+    return labels, written(labelled.join(shuffled(mains.drop("parts")), "token").select("token", "node", "company", "component", "main"))[0]
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hub_rounds: int = 3, bucket_bytes: int = 8 << 20, chunk_bytes: int = 4 << 20) -> DataFrame:
@@ -229,7 +231,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         within = undecided if turn == 0 else undecided.filter("component = main")
         hubs = within.groupBy("token").agg(F.max_by("node", order).alias("hub"))
         asking = undecided if turn == 0 else undecided.filter("component <> main")
-        fresh = asking.join(hubs, "token").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        fresh = asking.join(shuffled(hubs), "token").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         fresh = cut(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"))
         more = cut(_linked(fresh, nodes, percent))
         tried, links = (fresh, more) if tried is None else (cut(tried.union(fresh)), cut(links.union(more)))
@@ -237,7 +239,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         labels, undecided = _undecided(members, links)
         release(spark)
-    left = cut(tiles(undecided.select("token", "node", "component", "main"), nodes, percent).join(tried, ["a", "b"], "left_anti"))
+    left = cut(tiles(shuffled(undecided.select("token", "node", "component", "main")), nodes, percent).join(tried, ["a", "b"], "left_anti"))
     more = cut(_linked(left, nodes, percent))
     # the sets of one id belong together
     several = full.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
@@ -246,7 +248,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tied = cut(repeated.join(least, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct())
     if not (more.isEmpty() and tied.isEmpty()):
         labels = components(cut(links.union(more).union(tied)))
-    grouped = named.select("set_a", "set_b", "node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = named.select("set_a", "set_b", "node", "doc_id").join(F.broadcast(labels) if few(labels) else shuffled(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     # a table of its own, so that the join with it can split the rows of a large component
     names = cut(grouped.groupBy("component").agg(F.min("doc_id").alias("name")))
     called = grouped.join(names, "component").select("set_a", "set_b", "name")
